@@ -1,13 +1,15 @@
 """The queries of these operators, and their SQL where SQL can express them."""
 
-from codeloom.llm import chat, neardup, packing, rules, secrets, sharding
+from codeloom.llm import chat, html_main, neardup, packing, quality, rules, secrets, sharding
 
 QUERIES = {
+    "op1_nb_svm": quality.op1_nb_svm,
     "op2_token_efficiency": secrets.op2_token_efficiency,
     "op3_histogram_sort": sharding.op3_histogram_sort,
     "op4_golay_simhash": neardup.op4_golay_simhash,
     "op5_weak_supervision": rules.op5_weak_supervision,
     "op6_variable_best_fit": packing.op6_variable_best_fit,
+    "op9_block_lstm": html_main.op9_block_lstm,
     "op10_snapshot_collapse": chat.op10_snapshot_collapse,
 }
 
