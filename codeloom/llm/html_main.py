@@ -231,11 +231,11 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(pages: list[tuple[np.ndarray, np.ndarray]], rounds: int = 24, batch: int = 64, rate: float = 0.01, seed: int = 0) -> Labeller:
-    """By Adam on (vectors, labels) of pages."""
+    """By Adam, with steps that shrink to nothing, on (vectors, labels) of pages."""
     rng, net = np.random.default_rng(seed), Labeller(seed=seed)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
-    step = 0
+    step, steps = 0, rounds * -(-len(pages) // batch)
     for _ in range(rounds):
         order = sorted(rng.permutation(len(pages)).tolist(), key=lambda i: len(pages[i][0]))  # pages of one batch are about as long
         for at in rng.permutation(range(0, len(order), batch)).tolist():
@@ -249,7 +249,7 @@ def fit(pages: list[tuple[np.ndarray, np.ndarray]], rounds: int = 24, batch: int
                 g = np.clip(g, -1, 1)
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.999 * v[k] + 0.001 * g * g
-                net.p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                net.p[k] -= (rate * (1 - step / (steps + 1)) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     return net
 
 
@@ -302,8 +302,8 @@ def laid_out(page: list[tuple[Path, str, int]], label: np.ndarray, rng: np.rando
             text = " ".join(text.split(" ")[: rng.integers(1, 8)])
         middle.append(((*outer, *wrap, *own, *kind), text, min(linked, len(text))))
         y.append(1)
-        if rng.random() < 0.1:
-            extra = other(own)
+        if rng.random() < 0.35:
+            extra = other(own)[:1]
             middle += extra
             y += [0] * len(extra)
     return [*before, *middle, *after], np.array([0] * len(before) + y + [0] * len(after), np.float32)
