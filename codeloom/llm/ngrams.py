@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 from codeloom.llm.common import WHITE_SPACE
@@ -44,3 +46,23 @@ def word_hashes(raw: np.ndarray, fold: np.ndarray = SAME) -> tuple[np.ndarray, n
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((fold[raw].astype(np.uint64) + np.uint64(1)) * p[: len(raw)], out=sums[1:])
     return mix((sums[end] - sums[start]) * undo[start] + (end - start).astype(np.uint64)), start, end
+
+
+def in_groups(texts: list[bytes], most: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """(index of the first, texts) of groups of neighbouring texts that come to about ``most`` bytes, or of one longer text."""
+    first, size = 0, 0
+    for i, text in enumerate(texts):
+        if i > first and size + len(text) > most:
+            yield first, texts[first:i]
+            first, size = i, 0
+        size += len(text)
+    if first < len(texts):
+        yield first, texts[first:]
+
+
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of all words, where each text's words begin, how many it has), computed for all texts at once."""
+    hashes, start, _ = word_hashes(np.frombuffer(b"\n".join(texts), np.uint8))
+    bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
+    first = np.searchsorted(start, bounds)
+    return hashes, first[:-1], np.diff(first)

@@ -17,6 +17,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,8 +77,12 @@ def _keys_of(docs: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     return keys[at], np.minimum.reduceat(ids, at) < np.maximum.reduceat(ids, at)
 
 
+def _pack(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+
+
 def _ints(cell: bytes, kind=np.int64) -> np.ndarray:
-    return np.frombuffer(cell, kind)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(cell), kind)
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
@@ -91,7 +96,8 @@ def _ddl(schema: pa.Schema) -> str:
 
 ASK = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("several", pa.binary())])
 LIVE = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("live", pa.binary())])
-#: For shard -1: where the bucket's documents have which segment (a: ids, digests, places, segments). Else segments (a: word hashes, b: lengths, c: least ids).
+#: For shard -1: where the bucket's documents have which segment (a: ids, b: digests, c: places, d: segments).
+#: Else segments (a: word codes, b: lengths, c: least ids, d: the words' hashes by code).
 SENT = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
 FOUND = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("least", pa.binary())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.binary())])
@@ -126,7 +132,7 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", bu
     def ask(table: pa.Table) -> pa.Table:
         keys, several = _keys_of(_distinct_runs(_documents(table)))
         bucket = table["bucket"][0].as_py()
-        return _rows([(s, bucket, keys[p].tobytes(), several[p].tobytes()) for s, p in _by_shard(keys, shards)], ASK)
+        return _rows([(s, bucket, _pack(keys[p]), _pack(several[p])) for s, p in _by_shard(keys, shards)], ASK)
 
     def answer(table: pa.Table) -> pa.Table:
         keys = [_ints(x, np.uint64) for x in table["keys"].to_pylist()]
@@ -134,7 +140,7 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", bu
         several = np.concatenate([_ints(x, bool) for x in table["several"].to_pylist()])
         live = np.bincount(place, weights=several) + times > 1
         own = np.split(live[place], np.cumsum([len(k) for k in keys])[:-1])
-        return _rows([(b, s, np.packbits(x).tobytes()) for b, s, x in zip(table["bucket"].to_pylist(), table["shard"].to_pylist(), own, strict=True)], LIVE)
+        return _rows([(b, s, _pack(np.packbits(x))) for b, s, x in zip(table["bucket"].to_pylist(), table["shard"].to_pylist(), own, strict=True)], LIVE)
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         found = _distinct_runs(_documents(left))
@@ -169,14 +175,15 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", bu
         for s, p in _by_shard(np.array(to, np.uint64), shards):
             renumbered[p] = np.arange(n, n + len(p))
             n += len(p)
-            rows.append((s, bucket, b"".join(words[i] for i in p), lengths[p].tobytes(), least[p].tobytes(), None))
+            own_words, codes = np.unique(np.frombuffer(b"".join(words[i] for i in p), np.uint64), return_inverse=True)
+            rows.append((s, bucket, _pack(codes.astype(np.uint32)), _pack(lengths[p]), _pack(least[p]), _pack(own_words)))
         ids, digests, starts, own = zip(*places, strict=True)
-        rows.append((-1, bucket, np.array(ids, np.int64).tobytes(), np.array(digests, np.uint64).tobytes(), np.array(starts, np.int64).tobytes(), renumbered[list(own)].tobytes()))
+        rows.append((-1, bucket, _pack(np.array(ids, np.int64)), _pack(np.array(digests, np.uint64)), _pack(np.array(starts, np.int64)), _pack(renumbered[list(own)])))
         return _rows(rows, SENT)
 
     def index(table: pa.Table) -> pa.Table:
         lengths = [_ints(x) for x in table["b"].to_pylist()]
-        words = np.concatenate([_ints(x, np.uint64) for x in table["a"].to_pylist()])
+        words = np.concatenate([_ints(d, np.uint64)[_ints(a, np.uint32)] for a, d in zip(table["a"].to_pylist(), table["d"].to_pylist(), strict=True)])
         all_lengths, ids = np.concatenate(lengths), np.concatenate([_ints(x) for x in table["c"].to_pylist()])
         # Of equal segments from several buckets one is indexed, with their least id.
         ends = np.cumsum(all_lengths)
@@ -190,7 +197,7 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", bu
         out, at = [], 0
         for b, s, own in zip(table["bucket"].to_pylist(), table["shard"].to_pylist(), lengths, strict=True):
             parts = [by_place[built.starts[k] : built.starts[k] + n - WIDTH + 1] for k, n in zip(number[at : at + len(own)].tolist(), own.tolist(), strict=True)]
-            out.append((b, s, np.concatenate(parts).tobytes()))
+            out.append((b, s, _pack(np.concatenate(parts))))
             at += len(own)
         return _rows(out, FOUND)
 
@@ -229,7 +236,7 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", bu
     sent = materialize(docs.groupBy("bucket").cogroup(live.groupBy("bucket")).applyInArrow(send, _ddl(SENT)), "segments")
     found = sent.where("shard >= 0").groupBy("shard").applyInArrow(index, _ddl(FOUND))
     back = (
-        sent.select("bucket", "shard", F.when(F.col("shard") < 0, F.col("a")).alias("a"), "b", F.when(F.col("shard") < 0, F.col("c")).alias("c"), "d", F.lit(None).cast("binary").alias("least"))
+        sent.select("bucket", "shard", F.when(F.col("shard") < 0, F.col("a")).alias("a"), "b", *[F.when(F.col("shard") < 0, F.col(c)).alias(c) for c in "cd"], F.lit(None).cast("binary").alias("least"))
         .unionByName(found.select("bucket", "shard", *[F.lit(None).cast("binary").alias(c) for c in "abcd"], "least"))
     )
     return docs.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(apply, _ddl(RESULT))
