@@ -24,7 +24,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import components, materialize, small_arrow_batches, text_bytes
@@ -200,6 +200,23 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", b
     return docs.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", bits: int = 4) -> DataFrame:
+    """Of each component of near-duplicates the row with the smallest id, with all its columns.
+
+    Rows that repeat an id and its text count once. Rows without an id cannot be named and stay.
+    """
+    found = near_duplicates(df, text, doc_id, bits)
+    firsts = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    order = Window.partitionBy(F.col(doc_id), F.xxhash64(text)).orderBy(F.col(doc_id))
+    named = (
+        df.join(firsts, F.col(doc_id).cast("long") == F.col("__id"), "left_semi")
+        .withColumn("__copy", F.row_number().over(order))
+        .where("__copy = 1")
+        .drop("__copy")
+    )
+    return named.unionByName(df.where(F.col(doc_id).isNull()))
+
+
 def op4_golay_simhash(spark, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and the component of near-duplicates it is in."""
     return near_duplicates(read_table(spark, sf_dir, "documents"))

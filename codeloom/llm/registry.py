@@ -1,6 +1,6 @@
 """The queries of these operators, and their SQL where SQL can express them."""
 
-from codeloom.llm import chat, html_main, neardup, packing, quality, rules, secrets, sharding, substrings
+from codeloom.llm import chat, decontamination, html_main, neardup, packing, quality, rules, secrets, sharding, substrings
 
 QUERIES = {
     "op1_nb_svm": quality.op1_nb_svm,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_golay_simhash": neardup.op4_golay_simhash,
     "op5_weak_supervision": rules.op5_weak_supervision,
     "op6_variable_best_fit": packing.op6_variable_best_fit,
+    "op7_latent_retrieval": decontamination.op7_latent_retrieval,
     "op8_fm_index": substrings.op8_fm_index,
     "op9_block_lstm": html_main.op9_block_lstm,
     "op10_snapshot_collapse": chat.op10_snapshot_collapse,

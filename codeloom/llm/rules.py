@@ -157,6 +157,12 @@ def judge(df: DataFrame, text: str = "text", min_words: int = 50, threshold: flo
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
 
 
+def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
+    """The rows that the rules keep, with all their columns as they were."""
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.col(text).alias("__text"))
+    return judge(rows, "__text").where("kept").select("__row.*")
+
+
 def op5_weak_supervision(spark, sf_dir: str) -> DataFrame:
     """The verdict on every document, from rules whose accuracy is estimated on all of them."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
