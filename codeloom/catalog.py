@@ -1,5 +1,7 @@
 """The queries of the library by name, and the SQL that checks them."""
 
+from codeloom.plans import graph_queries, search_queries, text_queries
+
 FLAGSHIP = "knn_centroid_topk"
-QUERIES: dict = {}
-ORACLES: dict = {}
+QUERIES = search_queries.QUERIES | graph_queries.QUERIES | text_queries.QUERIES
+ORACLES = search_queries.ORACLES | graph_queries.ORACLES | text_queries.ORACLES
