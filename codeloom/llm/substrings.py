@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import materialize, text_bytes
+from codeloom.llm.common import text_bytes
 from codeloom.llm.fm_index import FMIndex
 from codeloom.llm.ngrams import mix, word_hashes
 from codeloom.sources.tables import read_table
@@ -96,10 +96,10 @@ def _ddl(schema: pa.Schema) -> str:
 
 ASK = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("several", pa.binary())])
 LIVE = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("live", pa.binary())])
-#: For shard -1: where the bucket's documents have which segment (a: ids, b: digests, c: places, d: segments).
+#: For a shard below 0, one for each bucket: where the bucket's documents have which segment (a: ids, b: digests, c: places, d: segments).
 #: Else segments (a: word codes, b: lengths, c: least ids, d: the words' hashes by code).
 SENT = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
-FOUND = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("least", pa.binary())])
+BACK = pa.schema([*SENT, ("least", pa.binary())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.binary())])
 
 
@@ -178,10 +178,12 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", bu
             own_words, codes = np.unique(np.frombuffer(b"".join(words[i] for i in p), np.uint64), return_inverse=True)
             rows.append((s, bucket, _pack(codes.astype(np.uint32)), _pack(lengths[p]), _pack(least[p]), _pack(own_words)))
         ids, digests, starts, own = zip(*places, strict=True)
-        rows.append((-1, bucket, _pack(np.array(ids, np.int64)), _pack(np.array(digests, np.uint64)), _pack(np.array(starts, np.int64)), _pack(renumbered[list(own)])))
+        rows.append((-1 - bucket, bucket, _pack(np.array(ids, np.int64)), _pack(np.array(digests, np.uint64)), _pack(np.array(starts, np.int64)), _pack(renumbered[list(own)])))
         return _rows(rows, SENT)
 
     def index(table: pa.Table) -> pa.Table:
+        if table["shard"][0].as_py() < 0:  # what the bucket needs to read the answers goes along with them
+            return table.append_column("least", pa.nulls(len(table), pa.binary()))
         lengths = [_ints(x) for x in table["b"].to_pylist()]
         words = np.concatenate([_ints(d, np.uint64)[_ints(a, np.uint32)] for a, d in zip(table["a"].to_pylist(), table["d"].to_pylist(), strict=True)])
         all_lengths, ids = np.concatenate(lengths), np.concatenate([_ints(x) for x in table["c"].to_pylist()])
@@ -197,19 +199,18 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", bu
         out, at = [], 0
         for b, s, own in zip(table["bucket"].to_pylist(), table["shard"].to_pylist(), lengths, strict=True):
             parts = [by_place[built.starts[k] : built.starts[k] + n - WIDTH + 1] for k, n in zip(number[at : at + len(own)].tolist(), own.tolist(), strict=True)]
-            out.append((b, s, _pack(np.concatenate(parts))))
+            out.append((s, b, None, _pack(own), None, None, _pack(np.concatenate(parts))))
             at += len(own)
-        return _rows(out, FOUND)
+        return _rows(out, BACK)
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         cover: dict[tuple[int, int], list[np.ndarray]] = {}
         rows = right.to_pylist()
-        self_row = next((r for r in rows if r["shard"] == -1), None)
+        self_row = next((r for r in rows if r["shard"] < 0), None)
         if self_row:
-            sent = sorted((r for r in rows if r["shard"] >= 0 and r["b"] is not None), key=lambda r: r["shard"])
-            answers = {r["shard"]: r["least"] for r in rows if r["least"] is not None}
+            sent = sorted((r for r in rows if r["shard"] >= 0), key=lambda r: r["shard"])
             windows = np.concatenate([_ints(r["b"]) for r in sent]) - WIDTH + 1
-            least = np.concatenate([_ints(answers[r["shard"]]) for r in sent])
+            least = np.concatenate([_ints(r["least"]) for r in sent])
             ends = np.cumsum(windows)
             ids, digests, starts, segment = _ints(self_row["a"]), _ints(self_row["b"], np.uint64), _ints(self_row["c"]), _ints(self_row["d"])
             for d, digest, start, k in zip(ids.tolist(), digests.tolist(), starts.tolist(), segment.tolist(), strict=True):
@@ -233,12 +234,8 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", bu
         return _rows(out, RESULT)
 
     live = docs.groupBy("bucket").applyInArrow(ask, _ddl(ASK)).groupBy("shard").applyInArrow(answer, _ddl(LIVE))
-    sent = materialize(docs.groupBy("bucket").cogroup(live.groupBy("bucket")).applyInArrow(send, _ddl(SENT)), "segments")
-    found = sent.where("shard >= 0").groupBy("shard").applyInArrow(index, _ddl(FOUND))
-    back = (
-        sent.select("bucket", "shard", F.when(F.col("shard") < 0, F.col("a")).alias("a"), "b", *[F.when(F.col("shard") < 0, F.col(c)).alias(c) for c in "cd"], F.lit(None).cast("binary").alias("least"))
-        .unionByName(found.select("bucket", "shard", *[F.lit(None).cast("binary").alias(c) for c in "abcd"], "least"))
-    )
+    sent = docs.groupBy("bucket").cogroup(live.groupBy("bucket")).applyInArrow(send, _ddl(SENT))
+    back = sent.groupBy("shard").applyInArrow(index, _ddl(BACK))
     return docs.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(apply, _ddl(RESULT))
 
 
