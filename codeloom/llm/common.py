@@ -1,42 +1,15 @@
-"""What the operators share: words, scratch tables, Arrow batches, connected components."""
+"""What the operators share: words, Arrow batches, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.sources.scratch import materialize
+
 #: Words are runs of other characters than these; bytes.split() splits at exactly these.
 WHITE_SPACE = b" \t\n\x0b\x0c\r"
 
-_own_scratch: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder shared by driver and executors: spark.checkpoint.dir, or a temporary one where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_scratch:
-        _own_scratch[app] = "file://" + tempfile.mkdtemp(prefix="codeloom-")
-    return _own_scratch[app]
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared scratch folder and read it back.
-
-    That cuts the lineage as checkpoint() does, but computes the rows once. The files may go
-    when the results that were made from them have been written.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/codeloom-{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Rows with whole texts are large: fewer in a batch keep the Python workers' memory bounded."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

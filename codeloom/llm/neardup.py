@@ -27,7 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import components, materialize, small_arrow_batches, text_bytes
+from codeloom.llm.common import components, small_arrow_batches, text_bytes
+from codeloom.sources.scratch import materialize
 from codeloom.sources.tables import read_table
 
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, which generates the code.
