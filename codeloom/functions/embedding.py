@@ -55,7 +55,7 @@ def embed(df: DataFrame, text: str, dim: int = 64, model: str = "hashed_words",
 
 def low_information(source: Column, language: Column, name: Column) -> Column:
     """Short accessors, by language: what is left of the lines without blanks and comments is few."""
-    lines = F.filter(F.transform(F.split(source, "\n"), F.trim), lambda s: (s != "") & ~s.rlike(r"^(#|//|/\*|\*)"))
+    lines = F.filter(F.transform(F.split(source, "\n"), lambda s: F.trim(s)), lambda s: (s != "") & ~s.rlike(r"^(#|//|/\*|\*)"))
     n = F.size(lines)
     py = (language == "python") & name.rlike("^(get_|set_|is_)") & source.contains("return") & (n <= 4)
     go = (language == "go") & name.rlike("^(Get|Set|Is)") & (n <= 5)

@@ -41,7 +41,7 @@ def declarations(files: DataFrame, language: str) -> DataFrame:
 
 def go_fields(body: Column) -> Column:
     """``name:type`` of each field in the body of a struct."""
-    lines = F.filter(F.transform(F.split(body, "[\n;]"), F.trim), lambda s: s.rlike(r"^\w+\s+\S"))
+    lines = F.filter(F.transform(F.split(body, "[\n;]"), lambda s: F.trim(s)), lambda s: s.rlike(r"^\w+\s+\S"))
     return F.transform(lines, lambda s: F.regexp_replace(s, r"^(\w+)\s+(\S+).*$", "$1:$2"))
 
 

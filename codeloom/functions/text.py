@@ -100,7 +100,7 @@ def stable_id(*parts: Column) -> Column:
 
 def fallback_summary(prefix: Column, source: Column) -> Column:
     """The first four lines that are not blank, in 280 characters."""
-    lines = F.filter(F.transform(F.split(source, "\n"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(source, "\n"), lambda s: F.trim(s)), lambda s: s != "")
     return F.concat(prefix, F.substring(F.array_join(F.slice(lines, 1, 4), " "), 1, 280))
 
 
