@@ -41,7 +41,7 @@ class Items:
     words: list[np.ndarray]
     answers: list[np.ndarray]
     terms: np.ndarray
-    sets: list[frozenset]
+    lists: list[list[int]]
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]]) -> Items | None:
@@ -55,7 +55,7 @@ class Items:
             ids.append(item)
             words.append(h)
             answers.append(hashes(sentences[-1]) if sentences else h)
-        return cls(ids, words, answers, np.unique(np.concatenate(words)), [frozenset(w.tolist()) for w in words]) if ids else None
+        return cls(ids, words, answers, np.unique(np.concatenate(words)), [w.tolist() for w in words]) if ids else None
 
     def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, term) of the words that are terms."""
@@ -74,7 +74,6 @@ class Halves:
         if weight is not None:
             own = weight[self.term] > 0
             place, self.term = place[own], self.term[own]
-            self.weight = weight[self.term]
         slots = -(-self.n_words // HALF) + 1
         self.slot = np.cumsum(slots) - slots
         self.n_slots = int(slots.sum())
@@ -92,12 +91,15 @@ class Halves:
         at = at[at >= 0]
         return at[~alone[at]]
 
-    def sums(self, rows: np.ndarray) -> np.ndarray:
-        """Of a row for each term, by slot; and one empty slot more."""
-        out = np.zeros((self.n_slots + 1, *rows.shape[1:]), rows.dtype)
+    def sums(self, table: np.ndarray) -> np.ndarray:
+        """Of the rows of a table of terms, by slot; and one empty slot more. A half has few terms: all first ones are added, then all second ones, and so on."""
+        out = np.zeros((self.n_slots + 1, *table.shape[1:]), table.dtype)
         if len(self.half):
             first = np.flatnonzero(np.concatenate([[True], np.diff(self.half) != 0]))
-            out[self.half[first]] = np.add.reduceat(rows, first)
+            count = np.diff(np.append(first, len(self.half)))
+            for j in range(int(count.max())):
+                at = first[count > j] + j
+                out[self.half[at]] += table[self.term[at]]
         return out
 
 
@@ -150,22 +152,22 @@ def latent_space(docs: DataFrame, items: Items, weight: np.ndarray, rank: int =
     """
     k = min(rank + more, len(items.terms))
     test = np.random.default_rng(0).standard_normal((len(items.terms), k)).astype(np.float32)
+    weighted = (test * weight[:, None]).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(test.shape, np.float32)
+        total = np.zeros(test.shape)
         for texts in _groups(batches):
             own = Halves(texts, items, weight)
             if not len(own.half):
                 continue
-            w = own.weight.astype(np.float32)
             at = own.passages()
-            halves, squares = own.sums(test[own.term] * w[:, None]), own.sums(w * w)
+            halves, squares = own.sums(weighted), own.sums(weight * weight)
             images = np.zeros_like(halves)
             images[at] = (halves[at] + halves[at + 1]) / (squares[at] + squares[at + 1])[:, None]
             images[1:] += images[:-1].copy()  # a half is in the passages that begin with it and before it
-            order = np.argsort(own.term, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], np.diff(own.term[order]) != 0]))
-            total[own.term[order][first]] += np.add.reduceat(images[own.half[order]] * w[order, None], first)
+            for j, column in enumerate(np.ascontiguousarray(images.T)):
+                total[:, j] += np.bincount(own.term, weights=column[own.half], minlength=len(total))
+        total = (total * weight[:, None]).astype(np.float32)
         slices = [(i, total[i * SLICE : (i + 1) * SLICE].tobytes()) for i in range(-(-len(total) // SLICE))]
         part, data = zip(*slices, strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(data, pa.binary())], names=["part", "data"])
@@ -198,8 +200,8 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
         masks[x] = masks.get(x, 0) | 1 << i
     full = (1 << len(a)) - 1
     row = full
-    for x in b.tolist():
-        hit = row & masks.get(x, 0)
+    for mask in filter(None, map(masks.get, b.tolist())):
+        hit = row & mask
         row = ((row + hit) | (row - hit)) & full
     return len(a) - row.bit_count()
 
@@ -223,15 +225,15 @@ class Limits:
     run: int = 13
 
 
-def matches_in(texts: list[bytes], items: Items, weight: np.ndarray, basis: np.ndarray, own: np.ndarray, limits: Limits) -> list[tuple]:
+def matches_in(texts: list[bytes], items: Items, weight: np.ndarray, weighted: np.ndarray, own: np.ndarray, limits: Limits) -> list[tuple]:
     """(text, item, cosine, share in order, answer's share, longest run) of the items that texts hold."""
     found = Halves(texts, items, weight)
     if not len(found.half):
         return []
-    sums, at = found.sums(basis[found.term] * found.weight[:, None].astype(np.float32)), found.passages()
+    sums, at = found.sums(weighted), found.passages()
     passages = sums[at] + sums[at + 1]
-    norm = np.sqrt((passages**2).sum(1))
-    near = (passages @ own.T) / np.where(norm > 0, norm, np.inf)[:, None]
+    passages /= np.maximum(np.sqrt(np.einsum("ij,ij->i", passages, passages)), 1e-12)[:, None]
+    near = passages @ own.T
     hit, item = np.nonzero(near >= limits.cosine)
     best: dict[tuple[int, int], tuple] = {}
     text_of = np.searchsorted(found.slot, at[hit], side="right") - 1
@@ -240,12 +242,15 @@ def matches_in(texts: list[bytes], items: Items, weight: np.ndarray, basis: np.n
         reach = max(HALF, len(items.words[k]))  # the longer an item, the further it may go beyond the passage
         low, high = max(0, begin - reach), min(int(found.n_words[t]), begin + 2 * HALF + reach)
         region = found.words[found.first[t] + low : found.first[t] + high]
-        shared = len(items.sets[k].intersection(region.tolist()))  # what is in order, or in a row, is shared
-        if shared < 0.5 * limits.with_answer * len(items.sets[k]) and shared < 0.5 * limits.run:
+        have, n = set(region.tolist()), len(items.words[k])
+        most = sum(map(have.__contains__, items.lists[k]))  # no more can be in order, or in a row
+        if most < limits.with_answer * n and most < limits.run:
             continue
-        order = common_subsequence(items.words[k], region) / len(items.words[k])
+        shared = common_subsequence(items.words[k], region)
+        if shared < limits.with_answer * n and shared < limits.run:
+            continue
+        order, run = shared / n, common_run(items.words[k], region)
         answer = common_subsequence(items.answers[k], region) / len(items.answers[k])
-        run = common_run(items.words[k], region)
         if order >= limits.alone or order >= limits.with_answer and answer >= limits.answer or run >= limits.run:
             best[t, k] = max(best.get((t, k), (0, 0, 0, 0)), (order, float(near[h, k]), answer, run))
     return [(t, items.ids[k], cosine, order, answer, run) for (t, k), (order, cosine, answer, run) in best.items()]
@@ -275,19 +280,17 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", doc_id:
             continue
         weight = term_weights(items, n, held)
         basis = latent_space(texts, items, weight)
-        own = np.zeros((len(items.ids), basis.shape[1]), np.float32)
-        for i, words in enumerate(items.words):
-            term = np.searchsorted(items.terms, words)
-            own[i] = (basis[term] * weight[term, None]).sum(0)
+        weighted = (basis * weight[:, None]).astype(np.float32)
+        own = np.stack([weighted[np.searchsorted(items.terms, words)].sum(0) for words in items.words])
         own /= np.maximum(np.sqrt((own**2).sum(1, keepdims=True)), 1e-12)
 
-        def run(batches: Iterator[pa.RecordBatch], items=items, weight=weight, basis=basis, own=own) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], items=items, weight=weight, weighted=weighted, own=own) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 doc_ids = batch.column(0).to_pylist()
                 rows = [
                     (doc_ids[first + t], *found)
                     for first, group in in_groups(batch.column(1).to_pylist())
-                    for t, *found in matches_in(group, items, weight, basis, own, limits)
+                    for t, *found in matches_in(group, items, weight, weighted, own, limits)
                 ]
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
                 columns = list(zip(*rows, strict=True)) or [[]] * 6
