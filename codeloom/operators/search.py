@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from functools import reduce
-from math import floor
+from math import floor, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -143,7 +143,7 @@ def text_score(df: DataFrame, match: MatchText) -> DataFrame:
 
     A word counts once in a field, by its inverse document frequency brought to 0 to 1 over the
     rows of ``df``; the best field counts. The frequencies of the few words asked for come from one
-    aggregate, and its single row is attached to every row: nothing else moves.
+    aggregate, one row, and are constants of the plan: nothing else moves.
     """
     words = list(dict.fromkeys(match.text.lower().split()))
     fields = [(f.partition("^")[0], float(f.partition("^")[2] or 1)) for f in match.fields]
@@ -152,20 +152,19 @@ def text_score(df: DataFrame, match: MatchText) -> DataFrame:
     rows = df.withColumns({f"__tok_{f}": t for f, t in tok.items()})
     flags = rows.withColumns({f"__has_{i}_{j}": has[f, w] for i, (f, _) in enumerate(fields) for j, w in enumerate(words)}).drop(*[f"__tok_{f}" for f, _ in fields])
     names = [(i, j) for i in range(len(fields)) for j in range(len(words))]
-    counts = flags.agg(F.count(F.lit(1)).alias("__n"), *[F.count_if(f"__has_{i}_{j}").alias(f"__df_{i}_{j}") for i, j in names])
-    n = F.col("__n")
+    counts = flags.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(f"__has_{i}_{j}").alias(f"df_{i}_{j}") for i, j in names]).first()
 
-    def idf(i: int, j: int) -> Column:
-        d = F.col(f"__df_{i}_{j}")
-        return F.log(1 + (n - d + 0.5) / (d + 0.5)) / F.log(1 + (n - 0.5) / 1.5)
+    def idf(i: int, j: int) -> float:
+        n, d = max(counts["n"], 1), counts[f"df_{i}_{j}"]
+        return log(1 + (n - d + 0.5) / (d + 0.5)) / log(1 + (n - 0.5) / 1.5)
 
     score = F.greatest(F.lit(float("-inf")), *[
         sum((F.when(F.col(f"__has_{i}_{j}"), idf(i, j)).otherwise(0.0) for j in range(len(words))), F.lit(0.0)) * boost for i, (_, boost) in enumerate(fields)
     ])
     found = sum((reduce(lambda a, b: a | b, [F.col(f"__has_{i}_{j}") for i in range(len(fields))]).cast("int") for j in range(len(words))), F.lit(0))
     need = max(1, floor(match.min_should_match * len(words)))
-    out = flags.crossJoin(F.broadcast(counts)).withColumns({"matched_terms": found, "text_score": score}).where(F.col("matched_terms") >= need)
-    return out.drop("__n", *[f"__df_{i}_{j}" for i, j in names], *[f"__has_{i}_{j}" for i, j in names])
+    out = flags.withColumns({"matched_terms": found, "text_score": score}).where(F.col("matched_terms") >= need)
+    return out.drop(*[f"__has_{i}_{j}" for i, j in names])
 
 
 def reduced(c: Column, mode: str) -> Column:

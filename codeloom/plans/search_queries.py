@@ -32,8 +32,8 @@ def knn_cosine_topk(spark, sf_dir):
 def knn_centroid_topk(spark, sf_dir):
     emb = _emb(spark, sf_dir)
     c = v.centroid(emb.where(F.col("vec_id").isin(1, 2, 3)), "embedding")
-    rows = emb.where(F.col("label") < 8).crossJoin(F.broadcast(c))  # one row
-    return v.knn(rows, "embedding", F.col("centroid"), 10, "vec_id").select("vec_id", "label", F.round("score", 6).alias("score"))
+    query = v.vector_literal(c.first()[0])
+    return v.knn(emb, "embedding", query, 10, "vec_id", condition=F.col("label") < 8).select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
 def knn_filtered(spark, sf_dir):
