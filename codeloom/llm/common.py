@@ -17,6 +17,16 @@ def small_arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def smallest_hashes(df: DataFrame, key: str, n: int) -> DataFrame:
+    """Rows whose keys' hashes lie so low that about four times ``n`` do: a sample of ``n`` can be taken from these.
+
+    Few rows of any partition are left, so the sample's sort sends little to the driver however
+    many partitions there are.
+    """
+    share = min(1.0, 4 * n / max(1, df.count()))
+    return df if share == 1 else df.where(F.xxhash64(key) < F.lit(int((2 * share - 1) * (1 << 63))))
+
+
 def text_bytes(column) -> "F.Column":
     """A text as UTF-8 bytes; null counts as empty."""
     column = F.col(column) if isinstance(column, str) else column

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import small_arrow_batches
+from codeloom.llm.common import small_arrow_batches, smallest_hashes
 from codeloom.sources.tables import read_table
 
 # Elements that do not start a new block, that have no end tag, and whose content is no text.
@@ -315,10 +315,8 @@ def train(pages: DataFrame, html: str = "html", page_id: str = "page_id", sample
     Pages over ``longest`` characters are not sampled, so the sample's size is bounded. None without
     pages, or where none has an article or main element.
     """
-    rows = (
-        pages.select(F.col(page_id).alias("page_id"), F.col(html).cast("string").alias("html"))
-        .where(F.length("html") <= longest).orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()
-    )
+    own = pages.select(F.col(page_id).alias("page_id"), F.col(html).cast("string").alias("html"))
+    rows = smallest_hashes(own, "page_id", sample).where(F.length("html") <= longest).orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()
     rng = np.random.default_rng(0)
     data = []
     for r in rows:

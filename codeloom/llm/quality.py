@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import small_arrow_batches, text_bytes
+from codeloom.llm.common import small_arrow_batches, smallest_hashes, text_bytes
 from codeloom.llm.ngrams import LOWER, mix, word_hashes
 from codeloom.sources.tables import read_table
 
@@ -143,7 +143,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> tuple[Mod
     the lowest counts. The sample's bound makes its ids safe to broadcast and its features to collect.
     """
     chosen = (
-        labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+        smallest_hashes(labels.where("doc_id is not null and quality is not null"), "doc_id", max_rows)
+        .groupBy("doc_id").agg(F.min("quality").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )
 
