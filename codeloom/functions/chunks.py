@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 TARGET, OVERLAP, LONGEST = 5, 1, 200
 
-# What headers, accessors and plain getters look like.
-HEADER = re.compile(r"^\s*(package\s+[\w.]+\s*;|import\s+[\w.*]+\s*;|using\s+namespace\b|#include\b|module\s+\S+)", re.M)
-PY_GETTER = re.compile(r"^\s*def\s+\w+\s*\([^)]*\)\s*:\s*return\s+self\.\w+\s*$", re.S)
-PY_ACCESSOR = re.compile(r"def\s+(get|set|is)_?\w*\s*\([^)]*\)\s*:")
-BRACED_ACCESSOR = re.compile(r"\b(get|set|is)[A-Z]\w*\s*\([^)]*\)[^{;]*\{\s*(return\s+[\w.>-]+;?|this\.\w+\s*=\s*\w+;|\w[\w.>-]*\s*=\s*\w+;?)\s*\}", re.S)
+# What headers, accessors and plain returns look like.
+HEADER = re.compile(r"(?ms)^\s*((package\s+[\w\.]+;|import\s+[\w\.\*]+;|using\s+namespace\s+\w+\s*;|#include\s+[<\"].+[>\"]|module\s+\w+).*)$")
+PY_GETTER = re.compile(r"^\s*def\s+(get|set)[A-Za-z0-9_]+\s*\([^)]*\)\s*:\s*return\s+.+$")
+PY_ACCESSOR = re.compile(r"(?ms)^\s*@\s*property\b.*|^\s*def\s+(get|set)[A-Za-z0-9_]+\s*\([^)]*\)\s*:\s*(?:\r?\n\s*(?:return\s+|pass\s*$|raise\s+NotImplementedError))?")
+BRACED_ACCESSOR = re.compile(r"(?ms)^\s*(public|private|protected)?\s*(static\s+)?[\w<>\[\]]+\s+(get|set)[A-Za-z0-9_]*\s*\([^)]*\)\s*\{\s*(return\s+[^;]+;|this\.[A-Za-z0-9_]+\s*=\s*[A-Za-z0-9_]+;)\s*\}\s*$")
+RETURN = re.compile(r"(?ms)^\s*(return\s+[^;]+;|return\s+.+)$")
 BRACED = (".java", ".go", ".c", ".cpp", ".h", ".hpp")
 CLOSERS = {")": "(", "]": "[", "}": "{"}
 
@@ -66,7 +67,7 @@ def _block_end(lines: list[str], last: int) -> int:
 
 def low_value(text: str, ext: str) -> bool:
     lines = [x for x in text.splitlines() if x.strip()]
-    n, returns = len(lines), any(re.match(r"\s*return\b", x) for x in lines)
+    n, returns = len(lines), RETURN.search(text) is not None
     if not lines or n <= 5 and HEADER.search(text):
         return True
     if ext == ".py":

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ast
-import builtins
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,7 +14,11 @@ SYMBOL = (
     "returns array<string>, bases array<string>, attributes array<string>, docstring string, source string, start_line int, end_line int, "
     "calls array<struct<full_name:string,signature:string>>"
 )
-BUILTINS = frozenset(dir(builtins))
+# Functions that are no calls of interest.
+BUILTINS = frozenset(
+    """len str int float bool list dict set tuple print range enumerate zip map filter sorted min max sum any all abs round pow divmod
+    isinstance issubclass hasattr getattr setattr delattr id hash type super next iter reversed strip""".split()
+)
 NO_BASE = frozenset({"object", "ABC", "Protocol"})
 
 

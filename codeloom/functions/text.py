@@ -14,8 +14,14 @@ from pyspark.sql import functions as F
 from codeloom.schema import LANGUAGES
 
 #: Parts of messages of errors that may pass when tried again, and of those for texts that are too long.
-RETRYABLE = ("timeout", "timed out", "connection", "rate limit", "too many requests", "429", "500", "502", "503", "504", "overloaded", "temporarily")
-TOO_LONG = ("context length", "context_length", "maximum context", "too many tokens", "token limit", "prompt is too long")
+RETRYABLE = (
+    "rate limit", "429", "server", "502", "503", "504", "500", "connection", "timeout", "timed out", "network", "temporary", "busy", "overload",
+    "service unavailable", "internal server error", "bad gateway", "gateway timeout", "too many requests",
+)
+TOO_LONG = (
+    "context length", "maximum context", "max context", "context window", "exceeds the context", "exceed context", "too many tokens",
+    "prompt is too long", "input is too long", "context_limit",
+)
 
 
 def normalize_path(path: Column) -> Column:
@@ -124,7 +130,8 @@ def mentions(message: Column, words: tuple[str, ...]) -> Column:
 
 
 def retryable(message: Column) -> Column:
-    return mentions(message, RETRYABLE)
+    """A text that is too long stays so."""
+    return mentions(message, RETRYABLE) & ~mentions(message, TOO_LONG)
 
 
 def backoff(attempt: int, rng: random.Random | None = None) -> float:

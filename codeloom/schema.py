@@ -32,7 +32,7 @@ class AnalysisType(StrEnum):
 #: File extensions and the language of each.
 LANGUAGES = {".py": "python", ".java": "java", ".go": "go", ".cpp": "cpp", ".c": "c", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript"}
 #: Directories that a scan does not enter, beside those that start with a dot.
-EXCLUDED_DIRS = ("__pycache__", "node_modules", "venv", "env", "dist", "build", "target", "out", "bin", "obj", "vendor", "tests", "test", "site-packages")
+EXCLUDED_DIRS = ("__pycache__", ".git", ".idea", ".vscode", "venv", "node_modules", "dist", "build", "target", ".pytest_cache", ".mypy_cache", ".coverage", "__tests__", "tests")
 
 TABLES = {
     "repositories": "id STRING, user_id STRING, git_provider STRING, repository_url STRING, organization STRING, repository_name STRING, branch STRING, description STRING, local_path STRING, is_cloned BOOLEAN, last_sync_time TIMESTAMP, created_at TIMESTAMP, updated_at TIMESTAMP",
