@@ -187,10 +187,15 @@ def terms_agg(df: DataFrame, name: str) -> DataFrame:
     return keys.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("doc_count")).orderBy(F.desc("doc_count"), "key")
 
 
+# Where sentences end, and the characters that may stand beside a word that is marked.
+SENTENCE_END = r"[.?!;\n]"
+BESIDE = r"[ .?/'\"\(\)!,:;-]"
+
+
 def highlighted(text: Column, words: list[str], end: str = "...") -> Column:
     """The sentences that hold a word, with it marked, joined."""
-    alternatives = "|".join(re.escape(w) for w in words)
-    marked = F.transform(F.split(text, r"[.?!;\n]"), lambda s: F.regexp_replace(s, rf"(?i)(^|[ .?/'\"\(\)!,:;-])({alternatives})($|[ .?/'\"\(\)!,:;-])", "$1<em>$2</em>$3"))
+    wanted = rf"(?i)(^|{BESIDE})({'|'.join(map(re.escape, words))})($|{BESIDE})"
+    marked = F.transform(F.split(text, SENTENCE_END), lambda s: F.regexp_replace(s, wanted, "$1<em>$2</em>$3"))
     return F.array_join(F.filter(marked, lambda s: s.contains("<em>")), end)
 
 

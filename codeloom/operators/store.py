@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from codeloom.operators.search import condition
 
+# Fixed value: what is blanked in strings that are set.
 QUOTES = r"(['\n\r]|\\.)"
 
 
