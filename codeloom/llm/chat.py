@@ -57,7 +57,7 @@ def collapse(conversations: DataFrame) -> DataFrame:
     ).withColumn("n_turns", F.max("n").over(Window.partitionBy("conv_id")))
     whole = hashed.where("n = n_turns").groupBy("h1", "h2", "n").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_equal"))
     inside = hashed.where("n < n_turns").select("h1", "h2", "n").distinct()
-    kept = whole.join(inside, ["h1", "h2", "n"], "left_anti").select("conv_id", F.col("n").alias("n_turns"), "n_equal")
+    kept = whole.join(inside, ["h1", "h2", "n"], "left_anti").select("conv_id", F.col("n").cast("long").alias("n_turns"), "n_equal")
     said = F.concat(F.lit("<|"), F.col("t.role"), F.lit("|>\n"), F.col("t.text"), F.lit("<|end|>\n"))
     k, t = kept.alias("k"), turns.alias("t")
     return (
