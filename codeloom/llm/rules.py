@@ -92,7 +92,7 @@ def votes(t: Column) -> dict[str, Column]:
         "symbols": _vote(share("n_symbols") > 0.25, share("n_symbols") < 0.03),
         "capitals": _vote(t["n_capitals"] > 0.4 * t["word_chars"], t["n_capitals"] < 0.1 * t["word_chars"]),
         "repeats": _vote(share("n_repeat_words") > 0.3, share("n_repeat_words") < 0.1),
-        "lines": _vote(t["n_dup_lines"] > 0.3 * t["n_lines"], (t["n_dup_lines"] == 0) & (t["n_lines"] > 2)),
+        "lines": _vote((t["n_dup_lines"] > 0.3 * t["n_lines"]) & (t["n_dup_lines"] > 3), (t["n_dup_lines"] == 0) & (t["n_lines"] > 2)),
         "function_words": _vote(share("n_stop") < 0.06, share("n_stop") > 0.12),
         "variety": _vote((share("n_distinct") < 0.15) & (t["n_words"] < 2000), share("n_distinct") > 0.35),
         "word_length": _vote((length < 2) | (length > 14), (length > 3) & (length < 9)),
