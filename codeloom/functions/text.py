@@ -58,9 +58,9 @@ def is_ascii_letters(text: Column) -> Column:
 
 def english_share(text: Column) -> Column:
     """The share of words made of ASCII letters, digits and common punctuation."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    plain = F.filter(words, lambda w: w.rlike(r"^[a-zA-Z0-9 .,':;/\"?<>!()\-]+$"))
-    return F.when(F.size(words) > 0, F.size(plain) / F.size(words)).otherwise(0.0)
+    words = F.regexp_count(text, F.lit(r"\S+"))
+    plain = F.regexp_count(text, F.lit(r"(?<!\S)[a-zA-Z0-9.,':;/\"?<>!()\-]++(?!\S)"))
+    return F.when(words > 0, plain / words).otherwise(0.0)
 
 
 def shift_headings(text: Column, by: int) -> Column:

@@ -147,24 +147,26 @@ def text_score(df: DataFrame, match: MatchText) -> DataFrame:
     """
     words = list(dict.fromkeys(match.text.lower().split()))
     fields = [(f.partition("^")[0], float(f.partition("^")[2] or 1)) for f in match.fields]
-    tok = {f: tokens(F.coalesce(F.col(f), F.lit(""))) for f, _ in fields}
-    has = {(f, w): F.array_contains(F.col(f"__tok_{f}"), w) for f, _ in fields for w in words}
-    rows = df.withColumns({f"__tok_{f}": t for f, t in tok.items()})
-    flags = rows.withColumns({f"__has_{i}_{j}": has[f, w] for i, (f, _) in enumerate(fields) for j, w in enumerate(words)}).drop(*[f"__tok_{f}" for f, _ in fields])
+    wanted = F.array(*map(F.lit, words)).cast("array<string>")
+    rows = df
+    for i, (f, _) in enumerate(fields):
+        # As a generated column the words found are computed once: a filter on them is not pushed down as another split of the text.
+        rows = rows.select("*", F.explode(F.array(F.array_intersect(wanted, tokens(F.coalesce(F.col(f), F.lit("")))))).alias(f"__hits_{i}"))
+    has = lambda i, j: F.array_contains(f"__hits_{i}", words[j])
     names = [(i, j) for i in range(len(fields)) for j in range(len(words))]
-    counts = flags.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(f"__has_{i}_{j}").alias(f"df_{i}_{j}") for i, j in names]).first()
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(has(i, j)).alias(f"df_{i}_{j}") for i, j in names]).first()
 
     def idf(i: int, j: int) -> float:
         n, d = max(counts["n"], 1), counts[f"df_{i}_{j}"]
         return log(1 + (n - d + 0.5) / (d + 0.5)) / log(1 + (n - 0.5) / 1.5)
 
     score = F.greatest(F.lit(float("-inf")), *[
-        sum((F.when(F.col(f"__has_{i}_{j}"), idf(i, j)).otherwise(0.0) for j in range(len(words))), F.lit(0.0)) * boost for i, (_, boost) in enumerate(fields)
+        sum((F.when(has(i, j), idf(i, j)).otherwise(0.0) for j in range(len(words))), F.lit(0.0)) * boost for i, (_, boost) in enumerate(fields)
     ])
-    found = sum((reduce(lambda a, b: a | b, [F.col(f"__has_{i}_{j}") for i in range(len(fields))]).cast("int") for j in range(len(words))), F.lit(0))
+    found = F.size(reduce(F.array_union, [F.col(f"__hits_{i}") for i in range(len(fields))]))
     need = max(1, floor(match.min_should_match * len(words)))
-    out = flags.withColumns({"matched_terms": found, "text_score": score}).where(F.col("matched_terms") >= need)
-    return out.drop(*[f"__has_{i}_{j}" for i, j in names])
+    out = rows.withColumns({"matched_terms": found, "text_score": score}).where(F.col("matched_terms") >= need)
+    return out.drop(*[f"__hits_{i}" for i in range(len(fields))])
 
 
 def reduced(c: Column, mode: str) -> Column:
