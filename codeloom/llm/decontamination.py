@@ -225,19 +225,28 @@ class Limits:
     run: int = 13
 
 
+def near_items(sums: np.ndarray, at: np.ndarray, own: np.ndarray, cosine: float, at_once: int = 4_000_000) -> Iterator[tuple[int, int, float]]:
+    """(place in ``at``, item, cosine) of the passages and items that are near, with at most ``at_once`` cosines in memory."""
+    step = max(1, at_once // len(own))
+    for first in range(0, len(at), step):
+        part = at[first : first + step]
+        passages = sums[part] + sums[part + 1]
+        passages /= np.maximum(np.sqrt(np.einsum("ij,ij->i", passages, passages)), 1e-12)[:, None]
+        near = passages @ own.T
+        hit, item = np.nonzero(near >= cosine)
+        yield from zip((hit + first).tolist(), item.tolist(), near[hit, item].tolist(), strict=True)
+
+
 def matches_in(texts: list[bytes], items: Items, weight: np.ndarray, weighted: np.ndarray, own: np.ndarray, limits: Limits) -> list[tuple]:
     """(text, item, cosine, share in order, answer's share, longest run) of the items that texts hold."""
     found = Halves(texts, items, weight)
     if not len(found.half):
         return []
     sums, at = found.sums(weighted), found.passages()
-    passages = sums[at] + sums[at + 1]
-    passages /= np.maximum(np.sqrt(np.einsum("ij,ij->i", passages, passages)), 1e-12)[:, None]
-    near = passages @ own.T
-    hit, item = np.nonzero(near >= limits.cosine)
     best: dict[tuple[int, int], tuple] = {}
-    text_of = np.searchsorted(found.slot, at[hit], side="right") - 1
-    for h, k, t in zip(hit.tolist(), item.tolist(), text_of.tolist(), strict=True):
+    text_of = np.searchsorted(found.slot, at, side="right") - 1
+    for h, k, cosine in near_items(sums, at, own, limits.cosine):
+        t = int(text_of[h])
         begin = int(at[h] - found.slot[t]) * HALF
         reach = max(HALF, len(items.words[k]))  # the longer an item, the further it may go beyond the passage
         low, high = max(0, begin - reach), min(int(found.n_words[t]), begin + 2 * HALF + reach)
@@ -252,7 +261,7 @@ def matches_in(texts: list[bytes], items: Items, weight: np.ndarray, weighted: n
         order, run = shared / n, common_run(items.words[k], region)
         answer = common_subsequence(items.answers[k], region) / len(items.answers[k])
         if order >= limits.alone or order >= limits.with_answer and answer >= limits.answer or run >= limits.run:
-            best[t, k] = max(best.get((t, k), (0, 0, 0, 0)), (order, float(near[h, k]), answer, run))
+            best[t, k] = max(best.get((t, k), (0, 0, 0, 0)), (order, cosine, answer, run))
     return [(t, items.ids[k], cosine, order, answer, run) for (t, k), (order, cosine, answer, run) in best.items()]
 
 
