@@ -5,6 +5,7 @@ import json
 import random
 from zlib import crc32
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -363,8 +364,16 @@ def test_collapse(spark):
         (1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (3, 0, "user", "a"), (3, 1, "assistant", "b"), (3, 2, "user", "c"),
         (4, 0, "user", "z"), (5, 0, "user", "z"), (5, 0, "user", "z"), (6, 0, "user", "a"), (6, 1, "assistant", "B"), (None, 0, None, None), (7, None, "user", "q"),
     ]
-    got = {r.conv_id: r for r in chat.collapse(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert set(got) == {3, 4, 6, None, 7} and got[4].n_equal == 2 and got[3].n_turns == 3
+    rows += [(None, 0, "user", "a"), (None, 1, "user", "own"), (None, 1, "user", "own"), (None, 2, "user", "own"), (None, 2, "user", "z")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = chat.collapse(table).collect()
+    con = duckdb.connect()
+    con.register("conversations", table.toArrow())
+    assert differences(chat.collapse(table), con, chat.ORACLE_OP10) is None
+    # Of the rows without an id, one is a snapshot of 1 to 3, one equals 4 and 5, and two are alike.
+    assert sorted((r.n_equal, r.rendered) for r in found if r.conv_id is None) == [(1, "<||>\n<|end|>\n"), (2, "<|user|>\nown<|end|>\n")]
+    got = {r.conv_id: r for r in found}
+    assert set(got) == {3, 4, 6, None, 7} and got[4].n_equal == 3 and got[3].n_turns == 3
     assert got[3].rendered == "<|user|>\na<|end|>\n<|assistant|>\nb<|end|>\n<|user|>\nc<|end|>\n"
 
 
