@@ -27,6 +27,7 @@ from codeloom.sources.tables import read_table
 PLAIN = bytes.maketrans(string.ascii_uppercase.encode() + string.punctuation.encode(), string.ascii_lowercase.encode() + b" " * len(string.punctuation))
 HALF = 24  # words; passages are two halves, and every half but the outer ones is in two passages
 SLICE = 512  # terms whose sums travel together
+LEADING = 18  # bits by which terms are looked up
 
 
 def hashes(text: bytes) -> np.ndarray:
@@ -42,6 +43,7 @@ class Items:
     answers: list[np.ndarray]
     terms: np.ndarray
     lists: list[list[int]]
+    buckets: np.ndarray  # how many terms lie below each run of leading bits
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]]) -> Items | None:
@@ -55,14 +57,23 @@ class Items:
             ids.append(item)
             words.append(h)
             answers.append(hashes(sentences[-1]) if sentences else h)
-        return cls(ids, words, answers, np.unique(np.concatenate(words)), [w.tolist() for w in words]) if ids else None
+        if not ids:
+            return None
+        terms = np.unique(np.concatenate(words))
+        below = np.cumsum(np.bincount((terms >> np.uint64(64 - LEADING)).astype(np.int64) + 1, minlength=(1 << LEADING) + 1))
+        return cls(ids, words, answers, terms, [w.tolist() for w in words], below.astype(np.int32))
 
     def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, term) of the words that are terms."""
-        at = np.searchsorted(self.terms, words)
-        at[at == len(self.terms)] = 0
-        place = np.flatnonzero(self.terms[at] == words)
-        return place, at[place]
+        lead = (words >> np.uint64(64 - LEADING)).astype(np.int64)
+        first = self.buckets[lead]
+        place = np.flatnonzero(self.buckets[lead + 1] > first)  # most words share no leading bits with a term
+        words, at = words[place], first[place]
+        same = self.terms[at] == words
+        late = np.flatnonzero(~same)  # nor do many terms with each other
+        at[late] = np.minimum(np.searchsorted(self.terms, words[late]), len(self.terms) - 1)
+        same[late] = self.terms[at[late]] == words[late]
+        return place[same], at[same].astype(np.int64)
 
 
 class Halves:
@@ -117,7 +128,8 @@ def halves_with(docs: DataFrame, items: Items) -> tuple[int, np.ndarray]:
         for texts in _groups(batches):
             own = Halves(texts, items)
             n += own.n_halves
-            held += np.bincount(np.unique(own.half * len(held) + own.term) % len(held), minlength=len(held))
+            pairs = np.sort(own.half * len(held) + own.term)
+            held += np.bincount(pairs[np.diff(pairs, prepend=-1) != 0] % len(held), minlength=len(held))
         some = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int64()), pa.array(np.append(held[some], n), pa.int64())], names=["term", "n"])
 
@@ -165,8 +177,11 @@ def latent_space(docs: DataFrame, items: Items, weight: np.ndarray, rank: int =
             images = np.zeros_like(halves)
             images[at] = (halves[at] + halves[at + 1]) / (squares[at] + squares[at + 1])[:, None]
             images[1:] += images[:-1].copy()  # a half is in the passages that begin with it and before it
-            for j, column in enumerate(np.ascontiguousarray(images.T)):
-                total[:, j] += np.bincount(own.term, weights=column[own.half], minlength=len(total))
+            order = np.argsort(own.term, kind="stable")
+            cut = np.flatnonzero(np.diff(own.term[order], prepend=-1, append=len(total)))
+            for first, end in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                part = order[first:end]
+                total[own.term[part[0]]] += images[own.half[part]].sum(0)
         total = (total * weight[:, None]).astype(np.float32)
         slices = [(i, total[i * SLICE : (i + 1) * SLICE].tobytes()) for i in range(-(-len(total) // SLICE))]
         part, data = zip(*slices, strict=True)

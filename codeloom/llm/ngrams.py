@@ -39,12 +39,17 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def word_hashes(raw: np.ndarray, fold: np.ndarray = SAME) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end) of every word in an array of UTF-8 bytes; ``fold`` maps each byte before it is hashed."""
-    space = IS_SPACE[raw]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True]))))
+    space = np.ones(len(raw) + 2, bool)
+    space[1:-1] = IS_SPACE[raw]
+    edge = np.flatnonzero(space[1:] != space[:-1])
     start, end = edge[::2], edge[1::2]
     p, undo = powers(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((fold[raw].astype(np.uint64) + np.uint64(1)) * p[: len(raw)], out=sums[1:])
+    terms = sums[1:]
+    terms[:] = raw if fold is SAME else fold[raw]
+    terms += np.uint64(1)
+    terms *= p[: len(raw)]
+    np.cumsum(terms, out=terms)
     return mix((sums[end] - sums[start]) * undo[start] + (end - start).astype(np.uint64)), start, end
 
 
