@@ -140,7 +140,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> tuple[Mod
     """Fit on at most ``max_rows`` labelled documents, those whose ids have the smallest hashes; also the share of good ones.
 
     ``labels`` has doc_id and quality; rows where either is null are left out, and of several labels
-    the lowest counts. The sample's bound makes its ids safe to broadcast and its features to collect.
+    the lowest counts, as of several documents with one id. The sample's bound makes its ids safe to
+    broadcast and its features to collect.
     """
     chosen = (
         smallest_hashes(labels.where("doc_id is not null and quality is not null"), "doc_id", max_rows)
@@ -155,7 +156,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> tuple[Mod
 
     small_arrow_batches(docs.sparkSession)
     own = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int"), text_bytes("text").alias("text"))
-    rows = sorted(own.mapInArrow(run, "doc_id long, quality int, found binary").limit(max_rows).collect())
+    found = own.mapInArrow(run, "doc_id long, quality int, found binary")
+    # Of documents that repeat an id one is taken, the same in every run.
+    one = found.groupBy("doc_id").agg(F.min(F.struct("quality", "found")).alias("least"))
+    rows = sorted(one.select("doc_id", "least.*").collect())
     good = np.array([r.quality == 1 for r in rows], bool)
     return fit([np.frombuffer(r.found, np.int32) for r in rows], good), float(good.mean()) if len(good) else 0.5
 
