@@ -2,9 +2,11 @@
 
 The terms are the words of the benchmark items. Counts over all documents give them weights; a
 randomised singular value decomposition of the weighted passages, whose sketches are summed over
-the cluster, gives a space of few dimensions. Passages of all documents are compared with the items
-there by cosine, and pairs that are near are checked on the words themselves: by the longest common
-subsequence, and by whether the item's answer, its last sentence, occurs too.
+the cluster, gives a space of few dimensions. Passages of all documents, and their halves, are
+compared there by cosine with the items and with overlapping pieces of them, so that a part of an
+item is not lost in the whole. Runs of words that a text shares with an item are looked up exactly,
+whatever the cosine. Pairs that are near or share a run are checked on the words themselves: by the
+longest common subsequence, and by whether the item's answer, its last sentence, occurs too.
 """
 
 from __future__ import annotations
@@ -34,6 +36,13 @@ def hashes(text: bytes) -> np.ndarray:
     return word_hashes(np.frombuffer(text.translate(PLAIN), np.uint8))[0]
 
 
+def run_hashes(words: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros(len(starts), np.uint64)
+    for k in range(width):
+        out = out * np.uint64(0x100000001B3) + words[starts + k]
+    return out
+
+
 @dataclass
 class Items:
     """A block of benchmark items: ids, their words as hashes, their answers, and the distinct terms in order."""
@@ -75,6 +84,27 @@ class Items:
         same[late] = self.terms[at[late]] == words[late]
         return place[same], at[same].astype(np.int64)
 
+    def pieces(self) -> tuple[list[np.ndarray], np.ndarray]:
+        """The words of all items and of the pieces, half as long as a passage and overlapping by half, that longer ones are cut into; and whose they are."""
+        out, of = [], []
+        for k, words in enumerate(self.words):
+            n = len(words)
+            starts = [*range(0, n - HALF, HALF // 2), n - HALF] if n > HALF else []
+            out += [words, *(words[a : a + HALF] for a in starts)]
+            of += [k] * (1 + len(starts))
+        return out, np.array(of)
+
+    def runs(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, item) of the distinct runs of ``width`` words in items, by hash."""
+        pairs = [(run_hashes(w, np.arange(len(w) - width + 1), width), k) for k, w in enumerate(self.words) if len(w) >= width]
+        if not pairs:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        run, item = np.concatenate([h for h, _ in pairs]), np.repeat([k for _, k in pairs], [len(h) for h, _ in pairs])
+        order = np.lexsort((item, run))
+        run, item = run[order], item[order]
+        new = np.concatenate([[True], (run[1:] != run[:-1]) | (item[1:] != item[:-1])])
+        return run[new], item[new]
+
 
 class Halves:
     """The terms in the half passages of several texts; every text has one slot more, which stays empty, so that passages do not cross texts."""
@@ -82,6 +112,7 @@ class Halves:
     def __init__(self, texts: list[bytes], items: Items, weight: np.ndarray | None = None):
         self.words, self.first, self.n_words = words_of([t.translate(PLAIN) for t in texts])
         place, self.term = items.find(self.words)
+        self.place = place  # of all terms, also of those that weigh nothing
         if weight is not None:
             own = weight[self.term] > 0
             place, self.term = place[own], self.term[own]
@@ -102,6 +133,26 @@ class Halves:
         at = at[at >= 0]
         return at[~alone[at]]
 
+    def in_runs(self, runs: tuple[np.ndarray, np.ndarray], width: int) -> np.ndarray:
+        """Distinct rows of (half, item) where a run of ``width`` words that an item has begins."""
+        none = np.zeros((0, 2), np.int64)
+        if len(self.place) < width or not len(runs[0]):
+            return none
+        start = self.place[: len(self.place) - width + 1]
+        start = start[self.place[width - 1 :] - start == width - 1]  # nothing but terms
+        text = np.searchsorted(self.first, start, side="right") - 1
+        within = start + width <= self.first[text] + self.n_words[text]
+        start, text = start[within], text[within]
+        run = run_hashes(self.words, start, width)
+        low, high = np.searchsorted(runs[0], run), np.searchsorted(runs[0], run, side="right")
+        hit = np.flatnonzero(high > low)
+        if not len(hit):
+            return none
+        count = (high - low)[hit]
+        item = runs[1][np.repeat(low[hit] - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        half = (self.slot[text] + (start - self.first[text]) // HALF)[hit]
+        return np.unique(np.column_stack([np.repeat(half, count), item]), axis=0)
+
     def sums(self, table: np.ndarray) -> np.ndarray:
         """Of the rows of a table of terms, by slot; and one empty slot more. A half has few terms: all first ones are added, then all second ones, and so on."""
         out = np.zeros((self.n_slots + 1, *table.shape[1:]), table.dtype)
@@ -223,15 +274,16 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
 
 def common_run(a: np.ndarray, b: np.ndarray) -> int:
     """The length of the longest run of words that both have."""
-    same = (a[:, None] == b[None, :]).astype(np.int16)
-    for i in range(1, len(a)):
-        same[i, 1:] += same[i, 1:] * same[i - 1, :-1]
-    return int(same.max(initial=0))
+    longest, row = 0, np.zeros(len(b) + 1, np.int64)
+    for x in a:
+        row[1:] = np.where(b == x, row[:-1] + 1, 0)
+        longest = max(longest, int(row.max()))
+    return longest
 
 
 @dataclass
 class Limits:
-    """Cosine from which a passage is checked; shares of the item in order, alone or with its answer; words in a row."""
+    """Cosine from which a passage is checked; shares of the item in order, alone or with its answer; words in a row, which are looked up exactly."""
 
     cosine: float = 0.4
     alone: float = 0.75
@@ -240,33 +292,66 @@ class Limits:
     run: int = 13
 
 
-def near_items(sums: np.ndarray, at: np.ndarray, own: np.ndarray, cosine: float, at_once: int = 4_000_000) -> Iterator[tuple[int, int, float]]:
-    """(place in ``at``, item, cosine) of the passages and items that are near, with at most ``at_once`` cosines in memory."""
-    step = max(1, at_once // len(own))
+@dataclass
+class Queries:
+    """What passages are compared with: items and their pieces as unit vectors, whose they are, the cosine from which each is near, and the runs of all items."""
+
+    own: np.ndarray
+    item: np.ndarray
+    gate: np.ndarray
+    whole: np.ndarray  # the places of whole items
+    runs: tuple[np.ndarray, np.ndarray]
+
+    @classmethod
+    def of(cls, items: Items, weighted: np.ndarray, limits: Limits) -> Queries:
+        """The fewer words a query has, the less of a passage they make up, and the lower its gate."""
+        pieces, item = items.pieces()
+        own = np.stack([weighted[np.searchsorted(items.terms, words)].sum(0) for words in pieces])
+        own /= np.maximum(np.sqrt((own**2).sum(1, keepdims=True)), 1e-12)
+        gate = limits.cosine * np.sqrt(np.minimum(1, np.array(list(map(len, pieces))) / HALF))
+        whole = np.flatnonzero(np.diff(item, prepend=-1))
+        return cls(own, item, gate.astype(np.float32), whole, items.runs(limits.run))
+
+
+def unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.sqrt(np.einsum("ij,ij->i", rows, rows)), 1e-12)[:, None]
+
+
+def near_items(sums: np.ndarray, at: np.ndarray, queries: Queries, at_once: int = 4_000_000) -> Iterator[np.ndarray]:
+    """Rows of (half, item): passages that begin there, or their first halves alone, that are near; with at most ``at_once`` cosines in memory."""
+    step = max(1, at_once // len(queries.own))
     for first in range(0, len(at), step):
         part = at[first : first + step]
-        passages = sums[part] + sums[part + 1]
-        passages /= np.maximum(np.sqrt(np.einsum("ij,ij->i", passages, passages)), 1e-12)[:, None]
-        near = passages @ own.T
-        hit, item = np.nonzero(near >= cosine)
-        yield from zip((hit + first).tolist(), item.tolist(), near[hit, item].tolist(), strict=True)
+        halves = sums[part]
+        for vectors in (unit(halves + sums[part + 1]), unit(halves)):
+            hit, query = np.nonzero(vectors @ queries.own.T >= queries.gate)
+            yield np.column_stack([part[hit], queries.item[query]])
 
 
-def matches_in(texts: list[bytes], items: Items, weight: np.ndarray, weighted: np.ndarray, own: np.ndarray, limits: Limits) -> list[tuple]:
+def matches_in(texts: list[bytes], items: Items, weight: np.ndarray, weighted: np.ndarray, queries: Queries, limits: Limits) -> list[tuple]:
     """(text, item, cosine, share in order, answer's share, longest run) of the items that texts hold."""
     found = Halves(texts, items, weight)
-    if not len(found.half):
+    if not len(found.place):
         return []
-    sums, at = found.sums(weighted), found.passages()
+    sums = found.sums(weighted)
+    at = np.union1d(found.passages(), found.half)
+    pairs = np.unique(np.concatenate([found.in_runs(queries.runs, limits.run), *near_items(sums, at, queries)]), axis=0)
+    pairs = pairs[np.lexsort((pairs[:, 0], pairs[:, 1]))]
     best: dict[tuple[int, int], tuple] = {}
-    text_of = np.searchsorted(found.slot, at, side="right") - 1
-    for h, k, cosine in near_items(sums, at, own, limits.cosine):
-        t = int(text_of[h])
-        begin = int(at[h] - found.slot[t]) * HALF
-        reach = max(HALF, len(items.words[k]))  # the longer an item, the further it may go beyond the passage
+    text_of = np.searchsorted(found.slot, pairs[:, 0], side="right") - 1
+    last = (-1, -1, 0)
+    for (h, k), t in zip(pairs.tolist(), text_of.tolist(), strict=True):
+        n = len(items.words[k])
+        begin = (h - int(found.slot[t])) * HALF
+        # Halves that lie close together for a long item are checked as one, in a region that holds theirs.
+        close = n // 8 if n // 8 >= HALF else 0
+        if last[:2] == (t, k) and begin - last[2] <= close:
+            continue
+        last = (t, k, begin)
+        reach = max(HALF, n) + close  # the longer an item, the further it may go beyond the passage
         low, high = max(0, begin - reach), min(int(found.n_words[t]), begin + 2 * HALF + reach)
         region = found.words[found.first[t] + low : found.first[t] + high]
-        have, n = set(region.tolist()), len(items.words[k])
+        have = set(region.tolist())
         most = sum(map(have.__contains__, items.lists[k]))  # no more can be in order, or in a row
         if most < limits.with_answer * n and most < limits.run:
             continue
@@ -276,6 +361,7 @@ def matches_in(texts: list[bytes], items: Items, weight: np.ndarray, weighted: n
         order, run = shared / n, common_run(items.words[k], region)
         answer = common_subsequence(items.answers[k], region) / len(items.answers[k])
         if order >= limits.alone or order >= limits.with_answer and answer >= limits.answer or run >= limits.run:
+            cosine = float(unit(sums[h : h + 1] + sums[h + 1 : h + 2])[0] @ queries.own[queries.whole[k]])
             best[t, k] = max(best.get((t, k), (0, 0, 0, 0)), (order, cosine, answer, run))
     return [(t, items.ids[k], cosine, order, answer, run) for (t, k), (order, cosine, answer, run) in best.items()]
 
@@ -305,16 +391,15 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", doc_id:
         weight = term_weights(items, n, held)
         basis = latent_space(texts, items, weight)
         weighted = (basis * weight[:, None]).astype(np.float32)
-        own = np.stack([weighted[np.searchsorted(items.terms, words)].sum(0) for words in items.words])
-        own /= np.maximum(np.sqrt((own**2).sum(1, keepdims=True)), 1e-12)
+        queries = Queries.of(items, weighted, limits)
 
-        def run(batches: Iterator[pa.RecordBatch], items=items, weight=weight, weighted=weighted, own=own) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], items=items, weight=weight, weighted=weighted, queries=queries) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 doc_ids = batch.column(0).to_pylist()
                 rows = [
                     (doc_ids[first + t], *found)
                     for first, group in in_groups(batch.column(1).to_pylist())
-                    for t, *found in matches_in(group, items, weight, weighted, own, limits)
+                    for t, *found in matches_in(group, items, weight, weighted, queries, limits)
                 ]
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
                 columns = list(zip(*rows, strict=True)) or [[]] * 6

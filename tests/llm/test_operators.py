@@ -255,6 +255,37 @@ def test_leaks(spark, docs_of, texts):
     assert want <= found and all(i in planted or (i, k) in want for i, k in found)
 
 
+def test_leaks_in_part(spark, docs_of, texts):
+    """Runs of 13 words, reworded items and long ones, with a full block of items."""
+    rng = random.Random(1)
+    words = [w for i in sorted(texts)[:400] for w in texts[i].split() if w.isalnum()]
+    items = {k: [rng.choice(words) for _ in range(300 if k < 50 else 40)] for k in range(5000)}
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    rows, runs, reworded = [], set(), set()
+    for n in range(120):
+        k = n if n < 40 else 50 + n
+        own, want = items[k], reworded
+        if n % 2:
+            at = rng.randrange(len(own) - 12)
+            own, want = own[at : at + 13], runs
+        else:
+            own = [w if i % 6 != 3 else f"zz{i}" for i, w in enumerate(own)]
+        at = rng.randrange(50, 300)
+        rows.append((n, " ".join(words[n * 400 : n * 400 + at] + own + words[n * 400 + at : n * 400 + 400])))
+        want.add((n, k))
+    rows += [(1000 + n, t) for n, t in enumerate(texts.values())]
+    found = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs_of(rows), bench).collect()}
+    assert runs <= found and len(reworded & found) >= 0.9 * len(reworded)
+    assert len(found - runs - reworded) <= 2
+
+
+def test_runs_do_not_cross_texts():
+    items = decontamination.Items.of([(7, " ".join(f"w{i}" for i in range(20)))])
+    text = lambda a, b: " ".join(f"w{i}" for i in range(a, b)).encode()
+    found = decontamination.Halves([text(0, 12), b"", text(12, 20), b"x " * 30 + text(3, 16)], items)
+    assert found.in_runs(items.runs(13), 13).tolist() == [[6, 0]]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 4), min_size=1, max_size=20), st.lists(st.integers(0, 4), max_size=30))
 def test_common_words(a, b):
