@@ -2,7 +2,8 @@
 
 Words and identifiers come to several characters a token; random keys come to fewer than two. So
 long strings of key characters are encoded with a public vocabulary, and a low ratio is reported,
-unless the string is a digest of a known length, a UUID, a number or made of plain words.
+unless the string is a digest of a known length, a UUID, a number or made of plain words. Whether
+letters are a word is up to the vocabulary too.
 """
 
 from __future__ import annotations
@@ -32,7 +33,10 @@ NAMES = (b"passw", b"secret", b"token", b"api")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 DIGEST_LENGTHS = frozenset({32, 40, 56, 64, 96, 128})
-KNOWN = re.compile(r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}|[0-9+/_=-]+|(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[-_/=+]+(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*")
+UUID = r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}"
+KNOWN = re.compile(UUID + r"|[0-9+/_=-]+")
+JOINED = re.compile(r"(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[-_/=+]+(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*")
+LETTERS = re.compile(r"[A-Za-z]+")
 HEX_ANY_CASE = re.compile(r"[0-9A-Fa-f]+")
 CHUNK = 512
 
@@ -52,9 +56,17 @@ def chars_per_token(string: str, vocabulary: str = VOCABULARY) -> float:
     return len(string) / sum(len(own.encode_ordinary(string[i : i + CHUNK])) for i in range(0, len(string), CHUNK))
 
 
-def is_known(string: str) -> bool:
-    """Digests of known lengths, UUIDs, numbers, and words joined by marks."""
-    return bool(len(string) in DIGEST_LENGTHS and HEX_ANY_CASE.fullmatch(string) or KNOWN.fullmatch(string))
+@lru_cache(maxsize=1 << 16)
+def is_word(letters: str, threshold: float, vocabulary: str) -> bool:
+    """Letters that come to several characters a token; a single letter is no key either, however often it is repeated."""
+    return len(set(letters)) == 1 or chars_per_token(letters, vocabulary) >= threshold
+
+
+def is_known(string: str, threshold: float = 1.95, vocabulary: str = VOCABULARY) -> bool:
+    """Digests of known lengths, UUIDs, numbers, and words joined by marks and short numbers."""
+    if len(string) in DIGEST_LENGTHS and HEX_ANY_CASE.fullmatch(string) or KNOWN.fullmatch(string):
+        return True
+    return bool(JOINED.fullmatch(string)) and all(is_word(x, threshold, vocabulary) for x in LETTERS.findall(string))
 
 
 def find(text: str | None, threshold: float = 1.95, vocabulary: str = VOCABULARY) -> list[tuple[str, int, int]]:
@@ -70,7 +82,7 @@ def find(text: str | None, threshold: float = 1.95, vocabulary: str = VOCABULARY
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
         for m in CANDIDATE.finditer(text):
-            if not is_known(m[0]) and chars_per_token(m[0], vocabulary) < threshold:
+            if chars_per_token(m[0], vocabulary) < threshold and not is_known(m[0], threshold, vocabulary):
                 found.append((m.start(), 3, m.end()))
     return [(KINDS[k], start, end) for start, k, end in sorted(found)]
 

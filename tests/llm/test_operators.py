@@ -67,6 +67,17 @@ def test_secrets():
     assert secrets.redacted(None) is None and secrets.redacted("plain") == "plain"
 
 
+def test_secrets_of_letters():
+    rng = random.Random(0)
+    key = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    small, large = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for make in (lambda: key(small, 24), lambda: key(large, 24), lambda: "-".join(key(large, 5) for _ in range(5))):
+        keys = [make() for _ in range(200)]
+        assert sum(secrets.find(f"key {k} end") == [("random", 4, 4 + len(k))] for k in keys) >= 180
+    for known in ("internationalization", "src/main/java/server/application", "MAXIMUM_BUFFER_SIZE_2024", "2024-01-29-release-notes", "4929-1048-5720-1938", "A/B/C/D/E/F/G/H/I"):
+        assert secrets.find(known) == []
+
+
 def test_secret_query(spark, texts):
     rows = {r.doc_id: r for r in registry.QUERIES["op2_token_efficiency"](spark, SF).collect()}
     for i, t in texts.items():
