@@ -3,7 +3,8 @@
 Words and identifiers come to several characters a token; random keys come to fewer than two. So
 long strings of key characters are encoded with a public vocabulary, and a low ratio is reported,
 unless the string is a digest of a known length, a UUID, a number or made of plain words. Whether
-letters are a word is up to the vocabulary too.
+letters are a word is up to the vocabulary too. Where words dilute a key, as in a path, the ratio is
+taken of the parts between marks, and of stretches of tokens within a part.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +39,8 @@ UUID = r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}"
 KNOWN = re.compile(UUID + r"|[0-9+/_=-]+")
 JOINED = re.compile(r"(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[-_/=+]+(?:[A-Za-z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*")
 LETTERS = re.compile(r"[A-Za-z]+")
+PART = re.compile(rf"(?<![0-9A-Za-z]){UUID}(?![0-9A-Za-z])|[0-9A-Za-z]+")
+LEAST = 16  # characters of a key
 HEX_ANY_CASE = re.compile(r"[0-9A-Fa-f]+")
 CHUNK = 512
 
@@ -69,6 +73,58 @@ def is_known(string: str, threshold: float = 1.95, vocabulary: str = VOCABULARY)
     return bool(JOINED.fullmatch(string)) and all(is_word(x, threshold, vocabulary) for x in LETTERS.findall(string))
 
 
+def low_within(part: str, threshold: float, vocabulary: str) -> list[tuple[int, int]]:
+    """(start, end) of the stretches of tokens, joined where they meet, in which every ``LEAST`` characters come to a low ratio."""
+    own = encoder(vocabulary)
+    tokens = [own.decode_single_token_bytes(t) for i in range(0, len(part), CHUNK) for t in own.encode_ordinary(part[i : i + CHUNK])]
+    at = [0, *accumulate(map(len, tokens))]
+    out: list[tuple[int, int]] = []
+    end = 0
+    for first in range(len(tokens)):
+        while end < len(tokens) and at[end] - at[first] < LEAST:
+            end += 1
+        size = at[end] - at[first]
+        if size >= LEAST and size / (end - first) < threshold and len(set(part[at[first] : at[end]])) > 1:
+            if out and at[first] <= out[-1][1]:
+                out[-1] = out[-1][0], at[end]
+            else:
+                out.append((at[first], at[end]))
+    return [(a, b) for a, b in out if not is_known(part[a:b], threshold, vocabulary)]
+
+
+def low_parts(string: str, threshold: float, vocabulary: str) -> list[tuple[int, int]]:
+    """(start, end) of what is low in a string that is not low as a whole.
+
+    Adjacent parts that are low are one stretch, also across a short part that is not, and it is
+    reported if it is as long as a key and low parts are half of it.
+    """
+    out: list[tuple[int, int]] = []
+    stretch: list[tuple[int, int]] = []  # low parts
+    between = 0  # characters of other parts since the last low one
+
+    def close() -> None:
+        if stretch:
+            a, b = stretch[0][0], stretch[-1][1]
+            enough = b - a >= LEAST and 2 * sum(y - x for x, y in stretch) >= b - a
+            if enough and chars_per_token(string[a:b], vocabulary) < threshold and not is_known(string[a:b], threshold, vocabulary):
+                out.append((a, b))
+        stretch.clear()
+
+    for m in PART.finditer(string):
+        part, (a, b) = m[0], m.span()
+        if not is_known(part, threshold, vocabulary) and chars_per_token(part, vocabulary) < threshold:
+            stretch.append((a, b))
+            between = 0
+            continue
+        between += len(part)
+        if between > 6:
+            close()
+        if len(part) > LEAST and not is_known(part, threshold, vocabulary):
+            out += [(a + x, a + y) for x, y in low_within(part, threshold, vocabulary)]
+    close()
+    return sorted(out)
+
+
 def find(text: str | None, threshold: float = 1.95, vocabulary: str = VOCABULARY) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start and then kind. A null or empty text has none."""
     if not text:
@@ -82,8 +138,10 @@ def find(text: str | None, threshold: float = 1.95, vocabulary: str = VOCABULARY
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
         for m in CANDIDATE.finditer(text):
-            if chars_per_token(m[0], vocabulary) < threshold and not is_known(m[0], threshold, vocabulary):
-                found.append((m.start(), 3, m.end()))
+            if is_known(m[0], threshold, vocabulary):
+                continue
+            low = [(0, len(m[0]))] if chars_per_token(m[0], vocabulary) < threshold else low_parts(m[0], threshold, vocabulary)
+            found += [(m.start() + a, 3, m.start() + b) for a, b in low]
     return [(KINDS[k], start, end) for start, k, end in sorted(found)]
 
 

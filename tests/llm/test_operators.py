@@ -78,6 +78,24 @@ def test_secrets_of_letters():
         assert secrets.find(known) == []
 
 
+def test_secrets_in_paths():
+    rng = random.Random(0)
+    mixed = "".join(chr(c) for c in range(48, 123) if chr(c).isalnum())
+    path = "/documents/download/profile/settings/"
+    for before, after in ((path, ""), (path * 20, "/index"), ("callback=", "=/download=true/documents/settings/" * 3), ("DownloadProfileSettingsDocuments", "")):
+        found = 0
+        for _ in range(200):
+            key = "".join(rng.choice(mixed) for _ in range(20))
+            text = f"see {before}{key}{after} end"
+            found += all(c not in secrets.redacted(text) for c in (key, key[4:16]))
+        assert found >= 190
+    licence = "QXJTR-WVKZP-MJQXW-ZKVBH-PWXQJ"
+    long = path * 2 + licence
+    assert [(k, long[a:b]) for k, a, b in secrets.find(long)] == [("random", licence)]
+    for known in (path * 3, path + "2024/01/29/release-notes", path * 3 + "123e4567-e89b-12d3-a456-426614174000", "createOrReplaceTempView/getElementById/v2/js/x1", path * 3 + "4929104857201938"):
+        assert secrets.find(known) == []
+
+
 def test_secret_query(spark, texts):
     rows = {r.doc_id: r for r in registry.QUERIES["op2_token_efficiency"](spark, SF).collect()}
     for i, t in texts.items():
