@@ -7,11 +7,14 @@ only one document has need no index. For the others each shard builds a compress
 the segments sent to it and streams the segments through it by backward search; every window gets
 the smallest id among the documents that hold it. Documents send each distinct segment once for
 each bucket of documents, so a passage that very many documents share is gathered before it moves.
+Where very many segments share a minimizer in different surroundings, their windows are routed by
+the hash of all their words instead, which still brings equal windows together.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
@@ -65,16 +68,31 @@ def _distinct_runs(docs: list[tuple[int | None, bytes]]) -> list[tuple]:
     return out
 
 
-def _keys_of(docs: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct minimizers of a bucket in order, and whether documents of different ids have each."""
+def _keys_of(docs: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct minimizers of a bucket in order, whether documents of different ids have each, and how many segments do."""
     keys = np.concatenate([d[5] for d in docs]) if docs else np.zeros(0, np.uint64)
     ids = np.concatenate([np.full(len(d[5]), d[0], np.int64) for d in docs]) if docs else np.zeros(0, np.int64)
     order = np.argsort(keys, kind="stable")
     keys, ids = keys[order], ids[order]
     at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     if not len(at):
-        return keys, np.zeros(0, bool)
-    return keys[at], np.minimum.reduceat(ids, at) < np.maximum.reduceat(ids, at)
+        return keys, np.zeros(0, bool), np.zeros(0, np.uint32)
+    return keys[at], np.minimum.reduceat(ids, at) < np.maximum.reduceat(ids, at), np.diff(np.append(at, len(keys))).astype(np.uint32)
+
+
+def _segments(docs: list[tuple], keys: np.ndarray, hot: np.ndarray) -> Iterator[tuple[int, int, int, np.uint64, bytes]]:
+    """(id, text's digest, place, key, words) of the segments of documents, in order, whose minimizers are among ``keys``; where those are hot, of single windows, with a key of their own."""
+    for d, digest, h, first, size, key in docs:
+        at = np.searchsorted(keys, key)
+        at[at == len(keys)] = 0
+        for r in np.flatnonzero(keys[at] == key) if len(keys) else []:
+            a, n = int(first[r]), int(size[r])
+            if not hot[at[r]]:
+                yield d, digest, a, key[r], h[a : a + n + WIDTH - 1].tobytes()
+                continue
+            for start in range(a, a + n):
+                content = h[start : start + WIDTH].tobytes()
+                yield d, digest, start, np.uint64(xxhash.xxh3_64_intdigest(content)), content
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -94,8 +112,8 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
-ASK = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("several", pa.binary())])
-LIVE = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("live", pa.binary())])
+ASK = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("several", pa.binary()), ("segments", pa.binary())])
+LIVE = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("live", pa.binary()), ("hot", pa.binary())])
 #: For a shard below 0, one for each bucket: where the bucket's documents have which segment (a: ids, b: digests, c: places, d: segments).
 #: Else segments (a: word codes, b: lengths, c: least ids, d: the words' hashes by code).
 SENT = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
@@ -115,14 +133,15 @@ def _by_shard(keys: np.ndarray, shards: int):
     return [(int(to[p[0]]), p) for p in np.split(order, cut[1:]) if len(p)]
 
 
-def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", bucket_bytes: int = 8 << 20, shard_bytes: int = 12 << 20) -> DataFrame:
+def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", bucket_bytes: int = 8 << 20, shard_bytes: int = 12 << 20, hot: int = 20_000) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text as UTF-8) for every row.
 
     A word goes if a window of 13 words over it also starts in a document with a smaller id; all
     windows are judged on the input. Null and empty texts have no words. Rows without an id keep all
     words and take none from others. Rows that share an id are one document for the comparison, and
     each gives a row. An empty table gives no rows. Words are told apart by 64-bit hashes. The
-    numbers of buckets and shards grow with the bytes of the input.
+    numbers of buckets and shards grow with the bytes of the input; minimizers with more than ``hot``
+    segments are spread over the shards.
     """
     source = df.select(F.col(doc_id).cast("long").alias("doc_id"), text_bytes(text).alias("text"))
     total = source.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
@@ -130,42 +149,38 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", bu
     docs = source.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"))
 
     def ask(table: pa.Table) -> pa.Table:
-        keys, several = _keys_of(_distinct_runs(_documents(table)))
+        keys, several, segments = _keys_of(_distinct_runs(_documents(table)))
         bucket = table["bucket"][0].as_py()
-        return _rows([(s, bucket, _pack(keys[p]), _pack(several[p])) for s, p in _by_shard(keys, shards)], ASK)
+        return _rows([(s, bucket, _pack(keys[p]), _pack(several[p]), _pack(segments[p])) for s, p in _by_shard(keys, shards)], ASK)
 
     def answer(table: pa.Table) -> pa.Table:
         keys = [_ints(x, np.uint64) for x in table["keys"].to_pylist()]
         _, place, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
         several = np.concatenate([_ints(x, bool) for x in table["several"].to_pylist()])
         live = np.bincount(place, weights=several) + times > 1
-        own = np.split(live[place], np.cumsum([len(k) for k in keys])[:-1])
-        return _rows([(b, s, _pack(np.packbits(x))) for b, s, x in zip(table["bucket"].to_pylist(), table["shard"].to_pylist(), own, strict=True)], LIVE)
+        many = np.bincount(place, weights=np.concatenate([_ints(x, np.uint32) for x in table["segments"].to_pylist()])) > hot
+        cut = np.cumsum([len(k) for k in keys])[:-1]
+        answers = zip(table["bucket"].to_pylist(), table["shard"].to_pylist(), np.split(live[place], cut), np.split(many[place], cut), strict=True)
+        return _rows([(b, s, _pack(np.packbits(x)), _pack(np.packbits(y))) for b, s, x, y in answers], LIVE)
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         found = _distinct_runs(_documents(left))
-        keys, _ = _keys_of(found)
-        answers = dict(zip(right["shard"].to_pylist(), right["live"].to_pylist(), strict=True))
-        live = np.zeros(len(keys), bool)
+        keys, _, _ = _keys_of(found)
+        answers = {r["shard"]: r for r in right.to_pylist()}
+        live, many = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
         for s, p in _by_shard(keys, shards):
-            live[p] = np.unpackbits(_ints(answers[s], np.uint8), count=len(p))
-        keys = keys[live]
+            live[p] = np.unpackbits(_ints(answers[s]["live"], np.uint8), count=len(p))
+            many[p] = np.unpackbits(_ints(answers[s]["hot"], np.uint8), count=len(p))
         segments: dict[bytes, int] = {}
         words, lengths, least, to, places = [], [], [], [], []
-        for d, digest, h, first, size, key in found:  # in the order of ids
-            at = np.searchsorted(keys, key)
-            at[at == len(keys)] = 0
-            own = np.flatnonzero(keys[at] == key) if len(keys) else []
-            for r in own:
-                a, n = int(first[r]), int(size[r]) + WIDTH - 1
-                content = h[a : a + n].tobytes()
-                s = segments.setdefault(content, len(segments))
-                if s == len(words):
-                    words.append(content)
-                    lengths.append(n)
-                    least.append(d)
-                    to.append(key[r])
-                places.append((d, digest, a, s))
+        for d, digest, a, key, content in _segments(found, keys[live], many[live]):  # in the order of ids
+            s = segments.setdefault(content, len(segments))
+            if s == len(words):
+                words.append(content)
+                lengths.append(len(content) // 8)
+                least.append(d)
+                to.append(key)
+            places.append((d, digest, a, s))
         if not places:
             return SENT.empty_table()
         bucket = left["bucket"][0].as_py()

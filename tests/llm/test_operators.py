@@ -354,6 +354,24 @@ def test_substrings(spark, docs_of, texts):
         assert got == brute_removal(rows)
 
 
+def test_frequent_minimizers(spark, docs_of):
+    """A phrase in all documents, in other surroundings each time, does not bring all of them to one shard."""
+    rng = random.Random(0)
+    other = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    least = lambda w: int(substrings.runs(" ".join(w).encode())[3][0])
+    text = min((other(13) for _ in range(3000)), key=least)
+    phrase = next(text[i : i + 5] for i in range(9) if least(text[i : i + 5] + other(8)) == least(text))
+    rows = [(i, " ".join([*other(20), *phrase, *other(20)])) for i in range(300)]
+    rows += [(1000 + i, " ".join(other(3) + t.split()[14:31] + other(3))) for i, t in rows[:40]]  # windows over the phrase that others hold too
+    docs = substrings._distinct_runs([(i, t.encode()) for i, t in rows])
+    keys, _, segments = substrings._keys_of(docs)
+    largest = lambda hot: max(np.unique([int(x[3]) for x in substrings._segments(docs, keys, hot)], return_counts=True)[1])
+    assert largest(segments < 0) >= 300 and largest(segments > 50) <= 50
+    for hot in (50, 20_000):
+        got = {r.doc_id: (r.n_words, r.n_removed, bytes(r.kept_text)) for r in substrings.remove_repeats(docs_of(rows), bucket_bytes=5_000, shard_bytes=5_000, hot=hot).collect()}
+        assert got == brute_removal(rows) and sum(r[1] for r in got.values()) > 40 * 13
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 3), min_size=13, max_size=40), min_size=1, max_size=8))
 def test_index(sequences):
