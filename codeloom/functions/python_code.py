@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -177,12 +178,12 @@ def import_rows(files: DataFrame) -> DataFrame:
     return files.where(F.lower("path").endswith(".py")).select("path", "content").mapInPandas(run, "path string, pos int, target string, name string")
 
 
-def file_dependencies(files: DataFrame, depth: int = 6) -> DataFrame:
+def file_dependencies(files: DataFrame) -> DataFrame:
     """Distinct (src, dst) between Python files.
 
     A dotted path stands for ``a/b.py`` or else ``a/b/__init__.py``. What a package re-exports is
     followed to the file that defines it: only the name that was asked for, or, where the package
-    itself was asked for or has no such name, all that it imports. ``depth`` bounds the chain, and
+    itself was asked for or has no such name, all that it imports. Chains are followed to their end, and
     cycles end by themselves, as files seen before are not followed again.
     """
     from codeloom.sources.scratch import materialize
@@ -207,7 +208,7 @@ def file_dependencies(files: DataFrame, depth: int = 6) -> DataFrame:
     )
     steps = materialize(steps.where("via <> next").distinct(), "exports")
     offered = steps.select(F.col("via").alias("dst"), F.col("exported").alias("symbol")).distinct().withColumn("has", F.lit(True))
-    for level in range(depth):
+    for level in count():
         here = frontier.where(F.col("dst").endswith("__init__.py")).join(offered, ["dst", "symbol"], "left")
         more = (
             here.join(steps, here.dst == steps.via)
@@ -219,4 +220,6 @@ def file_dependencies(files: DataFrame, depth: int = 6) -> DataFrame:
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier.select("src", "dst"))
+        if level % 16 == 15:  # so that the plan does not grow with the chain
+            found = materialize(found, f"found{level}")
     return found.distinct()

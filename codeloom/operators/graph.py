@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,24 +92,26 @@ def top_level(functions: DataFrame, contained: DataFrame, key: str) -> DataFrame
     return functions.join(contained, key, "left_anti")
 
 
-def reachable(pairs: DataFrame, start: DataFrame, depth: int = 10) -> DataFrame:
-    """(key, depth): what can be reached over (src, dst) in at most ``depth`` steps, with the least number of steps.
+def reachable(pairs: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
+    """(key, depth): what can be reached over (src, dst), in at most ``depth`` steps if that is given, with the least number of steps.
 
     Each round joins only what the last one added, and cuts the lineage; it ends when nothing is new.
     """
     seen = frontier = materialize(start.select("key").distinct().withColumn("depth", F.lit(0)), "depth0")
-    for step in range(1, depth + 1):
+    for step in count(1) if depth is None else range(1, depth + 1):
         new = frontier.join(pairs, frontier.key == pairs.src).select(F.col("dst").alias("key")).distinct().join(seen, "key", "left_anti")
         frontier = materialize(new.withColumn("depth", F.lit(step)), f"depth{step}")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if step % 16 == 0:  # so that the plan does not grow with the depth
+            seen = materialize(seen, f"seen{step}")
     return seen
 
 
-def closure(victims: DataFrame, contains: DataFrame, depth: int = 8) -> DataFrame:
-    """The nodes in or under ``victims`` (column key) by containment edges (src, dst)."""
-    return reachable(contains, victims, depth).select("key")
+def closure(victims: DataFrame, contains: DataFrame) -> DataFrame:
+    """The nodes in or under ``victims`` (column key) by containment edges (src, dst), at any depth."""
+    return reachable(contains, victims).select("key")
 
 
 def under_folder(path: Column, folder: str) -> Column:

@@ -68,6 +68,15 @@ def test_python_dependencies(spark):
     assert ("main.py", "pkg/b.py") not in {x for x in got if x[0] == "main.py"} or ("main.py", "pkg/__init__.py") in got
 
 
+def test_long_chains_of_exports(spark):
+    """Ten packages hand a name on, and the last but one also leads back to the first."""
+    rows = [("use.py", "from p0 import f\n"), ("end.py", "def f(): pass\n")]
+    rows += [(f"p{i}/__init__.py", f"from p{i + 1} import f\n" if i < 9 else "from end import f\nfrom p0 import f\n") for i in range(10)]
+    files = spark.createDataFrame(rows, "path string, content string")
+    got = {r.dst for r in python_code.file_dependencies(files).collect() if r.src == "use.py"}
+    assert got == {"end.py", *(f"p{i}/__init__.py" for i in range(10))}
+
+
 def test_other_languages(spark):
     row = spark.range(1).select(other_code.imported(F.lit("import a from './a'; require('node:fs'); import('./b')"), "javascript").alias("x")).first()
     assert row.x == ["./a", "./b"]

@@ -101,6 +101,14 @@ def test_graph(spark):
     assert [(r.key, r.name, r.node_type) for r in stubs] == [("m.g", "g", "api")]
 
 
+def test_closure_at_any_depth(spark):
+    """A chain of 20 edges whose last node leads back to the first."""
+    contains = spark.createDataFrame([(f"n{i}", f"n{(i + 1) % 21}") for i in range(21)] + [("x", "y")], "src string, dst string").coalesce(1)
+    start = spark.createDataFrame([("n0",)], "key string")
+    assert {r.key for r in g.closure(start, contains).collect()} == {f"n{i}" for i in range(21)}
+    assert {(r.key, r.depth) for r in g.reachable(contains, start, 2).collect()} == {("n0", 0), ("n1", 1), ("n2", 2)}
+
+
 def test_states(spark):
     cols = schema.TABLES["file_state"]
     row = lambda path, status, done, updated, attempts=1: ("r", path, status, attempts, None, None, done, stamp(1), updated)
