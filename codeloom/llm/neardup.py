@@ -22,12 +22,13 @@ from itertools import combinations
 from math import ceil
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import components, small_arrow_batches, text_bytes
+from codeloom.llm.common import components, partitions_for, spread_join, text_bytes
 from codeloom.sources.scratch import materialize
 from codeloom.sources.tables import read_table
 
@@ -59,16 +60,9 @@ def simhash(text: bytes, width: int = 4) -> int:
     return int(np.packbits(set_bits * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp) for each row; fp holds the 64 bits as a signed long."""
-    small_arrow_batches(df.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.array([simhash(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
-
-    return df.select(F.col(doc_id).cast("long"), text_bytes(text)).mapInArrow(run, "doc_id long, fp long")
+def fingerprint(text: Column) -> Column:
+    """The 64 bits of a text's fingerprint as a signed long."""
+    return F.pandas_udf(lambda s: pd.Series(np.array([simhash(t) for t in s], np.uint64).view(np.int64)), "long")(text_bytes(text))
 
 
 @lru_cache(maxsize=1)
@@ -124,13 +118,30 @@ def bucket_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def spanning_links(fps: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def spanning_links(fps: np.ndarray, bits: int, direct: int = 2000) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links that connect what is connected among the fingerprints of one bucket.
 
     The search goes on from one fingerprint to those not yet reached, so a tight group takes one
-    comparison a member and not one a pair.
+    comparison a member and not one a pair. A bucket of over ``direct`` is split before: the bits in
+    which its members differ are cut into one part more than there may be errors, so fingerprints
+    that link agree in a part and meet among those that share it.
     """
     out, rest = [], np.unique(fps)
+    if len(rest) > direct:
+        differ = int(np.bitwise_or.reduce(rest ^ rest[0]))
+        places = [i for i in range(64) if differ >> i & 1]
+        parts = [np.uint64(sum(1 << i for i in places[k :: bits + 1])) for k in range(bits + 1)]
+        for part in parts if len(places) > bits else []:
+            shared = rest & part
+            order = np.argsort(shared, kind="stable")
+            for group in np.split(rest[order], np.flatnonzero(np.diff(shared[order])) + 1):
+                out += _reached(group, bits)
+        return out if len(places) > bits else _reached(rest, bits)
+    return _reached(rest, bits)
+
+
+def _reached(rest: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    out = []
     while len(rest) > 1:
         open_, rest = [rest[0]], rest[1:]
         while open_ and len(rest):
@@ -147,12 +158,14 @@ def links(fps: DataFrame, bits: int = 4, keys_in_task: int = 3_000_000) -> DataF
     """Links (a, b) between distinct fingerprints in column fp, enough to connect every component.
 
     Batches send their keys to tasks as arrays, one for each task that a key can go to; the number
-    of tasks grows with the number of fingerprints. A bucket keeps 8 bytes for each of its distinct
-    fingerprints, and copies of a text have one fingerprint however many they are.
+    of tasks, and that of the partitions in which they are exchanged, grows with the number of
+    fingerprints. A bucket keeps 8 bytes for each of its distinct fingerprints, and copies of a text
+    have one fingerprint however many they are.
     """
     if bits > 4:
         raise ValueError("the keys cover up to 4 differing bits")
-    tasks = max(1, ceil(fps.count() * 70 / keys_in_task))
+    keys = fps.count() * 70
+    tasks = max(1, ceil(keys / keys_in_task))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +195,16 @@ def links(fps: DataFrame, bits: int = 4, keys_in_task: int = 3_000_000) -> DataF
         return pa.table({"a": pairs[0].view(np.int64), "b": pairs[1].view(np.int64)})
 
     sent = fps.select("fp").mapInArrow(send, "task int, keys binary, fps binary")
-    return sent.groupBy("task").applyInArrow(meet, "a long, b long")
+    partitions = min(tasks, partitions_for(16 * keys))
+    return sent.repartition(max(partitions, fps.sparkSession.sparkContext.defaultParallelism), "task").groupBy("task").applyInArrow(meet, "a long, b long")
+
+
+def _labelled(by_fp: DataFrame, bits: int) -> DataFrame:
+    """``by_fp``, which has distinct fingerprints, with the label of each one's component."""
+    labels = components(links(by_fp, bits))
+    return materialize(
+        by_fp.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp")), "labelled"
+    )
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", bits: int = 4) -> DataFrame:
@@ -190,32 +212,37 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", b
 
     Null and empty texts have fingerprint zero and link like any other. Repeated rows give repeated
     results. Null ids are reported but never name a component while it has another id. An empty
-    table gives no rows.
+    table gives no rows. Fingerprints of very many rows and components of very many fingerprints
+    are joined by a broadcast of bounded size.
     """
-    docs = materialize(fingerprints(df, text, doc_id), "fingerprints")
-    by_fp = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    labels = components(links(by_fp, bits))
-    named = by_fp.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    firsts = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    by_fp = materialize(named.join(firsts, "label").select("fp", "component_id"), "components")
-    return docs.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    docs = materialize(df.select(F.col(doc_id).cast("long").alias("doc_id"), fingerprint(F.col(text)).alias("fp")), "fingerprints")
+    by_fp = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows")), "distinct")
+    labelled = _labelled(by_fp, bits)
+    firsts = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    of_fp = spread_join(labelled, firsts, "label", labelled.count()).select("fp", "component_id", F.col("rows").alias("n"))
+    out = spread_join(docs, materialize(of_fp, "components"), "fp", docs.count())
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", bits: int = 4) -> DataFrame:
-    """Of each component of near-duplicates the row with the smallest id, with all its columns.
+    """Of each component of near-duplicates one row, with all its columns: that with the smallest id, and of rows with that id the one whose text has the least hash.
 
-    Rows that repeat an id and its text count once. Rows without an id cannot be named and stay.
+    What is decided is decided about rows, so two texts under one id may part ways. Ids that are null
+    come last: such a row stays only where its component has no other. Of rows with the same id and
+    text one stays, of those the one whose other columns have the least hash. Null and empty texts
+    are near-duplicates of each other. An empty table gives no rows. Columns may have any names.
     """
-    found = near_duplicates(df, text, doc_id, bits)
-    firsts = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    order = Window.partitionBy(F.col(doc_id), F.xxhash64(text)).orderBy(F.col(doc_id))
-    named = (
-        df.join(firsts, F.col(doc_id).cast("long") == F.col("__id"), "left_semi")
-        .withColumn("__copy", F.row_number().over(order))
-        .where("__copy = 1")
-        .drop("__copy")
-    )
-    return named.unionByName(df.where(F.col(doc_id).isNull()))
+    plain = [c for c, kind in df.dtypes if "map<" not in kind and kind != "variant"]
+    rows = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{doc_id}`").cast("long").alias("id"), text_bytes(F.col(f"`{text}`")).alias("text")
+    ).withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
+    name = F.struct(F.col("id").isNull().alias("no_id"), "id", "h1", "h2")
+    docs = materialize(rows.select(fingerprint(F.col("text")).alias("fp"), name.alias("name")).groupBy("fp").agg(F.min("name").alias("first")), "distinct")
+    winners = _labelled(docs, bits).groupBy("label").agg(F.min("first").alias("first")).select("first.id", "first.h1", "first.h2")
+    # Rows that agree in id and text are one before anything moves, however many they are.
+    single = rows.groupBy("id", "h1", "h2").agg(F.min_by("row", F.xxhash64(*[F.col("row")[c] for c in plain])).alias("row")).alias("r")
+    same = F.col("r.id").eqNullSafe(F.col("w.id")) & (F.col("r.h1") == F.col("w.h1")) & (F.col("r.h2") == F.col("w.h2"))
+    return single.join(winners.alias("w"), same, "left_semi").select("row.*")
 
 
 def op4_golay_simhash(spark, sf_dir: str) -> DataFrame:

@@ -1,10 +1,15 @@
-"""Words of a text as 64-bit hashes, computed on whole byte arrays."""
+"""Words of a text as 64-bit hashes, computed on whole byte arrays.
+
+Short words are hashed by a polynomial and a finaliser. Polynomials modulo 2^64 collide for long
+words of certain structures whatever their base, so words of 128 bytes or more are hashed one by one.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 
 from codeloom.llm.common import WHITE_SPACE
 
@@ -15,6 +20,7 @@ IS_SPACE[list(WHITE_SPACE)] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SAME = np.arange(256, dtype=np.uint8)
+LONG = 128
 
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -50,7 +56,10 @@ def word_hashes(raw: np.ndarray, fold: np.ndarray = SAME) -> tuple[np.ndarray, n
     terms += np.uint64(1)
     terms *= p[: len(raw)]
     np.cumsum(terms, out=terms)
-    return mix((sums[end] - sums[start]) * undo[start] + (end - start).astype(np.uint64)), start, end
+    found = mix((sums[end] - sums[start]) * undo[start] + (end - start).astype(np.uint64))
+    for i in np.flatnonzero(end - start >= LONG).tolist():
+        found[i] = xxhash.xxh3_64_intdigest(fold[raw[start[i] : end[i]]].tobytes())
+    return found, start, end
 
 
 def in_groups(texts: list[bytes], most: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
