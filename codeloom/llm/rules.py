@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import WHITE_SPACE, small_arrow_batches
+from codeloom.llm.common import WHITE_SPACE
+from codeloom.sources.scratch import materialize
 from codeloom.sources.tables import read_table
 
 # The commonest function words of the languages that the rules know.
@@ -125,10 +126,9 @@ def fit(patterns: np.ndarray, weight: np.ndarray, rounds: int = 200, smooth: flo
     return float(share), table
 
 
-def learn(df: DataFrame, text: str = "text") -> tuple[float, np.ndarray]:
-    """Fit the rules' accuracies on all rows of ``df``."""
-    small_arrow_batches(df.sparkSession)
-    v = df.select(traits_of(F.col(text)).alias("t")).select(*[x.alias(k) for k, x in votes(F.col("t")).items()])
+def learn(measured: DataFrame) -> tuple[float, np.ndarray]:
+    """Fit the rules' accuracies on all rows of a table that has the texts' traits in column t."""
+    v = measured.select(*[x.alias(k) for k, x in votes(F.col("t")).items()])
     seen = v.groupBy(*v.columns).count().collect()
     names = v.columns
     if not seen:
@@ -137,35 +137,46 @@ def learn(df: DataFrame, text: str = "text") -> tuple[float, np.ndarray]:
     return fit(np.array([[r[k] for k in names] for r in seen]), np.array([r["count"] for r in seen], float))
 
 
-def judge(df: DataFrame, text: str = "text", min_words: int = 50, threshold: float = 0.5) -> DataFrame:
-    """Add the traits, base_failed, posterior and kept to every row.
-
-    A text with under ``min_words`` words, or over half of whose words stand in repeated windows of
-    three, fails outright. Null and empty texts have no words and so fail. An empty table gives no
-    rows. Columns that have one of the added names are replaced.
-    """
-    share, table = learn(df, text)
-    t = F.col("__traits")
-    out = df.withColumn("__traits", traits_of(F.col(text)))
+def _judged(df: DataFrame, text: str, kept_columns: list[str], min_words: int, threshold: float) -> DataFrame:
+    """(row: the columns asked for, t: traits, base_failed, posterior, kept). Texts are read once: their traits go to a table, with what has to go on beside them."""
+    row = F.struct(*[F.col(f"`{c}`") for c in kept_columns]).alias("row")
+    measured = materialize(df.select(row, traits_of(F.col(f"`{text}`")).alias("t")), "traits")
+    share, table = learn(measured)
+    t = F.col("t")
     odds = F.lit(float(np.log(share / (1 - share))))
     for i, v in enumerate(votes(t).values()):
         worth = np.log(table[1, i] / table[0, i])
         odds = odds + F.when(v == 0, F.lit(float(worth[0]))).when(v == 1, F.lit(float(worth[1]))).otherwise(F.lit(float(worth[2])))
     failed = (t["n_words"] < min_words) | (100 * t["n_repeat_words"] > 50 * t["n_words"])
-    added = {x.split()[0]: t[x.split()[0]] for x in TRAITS.split(", ")[:5]}
-    out = out.withColumns(added | {"base_failed": failed, "posterior": 1 / (1 + F.exp(-odds))}).drop("__traits")
+    out = measured.withColumns({"base_failed": failed, "posterior": 1 / (1 + F.exp(-odds))})
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
 
 
-def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
-    """The rows that the rules keep, with all their columns as they were."""
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.col(text).alias("__text"))
-    return judge(rows, "__text").where("kept").select("__row.*")
+def judge(df: DataFrame, text: str = "text", min_words: int = 50, threshold: float = 0.5) -> DataFrame:
+    """Add the traits that the base rules look at, base_failed, posterior and kept to every row.
+
+    A text with under ``min_words`` words, or over half of whose words stand in repeated windows of
+    three, fails outright; one whose posterior is just the threshold is kept. Null and empty texts
+    have no words and so fail. Repeated rows are judged alike and each counts. An empty table gives
+    no rows. Columns that have one of the added names are replaced; all others keep their values.
+    """
+    traits_added = [x.split()[0] for x in TRAITS.split(", ")[:5]]
+    added = [*[F.col("t")[c].alias(c) for c in traits_added], "base_failed", "posterior", "kept"]
+    others = [c for c in df.columns if c not in (*traits_added, "base_failed", "posterior", "kept")]
+    return _judged(df, text, df.columns, min_words, threshold).select(*[F.col("row")[c].alias(c) for c in others], *added)
+
+
+def keep_good(df: DataFrame, text: str = "text", min_words: int = 50, threshold: float = 0.5) -> DataFrame:
+    """The rows that the rules keep, with all their columns as they were, whatever their names.
+
+    Null and empty texts go, repeated rows stay or go together, a posterior at the threshold stays,
+    and an empty table gives no rows.
+    """
+    return _judged(df, text, df.columns, min_words, threshold).where("kept").select("row.*")
 
 
 def op5_weak_supervision(spark, sf_dir: str) -> DataFrame:
     """The verdict on every document, from rules whose accuracy is estimated on all of them."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return judge(docs).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"
-    )
+    found = _judged(read_table(spark, sf_dir, "documents"), "text", ["doc_id"], 50, 0.5)
+    names = [x.split()[0] for x in TRAITS.split(", ")[:5]]
+    return found.select("row.doc_id", *[F.col("t")[c].alias(c) for c in names], "base_failed", "kept", "posterior")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import small_arrow_batches
+from codeloom.llm.common import in_slices
 from codeloom.sources.tables import read_table
 
 KINDS = ("assign", "access", "hex", "random")
@@ -155,11 +155,10 @@ def scan(df: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: f
     Null texts count as empty. Repeated rows give repeated results; a null id stays null; an empty
     table gives no rows. Every executor must be able to read the vocabulary file.
     """
-    small_arrow_batches(df.sparkSession)
     fields = pa.schema([(doc_id, pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("spans", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             rows = [find(t, threshold, vocabulary) for t in batch.column(1).to_pylist()]
             counts = [pa.array([sum(s[0] == k for s in r) for r in rows], pa.int64()) for k in KINDS]
             digests = [hashlib.sha256(joined([s for s in r if s[0] != "random"]).encode()).hexdigest() for r in rows]
@@ -183,8 +182,11 @@ def redacted(text: str | None, threshold: float = 1.95, vocabulary: str = VOCABU
 
 
 def redact(df: DataFrame, text: str = "text", threshold: float = 1.95, vocabulary: str = VOCABULARY) -> DataFrame:
-    """All rows, with the secrets in their texts replaced; other columns stay as they are."""
-    small_arrow_batches(df.sparkSession)
+    """All rows, with the secrets in their texts replaced; other columns stay as they are, whatever their names.
+
+    Null and empty texts stay so. Spans that overlap become one mark. Rows that repeat are changed
+    alike; an empty table gives no rows. Every executor must be able to read the vocabulary file.
+    """
     clean = F.pandas_udf(lambda s: s.map(lambda t: redacted(t, threshold, vocabulary)), "string")
     return df.withColumn(text, clean(F.col(text).cast("string")))
 
