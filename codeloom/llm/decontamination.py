@@ -21,14 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import WHITE_SPACE, small_arrow_batches, text_bytes
-from codeloom.llm.ngrams import in_groups, word_hashes, words_of
+from codeloom.llm.common import WHITE_SPACE, in_slices, text_bytes
+from codeloom.llm.ngrams import IS_SPACE, in_groups, word_hashes, words_of
 from codeloom.sources.tables import read_table
 
 #: Words are compared in lower case and without ASCII punctuation.
 PLAIN = bytes.maketrans(string.ascii_uppercase.encode() + string.punctuation.encode(), string.ascii_lowercase.encode() + b" " * len(string.punctuation))
 HALF = 24  # words; passages are two halves, and every half but the outer ones is in two passages
 SLICE = 512  # terms whose sums travel together
+LONG_TEXT = 4 << 20  # bytes from which a text is searched in parts
+PART = 400_000  # words in a part
 LEADING = 18  # bits by which terms are looked up
 
 
@@ -51,8 +53,10 @@ class Items:
     words: list[np.ndarray]
     answers: list[np.ndarray]
     terms: np.ndarray
-    lists: list[list[int]]
+    sizes: np.ndarray
     buckets: np.ndarray  # how many terms lie below each run of leading bits
+    in_item: np.ndarray  # the pairs of item and term that occur, for items of up to 64 words, as one number, in order
+    at: np.ndarray  # where in the item the term stands, as bits
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]]) -> Items | None:
@@ -70,7 +74,14 @@ class Items:
             return None
         terms = np.unique(np.concatenate(words))
         below = np.cumsum(np.bincount((terms >> np.uint64(64 - LEADING)).astype(np.int64) + 1, minlength=(1 << LEADING) + 1))
-        return cls(ids, words, answers, terms, [w.tolist() for w in words], below.astype(np.int32))
+        sizes = np.array(list(map(len, words)))
+        short = [k for k, n in enumerate(sizes.tolist()) if n <= 64]
+        pair = np.concatenate([k * len(terms) + np.searchsorted(terms, words[k]) for k in short] or [np.zeros(0, np.int64)])
+        bit = np.uint64(1) << np.concatenate([np.arange(sizes[k], dtype=np.uint64) for k in short] or [np.zeros(0, np.uint64)])
+        in_item, place = np.unique(pair, return_inverse=True)
+        at = np.zeros(len(in_item), np.uint64)
+        np.bitwise_or.at(at, place, bit)
+        return cls(ids, words, answers, terms, sizes, below.astype(np.int32), in_item, at)
 
     def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, term) of the words that are terms."""
@@ -94,6 +105,30 @@ class Items:
             of += [k] * (1 + len(starts))
         return out, np.array(of)
 
+    def in_order(self, item: np.ndarray, terms: np.ndarray, low: np.ndarray, high: np.ndarray, at_once: int = 20_000) -> np.ndarray:
+        """For every pair of an item of up to 64 words and a region of ``terms`` (a number for each word, below 0 for others): how many words they have in common in order.
+
+        The table of each pair is kept in the bits of one number, and all pairs go on by one word at a time.
+        """
+        out = np.zeros(len(item), np.int64)
+        order = np.argsort(low - high, kind="stable")  # the longest regions first
+        for part in (order[i : i + at_once] for i in range(0, len(order), at_once)):
+            key, place, end = item[part] * len(self.terms), low[part], high[part]
+            full = ~np.uint64(0) >> (64 - self.sizes[item[part]]).astype(np.uint64)
+            row = full.copy()
+            for step in range(int((end - place).max(initial=0))):
+                here = np.flatnonzero(place + step < end)
+                term = terms[place[here] + step]
+                here, term = here[term >= 0], term[term >= 0]
+                want = key[here] + term
+                found = np.minimum(np.searchsorted(self.in_item, want), len(self.in_item) - 1)
+                same = self.in_item[found] == want
+                here, mask = here[same], self.at[found[same]]
+                hit = row[here] & mask
+                row[here] = (row[here] + hit) | (row[here] - hit)
+            out[part] = self.sizes[item[part]] - np.bitwise_count(row & full)
+        return out
+
     def runs(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash, item) of the distinct runs of ``width`` words in items, by hash."""
         pairs = [(run_hashes(w, np.arange(len(w) - width + 1), width), k) for k, w in enumerate(self.words) if len(w) >= width]
@@ -112,7 +147,7 @@ class Halves:
     def __init__(self, texts: list[bytes], items: Items, weight: np.ndarray | None = None):
         self.words, self.first, self.n_words = words_of([t.translate(PLAIN) for t in texts])
         place, self.term = items.find(self.words)
-        self.place = place  # of all terms, also of those that weigh nothing
+        self.place, self.all_terms = place, self.term  # also of those that weigh nothing
         if weight is not None:
             own = weight[self.term] > 0
             place, self.term = place[own], self.term[own]
@@ -165,10 +200,25 @@ class Halves:
         return out
 
 
+def parts_of(text: bytes, words: int, overlap: int = 0) -> Iterator[bytes]:
+    """A long text in parts of ``words`` words and ``overlap`` more, which the next part begins with."""
+    text = text.translate(PLAIN)
+    space = np.concatenate([[True], IS_SPACE[np.frombuffer(text, np.uint8)], [True]])
+    starts = np.flatnonzero(space[:-1] & ~space[1:])
+    ends = np.flatnonzero(~space[:-1] & space[1:])
+    for i in range(0, max(1, len(starts) - overlap), words):
+        own = slice(int(starts[i]), int(ends[min(i + words + overlap, len(ends)) - 1])) if len(starts) else slice(0, 0)
+        yield text[own]
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
-    for batch in batches:
+    """Texts for counts and sums; long ones come in parts, as memory goes with the words at hand."""
+    for batch in in_slices(batches):
         for _, texts in in_groups(batch.column(0).to_pylist()):
-            yield texts
+            if len(texts[0]) > LONG_TEXT:
+                yield from ([part] for part in parts_of(texts[0], PART))
+            else:
+                yield texts
 
 
 def halves_with(docs: DataFrame, items: Items) -> tuple[int, np.ndarray]:
@@ -273,12 +323,34 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def common_run(a: np.ndarray, b: np.ndarray) -> int:
-    """The length of the longest run of words that both have."""
-    longest, row = 0, np.zeros(len(b) + 1, np.int64)
-    for x in a:
-        row[1:] = np.where(b == x, row[:-1] + 1, 0)
-        longest = max(longest, int(row.max()))
-    return longest
+    """The length of the longest run of words that both have.
+
+    Runs of 1, 2, 4 and more words are numbered, each from pairs of those before, as long as both
+    have some in common; from the longest such power down, what is left of the length is found by halves.
+    """
+    both = np.concatenate([a, b])
+    inside = np.concatenate([np.arange(len(a), 0, -1), np.arange(len(b), 0, -1)])  # words from a place to its text's end
+
+    def shared(number: np.ndarray, length: int) -> bool:
+        whole = inside >= length
+        return len(np.intersect1d(number[: len(a)][whole[: len(a)]], number[len(a) :][whole[len(a) :]])) > 0
+
+    def longer(number: np.ndarray, length: int, by: np.ndarray) -> np.ndarray:
+        later = np.zeros_like(by)
+        later[: max(0, len(by) - length)] = by[length:]
+        return np.unique(number * (int(by.max(initial=0)) + 1) + later, return_inverse=True)[1]
+
+    number = np.unique(both, return_inverse=True)[1]
+    if not len(a) or not len(b) or not shared(number, 1):
+        return 0
+    powers = [number]
+    while shared(next_ := longer(powers[-1], 1 << (len(powers) - 1), powers[-1]), 1 << len(powers)):
+        powers.append(next_)
+    length, number = 1 << (len(powers) - 1), powers[-1]
+    for k in range(len(powers) - 2, -1, -1):
+        if shared(more := longer(number, length, powers[k]), length + (1 << k)):
+            length, number = length + (1 << k), more
+    return length
 
 
 @dataclass
@@ -317,14 +389,22 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.sqrt(np.einsum("ij,ij->i", rows, rows)), 1e-12)[:, None]
 
 
-def near_items(sums: np.ndarray, at: np.ndarray, queries: Queries, at_once: int = 4_000_000) -> Iterator[np.ndarray]:
-    """Rows of (half, item): passages that begin there, or their first halves alone, that are near; with at most ``at_once`` cosines in memory."""
+def near_items(sums: np.ndarray, at: np.ndarray, queries: Queries, at_once: int = 1_000_000) -> Iterator[np.ndarray]:
+    """Rows of (half, item): passages that begin there, or their first halves alone, that are near; with about ``at_once`` products in memory.
+
+    The products of a passage are those of its two halves, so each half is multiplied once.
+    """
     step = max(1, at_once // len(queries.own))
     for first in range(0, len(at), step):
         part = at[first : first + step]
-        halves = sums[part]
-        for vectors in (unit(halves + sums[part + 1]), unit(halves)):
-            hit, query = np.nonzero(vectors @ queries.own.T >= queries.gate)
+        used, place = np.unique(np.concatenate([part, part + 1]), return_inverse=True)
+        halves = sums[used]
+        products = halves @ queries.own.T
+        here, there = place[: len(part)], place[len(part) :]
+        own = products[here]
+        for dot, vectors in ((own + products[there], halves[here] + halves[there]), (own, halves[here])):
+            length = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+            hit, query = np.nonzero(dot >= np.maximum(length, 1e-12)[:, None] * queries.gate)
             yield np.column_stack([part[hit], queries.item[query]])
 
 
@@ -335,85 +415,139 @@ def matches_in(texts: list[bytes], items: Items, weight: np.ndarray, weighted: n
         return []
     sums = found.sums(weighted)
     at = np.union1d(found.passages(), found.half)
-    pairs = np.unique(np.concatenate([found.in_runs(queries.runs, limits.run), *near_items(sums, at, queries)]), axis=0)
+    in_runs = found.in_runs(queries.runs, limits.run)
+    pairs = np.unique(np.concatenate([in_runs, *near_items(sums, at, queries)]), axis=0)
     pairs = pairs[np.lexsort((pairs[:, 0], pairs[:, 1]))]
+    with_run = set(map(tuple, in_runs.tolist()))
+    half, item = pairs[:, 0], pairs[:, 1]
+    text, size = np.searchsorted(found.slot, half, side="right") - 1, items.sizes[item]
+    begin = (half - found.slot[text]) * HALF
+    # Halves that lie close together for a long item are checked as one, in a region that holds theirs.
+    close = np.where(size // 8 >= HALF, size // 8, 0)
+    own, last = np.ones(len(pairs), bool), (-1, -1, 0)
+    for i in np.flatnonzero(close).tolist():
+        own[i] = last[:2] != (text[i], item[i]) or begin[i] - last[2] > close[i] or (half[i], item[i]) in with_run
+        last = (text[i], item[i], begin[i]) if own[i] else last
+    reach = np.maximum(HALF, size) + close  # the longer an item, the further it may go beyond the passage
+    first = found.first[text]
+    low, high = first + np.maximum(0, begin - reach), first + np.minimum(found.n_words[text], begin + 2 * HALF + reach)
+    terms = np.full(len(found.words), -1)
+    terms[found.place] = found.all_terms
+    shared = np.zeros(len(pairs), np.int64)
+    short = np.flatnonzero(size <= 64)
+    shared[short] = items.in_order(item[short], terms, low[short], high[short])
+    for i in np.flatnonzero(own & (size > 64)).tolist():
+        words = items.words[item[i]]
+        region = found.words[low[i] : high[i]]
+        if np.isin(region, words).sum() >= min(limits.with_answer * size[i], limits.run):  # no more can be in order
+            shared[i] = common_subsequence(words, region)
     best: dict[tuple[int, int], tuple] = {}
-    text_of = np.searchsorted(found.slot, pairs[:, 0], side="right") - 1
-    last = (-1, -1, 0)
-    for (h, k), t in zip(pairs.tolist(), text_of.tolist(), strict=True):
-        n = len(items.words[k])
-        begin = (h - int(found.slot[t])) * HALF
-        # Halves that lie close together for a long item are checked as one, in a region that holds theirs.
-        close = n // 8 if n // 8 >= HALF else 0
-        if last[:2] == (t, k) and begin - last[2] <= close:
+    for i in np.flatnonzero(own & ((shared >= limits.with_answer * size) | (shared >= limits.run))).tolist():
+        h, k, t, order = int(half[i]), int(item[i]), int(text[i]), float(shared[i] / size[i])
+        runs = (h, k) in with_run
+        if order < limits.with_answer and not runs:
             continue
-        last = (t, k, begin)
-        reach = max(HALF, n) + close  # the longer an item, the further it may go beyond the passage
-        low, high = max(0, begin - reach), min(int(found.n_words[t]), begin + 2 * HALF + reach)
-        region = found.words[found.first[t] + low : found.first[t] + high]
-        have = set(region.tolist())
-        most = sum(map(have.__contains__, items.lists[k]))  # no more can be in order, or in a row
-        if most < limits.with_answer * n and most < limits.run:
-            continue
-        shared = common_subsequence(items.words[k], region)
-        if shared < limits.with_answer * n and shared < limits.run:
-            continue
-        order, run = shared / n, common_run(items.words[k], region)
+        region = found.words[low[i] : high[i]]
         answer = common_subsequence(items.answers[k], region) / len(items.answers[k])
-        if order >= limits.alone or order >= limits.with_answer and answer >= limits.answer or run >= limits.run:
+        if order >= limits.alone or order >= limits.with_answer and answer >= limits.answer or runs:
             cosine = float(unit(sums[h : h + 1] + sums[h + 1 : h + 2])[0] @ queries.own[queries.whole[k]])
-            best[t, k] = max(best.get((t, k), (0, 0, 0, 0)), (order, cosine, answer, run))
+            best[t, k] = max(best.get((t, k), (0, 0, 0, 0)), (order, cosine, answer, common_run(items.words[k], region)))
     return [(t, items.ids[k], cosine, order, answer, run) for (t, k), (order, cosine, answer, run) in best.items()]
 
 
-def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int = 5000, limits: Limits = Limits()) -> DataFrame:
-    """(doc_id, item_id, cosine, lcs, answer, run) for every document and item that it holds, whole or reworded.
-
-    The benchmark is the stated query set: its items go to all documents in blocks of at most
-    ``block``, each with terms, weights and a space of its own. Null and empty texts hold nothing;
-    repeated documents give repeated rows; without documents or items there are no rows.
-    """
-    spark = df.sparkSession
-    small_arrow_batches(spark)
-    schema = "doc_id long, item_id long, cosine double, lcs double, answer double, run long"
-    texts = df.select(text_bytes(text).alias("text"))
-    out = None
-    ids = benchmark.select("item_id").where("item_id is not null").distinct()
-    blocks = -(-ids.count() // block)
+@dataclass
+class Search:
+    """All that a task needs to find a block's items in texts."""
+
+    items: Items
+    weight: np.ndarray
+    weighted: np.ndarray
+    queries: Queries
+    limits: Limits
+
+    def matches(self, texts: list[bytes]) -> Iterator[tuple]:
+        """(place in the list, item, cosine, share in order, answer's share, longest run)."""
+        for first, group in in_groups(texts):
+            if len(group[0]) <= LONG_TEXT:
+                for t, *found in self._found(group):
+                    yield first + t, *found
+                continue
+            # Parts overlap by as much as a region can span.
+            overlap = 3 * int(self.items.sizes.max()) + 4 * HALF
+            best: dict[int, tuple] = {}
+            for part in parts_of(group[0], max(PART, 2 * overlap), overlap):
+                for _, item, cosine, order, answer, run in self._found([part]):
+                    best[item] = max(best.get(item, (0, 0, 0, 0)), (order, cosine, answer, run))
+            for item, (order, cosine, answer, run) in best.items():
+                yield first, item, cosine, order, answer, run
+
+    def _found(self, texts: list[bytes]) -> list[tuple]:
+        return matches_in(texts, self.items, self.weight, self.weighted, self.queries, self.limits)
+
+
+def searches(df: DataFrame, benchmark: DataFrame, text: str = "text", block: int = 5000, block_bytes: int = 8 << 20, limits: Limits = Limits()) -> Iterator[Search]:
+    """The benchmark is the stated query set: its items go to all documents in blocks of about ``block`` items and ``block_bytes`` of text, each with terms, weights and a space of its own."""
+    texts = df.select(text_bytes(F.col(f"`{text}`")).alias("text"))
+    size = benchmark.where("item_id is not null").agg(F.countDistinct("item_id").alias("n"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("bytes")).first()
+    blocks = max(-(-size["n"] // block), -(-size["bytes"] // block_bytes)) if size["n"] else 0
     for b in range(blocks):
         own_rows = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).select("item_id", F.col("text").cast("string"))
-        items = Items.of(sorted({(r[0], r[1] or "") for r in own_rows.collect() if r[0] is not None}))
+        items = Items.of(sorted({(r[0], r[1] or "") for r in own_rows.distinct().collect() if r[0] is not None}))
         if items is None:
             continue
         n, held = halves_with(texts, items)
         if not n:
             continue
         weight = term_weights(items, n, held)
-        basis = latent_space(texts, items, weight)
-        weighted = (basis * weight[:, None]).astype(np.float32)
-        queries = Queries.of(items, weighted, limits)
+        weighted = (latent_space(texts, items, weight) * weight[:, None]).astype(np.float32)
+        yield Search(items, weight, weighted, Queries.of(items, weighted, limits), limits)
+
+
+FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer", pa.float64()), ("run", pa.int64())])
+
+
+def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", limits: Limits = Limits(), **sizes: int) -> DataFrame:
+    """(doc_id, item_id, cosine, lcs, answer, run) for every document and item that it holds, whole or reworded.
 
-        def run(batches: Iterator[pa.RecordBatch], items=items, weight=weight, weighted=weighted, queries=queries) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+    ``sizes`` bounds the blocks of items: see ``searches``. Null and empty texts hold nothing;
+    repeated documents give repeated rows; a share just at a limit counts; without documents or
+    items there are no rows.
+    """
+    schema = "doc_id long, item_id long, cosine double, lcs double, answer double, run long"
+    out = None
+    for search in searches(df, benchmark, text, limits=limits, **sizes):
+
+        def run(batches: Iterator[pa.RecordBatch], search=search) -> Iterator[pa.RecordBatch]:
+            for batch in in_slices(batches):
                 doc_ids = batch.column(0).to_pylist()
-                rows = [
-                    (doc_ids[first + t], *found)
-                    for first, group in in_groups(batch.column(1).to_pylist())
-                    for t, *found in matches_in(group, items, weight, weighted, queries, limits)
-                ]
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
-                columns = list(zip(*rows, strict=True)) or [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "cosine", "lcs", "answer", "run"])
-
-        found = df.select(F.col(doc_id).cast("long"), text_bytes(text)).mapInArrow(run, schema)
+                rows = [(doc_ids[t], *found) for t, *found in search.matches(batch.column(1).to_pylist())]
+                columns = list(zip(*rows, strict=True)) or [[]] * len(FOUND)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FOUND, strict=True)], schema=FOUND)
+
+        found = df.select(F.col(f"`{doc_id}`").cast("long"), text_bytes(F.col(f"`{text}`"))).mapInArrow(run, schema)
         out = found if out is None else out.union(found)
-    return spark.createDataFrame([], schema) if out is None else out
+    return df.sparkSession.createDataFrame([], schema) if out is None else out
+
 
+def remove_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", limits: Limits = Limits(), **sizes: int) -> DataFrame:
+    """The rows that hold no benchmark item, with all their columns, whatever their names.
 
-def remove_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows that hold no benchmark item, with all their columns; rows without an id stay, as they cannot be named."""
-    leaks = find_leaks(df, benchmark, text, doc_id).select(F.col("doc_id").alias("__id")).distinct()
-    return df.join(leaks, F.col(doc_id).cast("long") == F.col("__id"), "left_anti")
+    Each row is judged by its own text, where it is: nothing is joined, so rows with equal or null
+    ids do not go for one another. Null and empty texts stay, repeated rows stay or go together,
+    and without documents or items all rows stay.
+    """
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), text_bytes(F.col(f"`{text}`")).alias("text"))
+    schema = rows.schema
+    for search in searches(df, benchmark, text, limits=limits, **sizes):
+
+        def run(batches: Iterator[pa.RecordBatch], search=search) -> Iterator[pa.RecordBatch]:
+            for batch in in_slices(batches):
+                clean = np.ones(len(batch), bool)
+                clean[[found[0] for found in search.matches(batch.column(1).to_pylist())]] = False
+                yield batch.filter(pa.array(clean))
+
+        rows = rows.mapInArrow(run, schema)
+    return rows.select("row.*")
 
 
 def op7_latent_retrieval(spark, sf_dir: str) -> DataFrame:
