@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import small_arrow_batches, smallest_hashes, text_bytes
+from codeloom.llm.common import in_slices, smallest_hashes, text_bytes
 from codeloom.llm.ngrams import LOWER, mix, word_hashes
+from codeloom.sources.scratch import discard, materialize
 from codeloom.sources.tables import read_table
 
 BITS = 18
@@ -136,30 +137,40 @@ def fit(rows: list[np.ndarray], good: np.ndarray) -> Model | None:
     return Model(ratio, w, bias, *logistic_curve(np.log(p / (1 - p)), good[held]))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> tuple[Model | None, float]:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_bytes: int = 128 << 20, text: str = "text", doc_id: str = "doc_id") -> tuple[Model | None, float]:
     """Fit on at most ``max_rows`` labelled documents, those whose ids have the smallest hashes; also the share of good ones.
 
     ``labels`` has doc_id and quality; rows where either is null are left out, and of several labels
-    the lowest counts, as of several documents with one id. The sample's bound makes its ids safe to
-    broadcast and its features to collect.
+    the lowest counts. Of several documents with one id that one counts whose features come first as
+    bytes, the same in every run. The features of the sample, four bytes each, are collected in the
+    order of the ids' hashes for as long as they come to at most ``max_bytes``, so a sample of very
+    long texts has fewer rows. The sample's bound makes its ids safe to broadcast.
     """
     chosen = (
         smallest_hashes(labels.where("doc_id is not null and quality is not null"), "doc_id", max_rows)
-        .groupBy("doc_id").agg(F.min("quality").alias("quality"))
+        .groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             found = [features(t).astype(np.int32).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "quality", "found"])
 
-    small_arrow_batches(docs.sparkSession)
-    own = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int"), text_bytes("text").alias("text"))
-    found = own.mapInArrow(run, "doc_id long, quality int, found binary")
-    # Of documents that repeat an id one is taken, the same in every run.
-    one = found.groupBy("doc_id").agg(F.min(F.struct("quality", "found")).alias("least"))
-    rows = sorted(one.select("doc_id", "least.*").collect())
+    own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_bytes(F.col(f"`{text}`")).alias("text"))
+    found = own.join(F.broadcast(chosen.select(F.col("doc_id").cast("long"), "quality")), "doc_id").select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, found binary")
+    one = materialize(found.groupBy("doc_id").agg(F.min(F.struct("quality", "found")).alias("least")).select("doc_id", "least.*"), "sample")
+    sizes = one.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.octet_length("found").alias("bytes")).collect()
+    total, last = 0, None
+    for r in sorted(sizes):
+        if total + r.bytes > max_bytes:
+            break
+        total, last = total + r.bytes, r
+    rows = []
+    if last:
+        upto = (F.xxhash64("doc_id") < last.h) | ((F.xxhash64("doc_id") == last.h) & (F.col("doc_id") <= last.doc_id))
+        rows = sorted(one.where(upto).collect())
+    discard(one)
     good = np.array([r.quality == 1 for r in rows], bool)
     return fit([np.frombuffer(r.found, np.int32) for r in rows], good), float(good.mean()) if len(good) else 0.5
 
@@ -167,16 +178,16 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> tuple[Mod
 def score(docs: DataFrame, model: Model | None, share: float = 0.5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, score) for every row. Null texts count as empty and, without n-grams, get the score of the bias.
 
-    Without a model every score is ``share``. Repeated rows give repeated results; an empty table gives no rows.
+    Without a model every score is ``share``. Repeated rows give repeated results; an empty table
+    gives no rows; other columns do not matter.
     """
-    small_arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             out = [model.score(features(t)) if model else share for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col(doc_id).cast("long"), text_bytes(text)).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col(f"`{doc_id}`").cast("long"), text_bytes(F.col(f"`{text}`"))).mapInArrow(run, "doc_id long, score double")
 
 
 def op1_nb_svm(spark, sf_dir: str) -> DataFrame:
