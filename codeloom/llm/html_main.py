@@ -8,11 +8,18 @@ The labeller is trained on a bounded sample of pages. Their own structure gives
 in an article or main element are main text, unless an element between has another role. So that
 it does not depend on one layout, every sampled page is also laid out anew in other common ways,
 with other names for the containers and with more kinds of blocks around and inside the article.
+Where no page has such an element, plain text blocks of the sampled pages are laid out so.
+
+A block's place in the page is a node of the tree of open elements, which holds the hashed names of
+all elements around it as the bits of one number, so deep pages take memory in proportion to their
+tags. The part of the input that comes from the path is the same for all blocks of a node and is
+multiplied once; long pages go through the network in steps that carry its state on.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -24,13 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import small_arrow_batches, smallest_hashes
+from codeloom.llm.common import in_slices, smallest_hashes
 from codeloom.sources.tables import read_table
 
-# Elements that do not start a new block, that have no end tag, and whose content is no text.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+# Elements that do not start a new block (formulas among them), that have no end tag, and whose content is no text.
+INLINE = frozenset(
+    """a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr
+    math menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics""".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("script style noscript template svg math iframe object head title textarea select option datalist canvas audio video".split())
+DROPPED = frozenset("script style noscript template svg annotation annotation-xml iframe object head title textarea select option datalist canvas audio video".split())
 #: An open element that one of these start tags closes.
 CLOSED_BY = {"p": frozenset("p h1 h2 h3 h4 h5 h6 ul ol table div section article aside nav footer header form blockquote pre hr main".split()), "li": frozenset(["li"]), "dt": frozenset("dt dd".split()), "dd": frozenset("dt dd".split()), "tr": frozenset(["tr"]), "td": frozenset("td th tr".split()), "th": frozenset("td th tr".split()), "option": frozenset(["option"])}
 
@@ -40,19 +50,60 @@ RAW = frozenset("script style textarea title noscript iframe".split())
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">]+)*+|[^>]*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 NAME = re.compile(r"[a-z]+")
-Path = tuple[str, ...]
+PATH_BITS, WORD_BITS, NUMBERS = 9, 5, 8
+DENSE = (1 << WORD_BITS) + NUMBERS
+WIDTH = (1 << PATH_BITS) + DENSE
+
+
+@lru_cache(maxsize=50_000)
+def _bit(name: str) -> int:
+    return 1 << (crc32(name.encode()) >> (32 - PATH_BITS))
+
+
+class Node:
+    """An open element: its names (the tag and, after a dot each, the words of its class, id and role) and what holds of all names around it and its own."""
+
+    __slots__ = ("parent", "names", "bits", "depth", "main", "role")
+
+    def __init__(self, parent: Node | None, names: tuple[str, ...]):
+        self.parent, self.names = parent, names
+        self.bits, self.depth, self.main, self.role = (parent.bits, parent.depth, parent.main, parent.role) if parent else (0, 0, False, False)
+        for name in names:
+            self.bits |= _bit(name)
+            self.main = self.main or name in ("article", "main")
+            self.role = self.role or name in ROLES
+        self.depth += len(names)
+
+    def path(self) -> tuple[str, ...]:
+        """All names from the outermost on."""
+        own, node = [], self
+        while node:
+            own.append(node.names)
+            node = node.parent
+        return tuple(x for names in reversed(own) for x in names)
+
 
+def node_of(spec: str, parent: Node | None = None) -> Node | None:
+    """The node that a path such as ``div.main p`` leads to."""
+    for part in spec.split():
+        tag, *words = part.split(".")
+        parent = Node(parent, (tag, *("." + w for w in words)))
+    return parent
 
-def blocks(html: str | None) -> list[tuple[Path, str, int]]:
-    """(path, text, characters in links) for every block of a page in order.
 
-    A path holds the names of the open elements that start blocks and, after a dot, the words of
-    their class, id and role. A null or empty page has no blocks; broken markup is read as far as it
-    goes: end tags without a start are ignored, and open elements end with the one around them.
+Block = tuple[Node | None, str, int]
+
+
+def blocks(html: str | None) -> list[Block]:
+    """(node, text, characters in links) for every block of a page in order.
+
+    A null or empty page has no blocks; broken markup is read as far as it goes: end tags without a
+    start are ignored, and open elements end with the one around them.
     """
     html = html or ""
-    found: list[tuple[Path, str, int]] = []
-    open_: list[tuple[str, Path]] = []
+    found: list[Block] = []
+    open_: list[tuple[str, Node]] = []
+    n_open: Counter[str] = Counter()
     parts: list[str] = []
     linked, in_link, dropped, deep = 0, False, "", 0
 
@@ -61,7 +112,7 @@ def blocks(html: str | None) -> list[tuple[Path, str, int]]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                found.append((open_[-1][1] if open_ else (), text, linked))
+                found.append((open_[-1][1] if open_ else None, text, linked))
             parts.clear()
         linked, in_link = 0, False
 
@@ -72,6 +123,11 @@ def blocks(html: str | None) -> list[tuple[Path, str, int]]:
             parts.append(text)
             linked += len(text) if in_link else 0
 
+    def close_last() -> str:
+        tag = open_.pop()[0]
+        n_open[tag] -= 1
+        return tag
+
     at = 0
     while m := MARKUP.search(html, at):
         add(html[at : m.start()])
@@ -87,19 +143,18 @@ def blocks(html: str | None) -> list[tuple[Path, str, int]]:
                 in_link = False
             elif tag not in INLINE:
                 end_block()
-                for k in range(len(open_) - 1, -1, -1):
-                    if open_[k][0] == tag:
-                        del open_[k:]
-                        break
+                while n_open[tag] and close_last() != tag:
+                    pass
         elif tag == "body":
             end_block()
-            dropped, deep, open_ = "", 0, [("body", ("body",))]
+            dropped, deep, open_ = "", 0, [("body", Node(None, ("body",)))]
+            n_open = Counter(["body"])
         elif dropped:
             deep += tag == dropped
         elif tag in DROPPED:
             parts.append(" ")
             if tag in RAW:
-                end = re.compile(f"</{tag}", re.I).search(html, at)
+                end = _raw_end(tag).search(html, at)
                 at = end.start() if end else len(html)
             if not m[3].endswith("/"):
                 dropped, deep = tag, 1
@@ -110,22 +165,19 @@ def blocks(html: str | None) -> list[tuple[Path, str, int]]:
         elif tag not in INLINE:
             end_block()
             while open_ and tag in CLOSED_BY.get(open_[-1][0], ()):
-                open_.pop()
+                close_last()
             if tag not in VOID:
                 words = tuple("." + x for v in ATTRIBUTE.findall(m[3]) for x in NAME.findall(v.lower())) if m[3] else ()
-                open_.append((tag, (*(open_[-1][1] if open_ else ()), tag, *words)))
+                open_.append((tag, Node(open_[-1][1] if open_ else None, (tag, *words))))
+                n_open[tag] += 1
     add(html[at:])
     end_block()
     return found
 
 
-PATH_BITS, WORD_BITS, NUMBERS = 9, 5, 8
-WIDTH = (1 << PATH_BITS) + (1 << WORD_BITS) + NUMBERS
-
-
-@lru_cache(maxsize=20_000)
-def _path_places(path: Path) -> np.ndarray:
-    return np.unique([crc32(x.encode()) >> (32 - PATH_BITS) for x in path]) if path else np.zeros(0, np.int64)
+@lru_cache(maxsize=16)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(f"</{tag}", re.I)
 
 
 class _WordPlaces(dict):
@@ -142,19 +194,31 @@ _word_places = _WordPlaces()
 _DIGIT = re.compile(r"[0-9]")
 
 
-def vectors(page: list[tuple[Path, str, int]]) -> np.ndarray:
-    """A row of numbers for each block of a page."""
-    out = np.zeros((len(page), WIDTH), np.float32)
-    for i, (path, text, linked) in enumerate(page):
-        words = text.split(" ")
-        out[i, _path_places(path)] = 1
-        counts = np.bincount(list(map(_word_places.__getitem__, words)), minlength=1 << WORD_BITS)
-        out[i, 1 << PATH_BITS : -NUMBERS] = counts / sqrt(counts @ counts)
-        out[i, -NUMBERS:] = (
-            log1p(len(text)) / 8, log1p(len(words)) / 6, linked / len(text), text[-1] in ".!?", len(path) / 10,
-            i / len(page), (text.count(".") + text.count(",")) / len(words), _DIGIT.search(text) is not None,
-        )
-    return out
+class Vectors:
+    """The input for the blocks of a page: of each block its path as a number, of each distinct path its places as a row of zeros and ones, and of each block 40 more numbers."""
+
+    def __init__(self, page: list[Block]):
+        known: dict[int, int] = {}
+        self.path = np.array([known.setdefault(node.bits if node else 0, len(known)) for node, _, _ in page], np.int64)
+        size = (1 << PATH_BITS) // 8
+        packed = np.frombuffer(b"".join(bits.to_bytes(size, "little") for bits in known), np.uint8).reshape(-1, size)
+        self.paths = np.unpackbits(packed, axis=1, bitorder="little")
+        self.dense = np.zeros((len(page), DENSE), np.float32)
+        for i, (node, text, linked) in enumerate(page):
+            words = text.split(" ")
+            counts = np.bincount(list(map(_word_places.__getitem__, words)), minlength=1 << WORD_BITS)
+            self.dense[i, :-NUMBERS] = counts / sqrt(counts @ counts)
+            self.dense[i, -NUMBERS:] = (
+                log1p(len(text)) / 8, log1p(len(words)) / 6, linked / len(text), text[-1] in ".!?", (node.depth if node else 0) / 10,
+                i / len(page), (text.count(".") + text.count(",")) / len(words), _DIGIT.search(text) is not None,
+            )
+
+    def __len__(self) -> int:
+        return len(self.path)
+
+    def rows(self) -> np.ndarray:
+        """All numbers of every block in one row, for training."""
+        return np.concatenate([self.paths[self.path].astype(np.float32), self.dense], axis=1)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -175,34 +239,65 @@ class Labeller:
         self.p["o"] = (rng.standard_normal((2 * hidden, 1)) / np.sqrt(hidden)).astype(np.float32)
         self.p["d"] = np.zeros(1, np.float32)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, way: str, keep: list | None) -> np.ndarray:
-        n, steps, _ = x.shape
+    def _steps(self, gates: np.ndarray, mask: np.ndarray, way: str, h: np.ndarray, c: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(outputs, last output, last cell) for inputs to the gates (page, block, gate), from a state on."""
+        n, steps, _ = gates.shape
         k = self.hidden
-        gates = x.reshape(n * steps, -1) @ self.p["x" + way] + self.p["c" + way]
-        gates = gates.reshape(n, steps, 4 * k)
-        h, c = np.zeros((n, k), np.float32), np.zeros((n, k), np.float32)
         out = np.zeros((n, steps, k), np.float32)
         for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
             m = mask[:, t, None]
             z = gates[:, t] + h @ self.p["h" + way]
-            i, f, o, g = _sigmoid(z[:, :k]), _sigmoid(z[:, k : 2 * k]), _sigmoid(z[:, 2 * k : 3 * k]), np.tanh(z[:, 3 * k :])
+            s, g = _sigmoid(z[:, : 3 * k]), np.tanh(z[:, 3 * k :])
+            i, f, o = s[:, :k], s[:, k : 2 * k], s[:, 2 * k :]
             new_c = (f * c + i * g) * m
             tanh_c = np.tanh(new_c)
             if keep is not None:
                 keep.append((t, h, c, i, f, o, g, tanh_c, m))
             h, c = o * tanh_c * m, new_c
             out[:, t] = h
-        return out
+        return out, h, c
 
-    def probabilities(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self._run(x, mask, "f", None), self._run(x, mask, "b", None)], axis=2)
+    def _run(self, x: np.ndarray, mask: np.ndarray, way: str, keep: list | None) -> np.ndarray:
+        n, steps, _ = x.shape
+        gates = (x.reshape(n * steps, -1) @ self.p["x" + way] + self.p["c" + way]).reshape(n, steps, -1)
+        zero = np.zeros((n, self.hidden), np.float32)
+        return self._steps(gates, mask, way, zero, zero, keep)[0]
+
+    def _output(self, both: np.ndarray) -> np.ndarray:
         return _sigmoid(both @ self.p["o"] + self.p["d"])[..., 0]
 
+    def probabilities(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        return self._output(np.concatenate([self._run(x, mask, w, None) for w in "fb"], axis=2))
+
+    def _gates(self, page: Vectors, way: str, part: slice) -> np.ndarray:
+        weights = self.p["x" + way]
+        of_path = page.paths.astype(np.float32) @ weights[: 1 << PATH_BITS] + self.p["c" + way]
+        return of_path[page.path[part]] + page.dense[part] @ weights[1 << PATH_BITS :]
+
+    def label(self, pages: list[Vectors], at_once: int = 8192) -> list[np.ndarray]:
+        """The probabilities of the blocks of several pages, which are padded to the longest; a page of over ``at_once`` blocks comes alone and goes through in steps."""
+        steps, n = max(map(len, pages)), len(pages)
+        both = []
+        for way in "fb":
+            h = c = np.zeros((n, self.hidden), np.float32)
+            out = np.zeros((n, steps, self.hidden), np.float32)
+            parts = range(0, steps, at_once)
+            for first in parts if way == "f" else reversed(parts):
+                width = min(at_once, steps - first)
+                gates, mask = np.zeros((n, width, 4 * self.hidden), np.float32), np.zeros((n, width), np.float32)
+                for i, page in enumerate(pages):
+                    own = self._gates(page, way, slice(first, first + width))
+                    gates[i, : len(own)], mask[i, : len(own)] = own, 1
+                out[:, first : first + width], h, c = self._steps(gates, mask, way, h, c)
+            both.append(out)
+        found = self._output(np.concatenate(both, axis=2))
+        return [found[i, : len(page)] for i, page in enumerate(pages)]
+
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean cross-entropy of the blocks."""
         kept = {"f": [], "b": []}
         both = np.concatenate([self._run(x, mask, w, kept[w]) for w in "fb"], axis=2)
-        error = ((_sigmoid(both @ self.p["o"] + self.p["d"])[..., 0] - y) * mask / mask.sum())[..., None].astype(np.float32)
+        error = ((self._output(both) - y) * mask / mask.sum())[..., None].astype(np.float32)
         k = self.hidden
         grad = {"o": np.einsum("nti,ntj->ij", both, error), "d": error.sum((0, 1))}
         back = error @ self.p["o"].T
@@ -260,47 +355,47 @@ OWN = ["p", "p", "p", "p", "h2", "h3", "ul li", "ol li", "blockquote", "blockquo
 ROLES = frozenset(x for o in OTHERS for x in o.replace(".", " .").split() if x not in {"ul", "li", "p", "h1", "h2", "h3", "div", "section", "ol", "table", "td", "article", ".body", ".list", ".site", ".author", ".skip"})
 
 
-def path_of(spec: str) -> Path:
-    return tuple(x for x in spec.replace(".", " .").split())
+def own_labels(page: list[Block]) -> np.ndarray:
+    """By the page's own structure: inside article or main, and in nothing of another role there."""
+    return np.array([node is not None and node.main and not node.role for node, _, _ in page], np.float32)
 
 
-def own_labels(page: list[tuple[Path, str, int]]) -> np.ndarray:
-    """By the page's own structure: inside article or main, and in nothing of another role there."""
-    out = np.zeros(len(page), np.float32)
-    for i, (path, _, _) in enumerate(page):
-        at = next((k for k, x in enumerate(path) if x in ("article", "main")), None)
-        out[i] = at is not None and not any(x in ROLES for x in path)
+def plain_labels(page: list[Block]) -> np.ndarray:
+    """For pages without such structure: blocks of 80 characters or more, mostly outside links, in nothing of another role; or else the longest block."""
+    out = np.array([len(text) >= 80 and 2 * linked < len(text) and not (node and node.role) for node, text, linked in page], np.float32)
+    if not out.any():
+        out[max(range(len(page)), key=lambda i: (not (page[i][0] and page[i][0].role), len(page[i][1])))] = 1
     return out
 
 
-def laid_out(page: list[tuple[Path, str, int]], label: np.ndarray, rng: np.random.Generator) -> tuple[list[tuple[Path, str, int]], np.ndarray]:
+def laid_out(page: list[Block], label: np.ndarray, rng: np.random.Generator) -> tuple[list[Block], np.ndarray]:
     """The page's blocks under other paths, with more surroundings, of which some hold whole sentences as main text does."""
     main = [b for b, y in zip(page, label, strict=True) if y]
     first = rng.integers(len(main))
     main = main[first : first + 8]
-    rest = [b for b, y in zip(page, label, strict=True) if not y]
-    own, outer = path_of(CONTAINERS[rng.integers(len(CONTAINERS))]), ("html", "body")
-    wrap = [(), ("div",), ("div", ".container"), ("div", ".wrapper"), ("div", ".page")][rng.integers(5)]
+    rest = [b for b, y in zip(page, label, strict=True) if not y][:200]
+    outer = node_of("html body" + ["", " div", " div.container", " div.wrapper", " div.page"][rng.integers(5)])
+    own = node_of(CONTAINERS[rng.integers(len(CONTAINERS))], outer)
     texts = [b[1] for b in rest] + [b[1] for b in main]
 
-    def other(inside: Path) -> list:
-        path = (*outer, *wrap, *inside, *path_of(OTHERS[rng.integers(len(OTHERS))]))
+    def other(inside: Node) -> list[Block]:
+        node = node_of(OTHERS[rng.integers(len(OTHERS))], inside)
         out = []
         for _ in range(rng.integers(1, 4)):
             text = texts[rng.integers(len(texts))]
             if rng.random() < 0.4:
                 text = " ".join(text.split(" ")[: rng.integers(1, 6)])
-            out.append((path, text, len(text) if rng.random() < 0.3 else 0))
+            out.append((node, text, len(text) if rng.random() < 0.3 else 0))
         return out
 
-    before = [b for _ in range(rng.integers(1, 5)) for b in other(())]
-    after = [b for _ in range(rng.integers(1, 5)) for b in other(())]
+    before = [b for _ in range(rng.integers(1, 5)) for b in other(outer)]
+    after = [b for _ in range(rng.integers(1, 5)) for b in other(outer)]
     middle, y = [], []
-    for k, (path, text, linked) in enumerate(main):
-        kind = ("h1",) if path[-1:] == ("h1",) or k == 0 and rng.random() < 0.5 else path_of(OWN[rng.integers(len(OWN))])
+    for k, (node, text, linked) in enumerate(main):
+        kind = "h1" if node and node.names[:1] == ("h1",) or k == 0 and rng.random() < 0.5 else OWN[rng.integers(len(OWN))]
         if rng.random() < 0.15:
             text = " ".join(text.split(" ")[: rng.integers(1, 8)])
-        middle.append(((*outer, *wrap, *own, *kind), text, min(linked, len(text))))
+        middle.append((node_of(kind, own), text, min(linked, len(text))))
         y.append(1)
         if rng.random() < 0.35:
             extra = other(own)[:1]
@@ -309,59 +404,72 @@ def laid_out(page: list[tuple[Path, str, int]], label: np.ndarray, rng: np.rando
     return [*before, *middle, *after], np.array([0] * len(before) + y + [0] * len(after), np.float32)
 
 
-def train(pages: DataFrame, html: str = "html", page_id: str = "page_id", sample: int = 150, layouts: int = 8, longest: int = 60_000) -> Labeller | None:
-    """Fit on the ``sample`` pages whose ids have the smallest hashes, and ``layouts`` other layouts of each.
+HAS_MAIN = r"(?i)<(article|main)[\s>]"
 
-    Pages over ``longest`` characters are not sampled, so the sample's size is bounded. None without
-    pages, or where none has an article or main element.
+
+def train(pages: DataFrame, html: str = "html", page_id: str = "page_id", sample: int = 150, layouts: int = 8, longest: int = 60_000, most_blocks: int = 400) -> Labeller | None:
+    """Fit on the ``sample`` pages with an article or main element whose ids have the smallest hashes, and on ``layouts`` other layouts of each.
+
+    Of each page the first ``longest`` characters and ``most_blocks`` blocks count here, so the
+    sample's size is bounded. Where no page has such an element, or none in that part, other pages
+    are sampled and their plain text blocks stand for main text. A small sample is laid out more
+    often. None only where no page has a block of text.
     """
-    own = pages.select(F.col(page_id).alias("page_id"), F.col(html).cast("string").alias("html"))
-    rows = smallest_hashes(own, "page_id", sample).where(F.length("html") <= longest).orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()
+    own = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.substring(F.col(f"`{html}`").cast("string"), 1, longest).alias("html"))
+
+    def sampled(rows: DataFrame) -> list[list[Block]]:
+        few = smallest_hashes(rows, "page_id", sample).orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(sample).collect()
+        return [found for r in few if (found := blocks(r.html)[:most_blocks])]
+
+    marked = sampled(own.where(F.col("html").rlike(HAS_MAIN)))
+    labelled = [(page, label) for page in marked if (label := own_labels(page)).any()]
+    if labelled:
+        data = [(Vectors(page), label) for page, label in labelled]
+    else:
+        labelled = [(page, plain_labels(page)) for page in sampled(own.where(F.col("html").rlike(r"[^\s<>]")))]
+        data = []
     rng = np.random.default_rng(0)
-    data = []
-    for r in rows:
-        page = blocks(r.html)
-        label = own_labels(page)
-        if label.any():
-            data.append((vectors(page), label))
-            for _ in range(layouts):
-                new, y = laid_out(page, label, rng)
-                data.append((vectors(new), y))
-    return fit(data) if data else None
-
-
-def main_texts(htmls: list[str | None], net: Labeller, threshold: float = 0.5, at_once: int = 4000) -> list[str]:
+    for page, label in labelled:
+        for _ in range(max(layouts, -(-600 // len(labelled)))):
+            new, y = laid_out(page, label, rng)
+            data.append((Vectors(new), y))
+    return fit([(v.rows(), y) for v, y in data]) if data else None
+
+
+def main_texts(htmls: list[str | None], net: Labeller | None, threshold: float = 0.5, at_once: int = 4000) -> list[str]:
     """The main text of each page; pages of similar numbers of blocks are labelled together."""
     pages = [blocks(h) for h in htmls]
     out = [""] * len(pages)
     order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
+    if order and net is None:
+        raise ValueError("pages with text need a labeller")
     at = 0
     while at < len(order):
         end = at + 1
         while end < len(order) and (end - at + 1) * len(pages[order[end]]) <= at_once:
             end += 1
         own = order[at:end]
-        x, mask = padded([vectors(pages[i]) for i in own])
-        for i, p in zip(own, net.probabilities(x, mask), strict=True):
-            out[i] = "\n".join(text for (_, text, _), y in zip(pages[i], p, strict=False) if y >= threshold)
+        for i, p in zip(own, net.label([Vectors(pages[i]) for i in own]), strict=True):
+            out[i] = "\n".join(text for (_, text, _), y in zip(pages[i], p, strict=True) if y >= threshold)
         at = end
     return out
 
 
 def extract(pages: DataFrame, net: Labeller | None, html: str = "html", page_id: str = "page_id", url: str = "url") -> DataFrame:
-    """(page_id, url, text, n_chars) for every page. Null and empty pages have an empty text, and so has any page without a labeller.
+    """(page_id, url, text, n_chars) for every page. Null and empty pages have an empty text.
 
-    Repeated rows give repeated results; an empty table gives no rows.
+    Without a labeller, which ``train`` gives whenever a page has text, a page that has text is an
+    error. A block whose probability is just a half is main text. Repeated rows give repeated
+    results; an empty table gives no rows; other columns do not matter.
     """
-    small_arrow_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = main_texts(batch.column(2).to_pylist(), net) if net else [""] * len(batch)
+        for batch in in_slices(batches, 500):
+            texts = main_texts(batch.column(2).to_pylist(), net)
             sizes = pa.array([len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes], names=["page_id", "url", "text", "n_chars"])
 
-    own = pages.select(F.col(page_id).cast("long"), F.col(url).cast("string"), F.col(html).cast("string"))
+    own = pages.select(F.col(f"`{page_id}`").cast("long"), F.col(f"`{url}`").cast("string"), F.col(f"`{html}`").cast("string"))
     return own.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
