@@ -2,9 +2,11 @@
 
 The Burrows-Wheeler transform is taken of suffixes in the order of their first 16 symbols, which is
 all that patterns of up to 15 symbols need, and kept as a wavelet matrix of bit vectors with counts.
-Backward search extends a match to the left by two rank queries on it. Matches are cut back to
-``width`` symbols, so that a sequence is streamed through the index from its end with one extension
-for each position, and what is reported are the intervals of matches of the full width.
+Backward search extends a match to the left by two rank queries on it. Any sequences can be streamed
+through the index from their ends: their matching statistics, the longest matches that start at each
+place, are kept up by cutting a match at its right end where it cannot be extended, for which the
+common prefixes of neighbouring suffixes are at hand. Matches are counted up to ``width`` symbols,
+and what is reported are the intervals of matches of the full width.
 """
 
 from __future__ import annotations
@@ -42,70 +44,92 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Over sequences given as one array of word codes, each with a number (its document); codes are any 64-bit integers."""
+    """Over sequences given as one array of symbols from 0 on, each with a number (its document)."""
 
     def __init__(self, words: np.ndarray, lengths: np.ndarray, numbers: np.ndarray, width: int = 13):
-        if not 9 <= width <= 15:
-            raise ValueError("width must be from 9 to 15")
+        if not 2 <= width <= 15:
+            raise ValueError("width must be from 2 to 15")
         self.width = width
-        codes, inverse = np.unique(words, return_inverse=True)
-        self.n_codes = len(codes) + 1
-        ends = np.cumsum(lengths)
-        starts = ends - lengths
+        self.n_codes = int(words.max(initial=-1)) + 2
         # Code 0 ends every sequence.
         text = np.zeros(len(words) + len(lengths), np.int64)
-        place = np.arange(len(words)) + np.repeat(np.arange(len(lengths)), lengths)
-        text[place] = inverse + 1
-        self.starts, self.lengths, self.text = starts + np.arange(len(lengths)), lengths, text
-        n = len(text)
-        ranks, k = {1: text}, 1
+        text[np.arange(len(words)) + np.repeat(np.arange(len(lengths)), lengths)] = words + 1
+        self.n = n = len(text)
+        rank, k = text, 1
         while k < 16:
-            ranks[2 * k] = self._paired(ranks[k], ranks[k], k)
-            k *= 2
-        order = np.argsort(ranks[16], kind="stable")
+            rank, k = self._paired(rank, k), 2 * k
+        order = np.argsort(rank, kind="stable")
         self.bwt = WaveletMatrix(text[order - 1], self.n_codes)
         self.below = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.n_codes))])[:-1]
-        # Suffixes that agree in the first ``width`` symbols stand together: their bounds and their least number.
-        same, have = ranks[8], 8
-        for step in (4, 2, 1):
-            if have + step <= width:
-                same, have = self._paired(same, ranks[step], have), have + step
-        same = same[order]
-        bounds = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]]))
-        self.group = np.cumsum(np.concatenate([[False], same[1:] != same[:-1]]))
-        self.group_end = np.concatenate([bounds[1:], [n]])
-        self.group_start = bounds
-        owner = np.repeat(numbers, lengths + 1)
-        self.group_min = np.minimum.reduceat(owner[order], bounds)
+        # How many symbols each suffix has in common with the one before it, up to the width; ends are not in common.
+        self.common = np.zeros(n, np.uint8)
+        alive = np.arange(1, n)
+        for j in range(width):
+            here = text[np.minimum(order[alive] + j, n - 1)]
+            alive = alive[(here == text[np.minimum(order[alive - 1] + j, n - 1)]) & (here > 0)]
+            self.common[alive] += 1
+        self._groups: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.least = np.minimum.reduceat(np.repeat(numbers, lengths + 1)[order], self._group(width)[1][:-1]) if n else numbers
 
     @staticmethod
-    def _paired(a: np.ndarray, b: np.ndarray, by: int) -> np.ndarray:
-        """Ranks of pairs of a symbol of ``a`` and the symbol of ``b`` that stands ``by`` later."""
-        later = np.zeros_like(b)
-        later[: len(b) - by] = b[by:]
-        return np.unique(a * (int(later.max()) + 1) + later, return_inverse=True)[1]
+    def _paired(ranks: np.ndarray, by: int) -> np.ndarray:
+        """Ranks of pairs of a place's rank and that of the place ``by`` later."""
+        later = np.zeros_like(ranks)
+        later[: len(ranks) - by] = ranks[by:]
+        return np.unique(ranks * (int(later.max(initial=0)) + 1) + later, return_inverse=True)[1]
+
+    def _group(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Suffixes that agree in ``length`` symbols stand together: the number of each one's group, and where groups begin, with the end."""
+        if length not in self._groups:
+            new = self.common < length
+            new[:1] = True
+            self._groups[length] = np.cumsum(new, dtype=np.int32) - 1, np.append(np.flatnonzero(new), self.n)
+        return self._groups[length]
+
+    def _cut(self, low: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of the first ``length`` symbols of matches whose intervals begin at ``low``."""
+        if length == 0:
+            return np.zeros_like(low), np.full_like(low, self.n)
+        group, bounds = self._group(length)
+        return bounds[group[low]], bounds[group[low] + 1]
 
-    def stream(self) -> np.ndarray:
-        """Send every indexed sequence through the index from its end.
+    def _extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.below[symbol] + self.bwt.rank(symbol, low), self.below[symbol] + self.bwt.rank(symbol, high)
 
-        For every place in the text of codes: the least number among all sequences that hold the
-        same ``width`` symbols as start there, or a very large one where fewer are left.
+    def stream(self, words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Send sequences through the index, each from its end.
+
+        For every place of ``words``: the least number among all indexed sequences that hold the
+        ``width`` symbols which start there, or a very large one where none does or fewer are left.
+        Symbols that the index does not know, and those below 0, match nothing.
         """
-        out = np.full(len(self.text), np.iinfo(np.int64).max)
-        order = np.argsort(-self.lengths, kind="stable")
-        at = (self.starts + self.lengths - 1)[order]
-        left = self.lengths[order]
-        low, high = np.zeros(len(order), np.int64), np.full(len(order), len(self.text), np.int64)
+        out = np.full(len(words), np.iinfo(np.int64).max)
+        order = np.argsort(-lengths, kind="stable")
+        ends = np.cumsum(lengths)
+        at, left = (ends - 1)[order], lengths[order]
+        low, high, have = np.zeros(len(order), np.int64), np.full(len(order), self.n, np.int64), np.zeros(len(order), np.int64)
         for step in range(1, int(left.max(initial=0)) + 1):
             n = int(np.searchsorted(-left, -step, side="right"))  # sequences with so many symbols
-            at, low, high = at[:n], low[:n], high[:n]
-            symbol = self.text[at]
-            low = self.below[symbol] + self.bwt.rank(symbol, low)
-            high = self.below[symbol] + self.bwt.rank(symbol, high)
-            if step > self.width:
-                group = self.group[low]
-                low, high = self.group_start[group], self.group_end[group]
-            if step >= self.width:
-                out[at] = self.group_min[self.group[low]]
+            at, low, high, have = at[:n], low[:n], high[:n], have[:n]
+            symbol = words[at] + 1
+            symbol[(symbol < 1) | (symbol >= self.n_codes)] = 0
+            full = np.flatnonzero(have == self.width)
+            if len(full):
+                low[full], high[full] = self._cut(low[full], self.width - 1)
+                have[full] -= 1
+            new_low, new_high = self._extend(symbol, low, high)
+            failed = np.flatnonzero((new_high <= new_low) & (symbol > 0))
+            while len(failed):  # shorter matches, until one can be extended or nothing is left
+                failed = failed[have[failed] > 0]
+                have[failed] -= 1
+                for length in np.unique(have[failed]).tolist():
+                    own = failed[have[failed] == length]
+                    low[own], high[own] = self._cut(low[own], length)
+                new_low[failed], new_high[failed] = self._extend(symbol[failed], low[failed], high[failed])
+                failed = failed[new_high[failed] <= new_low[failed]]
+            none = (symbol == 0) | (new_high <= new_low)
+            low, high, have = np.where(none, 0, new_low), np.where(none, self.n, new_high), np.where(none, 0, have + 1)
+            whole = np.flatnonzero(have == self.width)
+            out[at[whole]] = self.least[self._group(self.width)[0][low[whole]]]
             at = at - 1
         return out
