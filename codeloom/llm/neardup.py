@@ -233,16 +233,16 @@ def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", bits: in
     are near-duplicates of each other. An empty table gives no rows. Columns may have any names.
     """
     plain = [c for c, kind in df.dtypes if "map<" not in kind and kind != "variant"]
+    key = F.col(f"`{doc_id}`").cast("long")
     rows = df.select(
-        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{doc_id}`").cast("long").alias("id"), text_bytes(F.col(f"`{text}`")).alias("text")
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), key.isNull().alias("no_id"), F.coalesce(key, F.lit(0)).alias("id"), text_bytes(F.col(f"`{text}`")).alias("text")
     ).withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
-    name = F.struct(F.col("id").isNull().alias("no_id"), "id", "h1", "h2")
-    docs = materialize(rows.select(fingerprint(F.col("text")).alias("fp"), name.alias("name")).groupBy("fp").agg(F.min("name").alias("first")), "distinct")
-    winners = _labelled(docs, bits).groupBy("label").agg(F.min("first").alias("first")).select("first.id", "first.h1", "first.h2")
-    # Rows that agree in id and text are one before anything moves, however many they are.
-    single = rows.groupBy("id", "h1", "h2").agg(F.min_by("row", F.xxhash64(*[F.col("row")[c] for c in plain])).alias("row")).alias("r")
-    same = F.col("r.id").eqNullSafe(F.col("w.id")) & (F.col("r.h1") == F.col("w.h1")) & (F.col("r.h2") == F.col("w.h2"))
-    return single.join(winners.alias("w"), same, "left_semi").select("row.*")
+    name = ["no_id", "id", "h1", "h2"]
+    docs = rows.select(fingerprint(F.col("text")).alias("fp"), F.struct(*name).alias("name")).groupBy("fp").agg(F.min("name").alias("first"))
+    winners = _labelled(materialize(docs, "distinct"), bits).groupBy("label").agg(F.min("first").alias("first")).select("first.*")
+    # Rows that agree in id and text are one before anything moves, however many they are; texts move once, as the join has the same keys.
+    single = rows.groupBy(*name).agg(F.min_by("row", F.xxhash64(*[F.col("row")[c] for c in plain])).alias("row"))
+    return single.join(winners, name, "left_semi").select("row.*")
 
 
 def op4_golay_simhash(spark, sf_dir: str) -> DataFrame:
