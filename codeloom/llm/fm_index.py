@@ -75,7 +75,7 @@ class FMIndex:
     def _paired(ranks: np.ndarray, by: int) -> np.ndarray:
         """Ranks of pairs of a place's rank and that of the place ``by`` later."""
         later = np.zeros_like(ranks)
-        later[: len(ranks) - by] = ranks[by:]
+        later[: max(0, len(ranks) - by)] = ranks[by:]
         return np.unique(ranks * (int(later.max(initial=0)) + 1) + later, return_inverse=True)[1]
 
     def _group(self, length: int) -> tuple[np.ndarray, np.ndarray]:

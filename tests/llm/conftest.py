@@ -27,5 +27,5 @@ def clashing(odd):
     """The same with columns whose names the operators use themselves."""
     from pyspark.sql import functions as F
 
-    names = ("size", "shard", "slot", "kept", "score", "posterior", "fp", "label", "piece", "start", "bucket", "n_words", "quality", "term", "__key")
+    names = ("size", "shard", "slot", "kept", "score", "posterior", "fp", "label", "piece", "start", "bucket", "n_words", "quality", "term", "__key", "__piece", "__traits", "__id", "__copy", "row", "t", "tie", "grp", "name", "h1", "no_id")
     return odd.withColumns({c: F.lit("x") for c in names})

@@ -43,6 +43,20 @@ def test_no_rows(odd, bench, name):
 def test_pass_through_keeps_columns(clashing, bench):
     for name in ("keep_good", "keep_one", "remove_leaks", "redact"):
         assert OPERATORS[name](clashing, bench).columns == clashing.columns
+    for name in ("shard", "rules"):
+        out = OPERATORS[name](clashing, bench)
+        for column in ("__key", "__traits", "row", "t", "tie", "fp", "label"):
+            assert {r[column] for r in out.select(column).collect()} == {"x"}
+
+
+def test_clashing_columns_of_tables_that_are_learned_from(spark, clashing):
+    labels = spark.createDataFrame([(5, 1, "x"), (6, 1, "x"), (7, 0, "x"), (9, 0, "x"), (8, 1, "x"), (2, 0, "x"), (None, 1, "x")], "doc_id long, quality int, text string").withColumnsRenamed({"text": "found"})
+    model, share = quality.train(clashing, labels)
+    assert share == 0.5 and quality.score(clashing, model).count() == 11
+    pages = spark.createDataFrame([(i, "u", f"<body><nav>menu {i}</nav><article><p>{'text ' * 30}{i}</p></article>", "x") for i in range(8)], "page_id long, url string, html string, text string")
+    assert html_main.extract(pages, html_main.train(pages)).count() == 8
+    turns = spark.createDataFrame([(1, 0, "user", "a", "x", "x")] * 3, "conv_id long, turn long, role string, text string, own string, n string")
+    assert [r.n_turns for r in chat.collapse(turns).collect()] == [1]
 
 
 def test_tables_without_rows(spark):
