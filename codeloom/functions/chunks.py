@@ -1,7 +1,7 @@
 """Line chunks of source files, as a table function.
 
-Windows of a few lines with an overlap. A window grows while its last line continues, a bracket or
-quote stays open, or, in Python, a block follows a colon. Chunks of little value are dropped.
+Windows of a few lines with an overlap. A window grows while its last line continues, a bracket
+stays open, or, in Python, a block follows a colon. Chunks of little value are dropped.
 """
 
 from __future__ import annotations
@@ -9,7 +9,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TARGET, OVERLAP, LONGEST = 5, 1, 200
@@ -24,47 +25,79 @@ BRACED = (".java", ".go", ".c", ".cpp", ".h", ".hpp")
 CLOSERS = {")": "(", "]": "[", "}": "{"}
 
 
+class Brackets:
+    """What is open after the lines so far. Brackets in quotes do not count, and an open quote by itself leaves nothing open; after a closer that fits no opener nothing counts any more."""
+
+    def __init__(self):
+        self.open: list[str] = []
+        self.quote, self.escaped, self.broken = "", False, False
+
+    def add(self, line: str) -> None:
+        for c in line + "\n":
+            if self.broken:
+                return
+            if self.quote:
+                if self.escaped:
+                    self.escaped = False
+                elif c == "\\":
+                    self.escaped = True
+                elif c == self.quote:
+                    self.quote = ""
+            elif c in "'\"":
+                self.quote = c
+            elif c in "([{":
+                self.open.append(c)
+            elif c in CLOSERS:
+                self.broken = not self.open or self.open.pop() != CLOSERS[c]
+
+    def unbalanced(self) -> bool:
+        return bool(self.open) and not self.broken
+
+
 def unbalanced(text: str) -> bool:
-    """Whether a bracket or quote is open at the end; a closer that fits no opener ends the test as balanced."""
-    stack: list[str] = []
-    quote, skip = "", False
-    for c in text:
-        if skip:
-            skip = False
-        elif quote:
-            if c == "\\":
-                skip = True
-            elif c == quote:
-                quote = ""
-        elif c in "'\"":
-            quote = c
-        elif c in "([{":
-            stack.append(c)
-        elif c in CLOSERS and (not stack or stack.pop() != CLOSERS[c]):
-            return False
-    return bool(stack or quote)
+    """Whether a bracket is open at the end of a text."""
+    brackets = Brackets()
+    brackets.add(text)
+    return brackets.unbalanced()
 
 
 def _continues(line: str) -> bool:
-    line = line.strip()
-    return line.endswith("\\") and not line.startswith("#")
+    """A backslash is the very last character, and the line is no comment."""
+    return line.endswith("\\") and not line.lstrip().startswith("#")
 
 
 def _indent(line: str) -> int:
-    return len(line) - len(line.lstrip())
+    return len(line) - len(line.lstrip(" \t"))
 
 
-def _block_end(lines: list[str], last: int) -> int:
-    """The last line of the block that the colon at the end of line ``last`` opens."""
+def _block_end(lines: list[str], last: int, most: int) -> int:
+    """The last line, ``most`` at the furthest, of the block that a colon at the end of line ``last`` opens: deeper lines, blank ones and comments."""
+    if not lines[last].rstrip().endswith(":"):
+        return last
     depth, end = _indent(lines[last]), last
-    for i in range(last + 1, len(lines)):
-        line = lines[i]
-        if line.strip() and not line.strip().startswith("#") and _indent(line) <= depth:
+    for i in range(last + 1, most + 1):
+        if lines[i].strip() and not lines[i].lstrip().startswith("#") and _indent(lines[i]) <= depth:
             break
         end = i
     return end
 
 
+def _window_end(lines: list[str], start: int, last: int, most: int, python: bool) -> int:
+    """The last line of a window; whatever made it grow, all is looked at again from the new end."""
+    brackets, read = Brackets(), start
+    while last < most:
+        for i in range(read, last + 1):
+            brackets.add(lines[i])
+        read = last + 1
+        if _continues(lines[last]) or brackets.unbalanced():
+            last += 1
+        elif python and (end := _block_end(lines, last, most)) > last:
+            last = end
+        else:
+            break
+    return last
+
+
 def low_value(text: str, ext: str) -> bool:
     lines = [x for x in text.splitlines() if x.strip()]
     n, returns = len(lines), RETURN.search(text) is not None
@@ -88,10 +121,7 @@ def chunk(text: str | None, ext: str, target: int = TARGET, overlap: int = OVERL
     while start < len(lines):
         last = min(start + target, len(lines)) - 1
         most = min(start + longest, len(lines)) - 1
-        while last < most and (_continues(lines[last]) or unbalanced("\n".join(lines[start : last + 1]))):
-            last += 1
-        if ext == ".py" and lines[last].rstrip().endswith(":"):
-            last = max(last, min(_block_end(lines, last), most))
+        last = _window_end(lines, start, last, most, ext == ".py")
         body = "\n".join(lines[start : last + 1]).strip()
         if body and not low_value(body, ext):
             yield start + 1, last + 1, body
@@ -100,6 +130,11 @@ def chunk(text: str | None, ext: str, target: int = TARGET, overlap: int = OVERL
         start = max(last + 1 - overlap, start + 1)
 
 
+def of_low_value(text: Column, ext: str) -> Column:
+    """``low_value`` of a column of texts; null counts as empty."""
+    return F.pandas_udf(lambda s: pd.Series([low_value(t or "", ext) for t in s], dtype=bool), "boolean")(text)
+
+
 class ChunkLines:
     def eval(self, text: str, ext: str):
         yield from chunk(text, ext)

@@ -37,9 +37,14 @@ def register_model(name: str, model: Callable[[list[str], int], np.ndarray]) ->
     _models[name] = model
 
 
+def model_of(name: str) -> Callable[[list[str], int], np.ndarray]:
+    """An unknown name stands for the built-in one."""
+    return _models.get(name, hashed_words)
+
+
 def embed(df: DataFrame, text: str, dim: int = 64, model: str = "hashed_words", to: str = "vec", batch: int = 96) -> DataFrame:
     """Add the vector of each text. Texts are deduplicated first and joined back; unknown models fall back to the built-in one."""
-    encode = _models.get(model, hashed_words)
+    encode = model_of(model)
 
     def run(texts: pd.Series) -> pd.Series:
         parts = [encode(texts[i : i + batch].tolist(), dim) for i in range(0, len(texts), batch)]

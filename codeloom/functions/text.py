@@ -8,7 +8,7 @@ import random
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.schema import LANGUAGES
@@ -165,18 +165,83 @@ def arguments(text: Column) -> Column:
     return F.pandas_udf(lambda s: s.map(lambda t: json.dumps(parse_arguments(t))), "string")(text)
 
 
-def sanitize_history(turns: pd.DataFrame) -> pd.DataFrame:
-    """One conversation's turns, in order: unknown roles go, and so do tool results that no call before asked for.
+ROLES = ("system", "user", "assistant", "tool")
 
-    Columns: role, text, call_ids (of an assistant's calls) and call_id (of a tool's result). Calls
-    that get no result are taken off the assistant's turn.
+
+def sanitized(turns: DataFrame) -> DataFrame:
+    """Conversations without unknown roles, and without tool results that no call before them asked for.
+
+    Columns: conv_id, turn, role, text, call_ids (of an assistant's calls) and call_id (of a tool's
+    result). Calls that get no result are taken off the assistant's turn. Calls and results meet by
+    a join, so a long conversation is no single task's work.
     """
-    known = turns[turns.role.isin(["system", "user", "assistant", "tool"])].copy()
-    answered = set(known.call_id[known.role == "tool"].dropna())
-    known["call_ids"] = [[c for c in (ids if ids is not None else []) if c in answered] for ids in known.call_ids]
-    asked: set = set()
-    keep = []
-    for role, ids, one in zip(known.role, known.call_ids, known.call_id, strict=True):
-        keep.append(role != "tool" or one in asked)
-        asked |= set(ids)
-    return known[keep]
+    key = ["conv_id", "call_id"]
+    known = turns.where(F.col("role").isin(*ROLES)).withColumn("call_ids", F.coalesce("call_ids", F.array().cast("array<string>")))
+    calls = known.where("role = 'assistant'").select("conv_id", "turn", F.posexplode("call_ids").alias("pos", "call_id"))
+    first = calls.groupBy(*key).agg(F.min("turn").alias("asked"))
+    results = known.where("role = 'tool'").join(first, key).where("turn > asked").select(*turns.columns)
+    answered = results.select(*key).distinct()
+    kept = calls.join(answered, key, "left_semi").groupBy("conv_id", "turn").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "call_id"))), lambda c: c["call_id"]).alias("kept"))
+    said = known.where("role <> 'tool'").join(kept, ["conv_id", "turn"], "left")
+    own = F.when(F.col("role") == "assistant", F.coalesce("kept", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
+    return said.withColumn("call_ids", own).select(*turns.columns).unionByName(results)
+
+
+def tool_calls(calls: Column) -> Column:
+    """An array of calls (id, name, arguments) in tags, each as JSON on lines of its own; arguments that are JSON are set in as such. Empty for no calls."""
+
+    def one(call) -> str:
+        try:
+            args = json.loads(call["arguments"]) if call["arguments"] else {}
+        except ValueError:
+            args = call["arguments"]
+        return "<tool>\n" + json.dumps({"id": call["id"], "name": call["name"], "args": args}, ensure_ascii=False, indent=2) + "\n</tool>\n"
+
+    def run(rows: pd.Series) -> pd.Series:
+        return pd.Series(["<tool_calls>\n" + "".join(map(one, c)) + "</tool_calls>" if c is not None and len(c) else "" for c in rows])
+
+    return F.pandas_udf(run, "string")(calls)
+
+
+#: What editors call the languages of file extensions.
+EDITOR_LANGUAGES = {
+    ".py": "python", ".pyi": "python", ".ts": "typescript", ".tsx": "typescriptreact", ".js": "javascript", ".jsx": "javascriptreact",
+    ".mjs": "javascript", ".cjs": "javascript", ".mts": "typescript", ".cts": "typescript",
+}
+
+
+def editor_language(path: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for pair in EDITOR_LANGUAGES.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, extension(path)), F.lit("plaintext"))
+
+
+def absolute_path(path: Column, base: str = "/") -> Column:
+    """Slashes forward, below ``base`` unless it is absolute, ``.`` and ``..`` resolved."""
+    plain = normalize_path(path)
+    return fold_path(F.when(plain.startswith("/"), plain).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), plain)))
+
+
+def uri_path(uri: Column, base: str = "/") -> Column:
+    """The path of a ``file:`` address with its escapes read; anything else is taken as a path."""
+    address = F.regexp_replace(F.regexp_replace(uri, r"^file:(//[^/?#]*)?", ""), r"[?#].*$", "")
+    return absolute_path(F.when(uri.startswith("file:"), F.url_decode(F.replace(address, F.lit("+"), F.lit("%2B")))).otherwise(uri), base)
+
+
+def content_length(header: Column) -> Column:
+    """Of a message's header lines; 0 where it is missing or no number."""
+    value = F.regexp_extract(header, r"(?i)(?:^|\r\n)content-length:[ \t]*([^\r\n]*)", 1)
+    return F.coalesce(F.trim(value).try_cast("long"), F.lit(0).cast("long"))
+
+
+def usage_total(usage: DataFrame, by: list[str]) -> DataFrame:
+    """Sums of all token counts, nulls as 0, and ``basis``: what fills the context, input and cached tokens, or else the total."""
+    counts = [c for c, _ in usage.dtypes if c.endswith("_tokens")]
+    sums = usage.groupBy(*by).agg(*[F.sum(F.coalesce(c, F.lit(0))).cast("long").alias(c) for c in counts])
+    part = lambda c: F.col(c) if c in counts else F.lit(0)
+    filled = part("input_tokens") + part("cache_read_tokens") + part("cache_write_tokens")
+    return sums.withColumn("basis", F.when(filled > 0, filled).otherwise(part("total_tokens")).cast("long"))
+
+
+def copies(df: DataFrame, text: str, id_: str) -> DataFrame:
+    """(first_id, n) of each distinct text."""
+    return df.groupBy(F.sha2(text, 256).alias("digest")).agg(F.min(id_).alias("first_id"), F.count(F.lit(1)).alias("n")).select("first_id", "n")

@@ -64,18 +64,24 @@ def diff(states: DataFrame, scan: DataFrame, now: Column) -> DataFrame:
 
 
 def prefixes(path: Column) -> Column:
-    """All folders above a path."""
+    """A path itself and all folders above it."""
     parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
 
 
 def under_any(files: DataFrame, folders: DataFrame, key: str = "file_path", how: str = "left_semi") -> DataFrame:
-    """Files in any of the folders (column folder), or with how='left_anti' in none: by equality with the folders above each, not by ranges."""
+    """Files that are or lie under any of the paths in column folder, or with how='left_anti' none of them: by equality with each one's own path and the folders above it, not by ranges."""
     above = files.select(key, F.explode(prefixes(F.col(key))).alias("folder"))
     hits = above.join(folders, "folder", "left_semi").select(key).distinct()
     return files.join(hits, key, how)
 
 
+def heads(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """The first row of each queue. Rows are combined before they move, so a long queue is no single task's work."""
+    rest = [c for c in rows.columns if c not in by]
+    return rows.groupBy(*by).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("head")).select(*by, "head.*")
+
+
 def claim(states: DataFrame, n: int, now: Column, lease: str = "INTERVAL 30 MINUTES", attempts: int = 5) -> DataFrame:
     """States with the ``n`` oldest waiting files marked running.
 

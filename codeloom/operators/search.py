@@ -8,6 +8,7 @@ highlight and project.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 from math import floor, log
@@ -242,10 +243,34 @@ def search(spaces: list[DataFrame], request: SearchRequest) -> SearchResult:
     return SearchResult(hits, matched, aggs)
 
 
-def rewrite_sql(sql: str) -> str:
-    """Runs of blanks and backticks become one blank, percent signs go, and ``x_tks = 'v'`` or ``like 'v'`` becomes match_tks."""
+def sources(hits: DataFrame, id_field: str = "id") -> DataFrame:
+    """Hits as records: their own fields, then id and _score."""
+    rest = [F.col(f"`{c}`") for c in hits.columns if c not in (id_field, "score", "id")]
+    return hits.select(*rest, F.col(f"`{id_field}`").alias("id"), F.col("score").alias("_score"))
+
+
+def shaped_fields(hits: DataFrame, names: list[str], id_field: str = "id") -> DataFrame:
+    """(id, fields as JSON): what is null is left out, arrays and ``available_int`` stay, all else becomes a string; hits without any field are left out."""
+    kinds = dict(hits.dtypes)
+    as_is = lambda n: kinds[n].startswith("array") or n == "available_int" or kinds[n] == "string"
+    present_ = [n for n in names if n in kinds]
+    if not present_:
+        return hits.select(F.col(f"`{id_field}`").alias("id"), F.lit("").alias("fields")).where("false")
+    any_ = reduce(lambda a, b: a | b, [F.col(f"`{n}`").isNotNull() for n in present_])
+    fields = F.struct(*[(F.col(f"`{n}`") if as_is(n) else F.col(f"`{n}`").cast("string")).alias(n) for n in present_])
+    return hits.where(any_).select(F.col(f"`{id_field}`").alias("id"), F.to_json(fields, {"ignoreNullFields": "true"}).alias("fields"))
+
+
+def rewrite_sql(sql: str, tokenize: Callable[[str], str] | None = None, refine: Callable[[str], str] | None = None) -> str:
+    """Runs of blanks and backticks become one blank, percent signs go, and ``x_tks = 'v'`` or ``like 'v'`` becomes match_tks; where both tokenizers are given, the value goes through them."""
+    both = tokenize and refine
+
+    def match(m: re.Match) -> str:
+        value = refine(tokenize(m[3])).replace("'", "''") if both else m[3]
+        return f"match_tks({m[1]}, '{value}', 0.3)"
+
     sql = re.sub(r"[ `]+", " ", sql).replace("%", "")
-    return re.sub(r"([a-z_]*_l?tks)( like | ?= ?)'([^']+)'", r"match_tks(\1, '\3', 0.3)", sql)
+    return re.sub(r"([a-z_]*_l?tks)( like | ?= ?)'([^']+)'", match, sql)
 
 
 def match_tks(text: Column, words: list[str], share: float = 0.3) -> Column:
@@ -255,11 +280,11 @@ def match_tks(text: Column, words: list[str], share: float = 0.3) -> Column:
     return found >= max(1, floor(share * len(words)))
 
 
-def run_sql(spark, sql: str) -> DataFrame:
+def run_sql(spark, sql: str, tokenize: Callable[[str], str] | None = None, refine: Callable[[str], str] | None = None) -> DataFrame:
     """A query in Spark SQL after the rewrite; match_tks is a SQL function of the session."""
     spark.sql(
         """create or replace temporary function match_tks(t string, q string, share double) returns boolean return
         size(array_intersect(split(lower(t), '\\\\s+'), array_distinct(split(lower(q), '\\\\s+'))))
           >= greatest(1, floor(share * size(array_distinct(split(lower(q), '\\\\s+')))))"""
     )
-    return spark.sql(rewrite_sql(sql))
+    return spark.sql(rewrite_sql(sql, tokenize, refine))

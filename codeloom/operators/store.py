@@ -8,6 +8,7 @@ half-written table, and a change that is repeated gives the same table.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +19,21 @@ from codeloom.operators.search import condition
 QUOTES = r"(['\n\r]|\\.)"
 
 
-def upsert(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """New rows replace current ones with the same keys; the rest stays. Keys must not repeat in ``new``."""
-    return current.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+def failed(new: DataFrame, keys: list[str]) -> DataFrame:
+    """The records that cannot be stored, as a part of their key is null."""
+    return new.where(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys]))
+
+
+def upsert(current: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """New rows replace current ones with the same keys; the rest stays.
+
+    Of new rows with the same keys one counts: the one with the greatest ``order``, a column, and of
+    those the one whose values have the greatest hash. Rows that ``failed`` names are left out.
+    """
+    plain = [F.col(c) for c, kind in new.dtypes if "map<" not in kind]
+    last = F.max_by(F.struct(*new.columns), F.struct(*([F.col(order)] if order else []), F.xxhash64(*plain))).alias("v")
+    one = new.dropna(subset=keys).groupBy(*keys).agg(last).select("v.*")
+    return current.join(one.select(*keys), keys, "left_anti").unionByName(one, allowMissingColumns=True)
 
 
 def replace_scope(current: DataFrame, new: DataFrame, scope: list[str], done: DataFrame | None = None) -> DataFrame:
@@ -71,6 +84,13 @@ def delete(df: DataFrame, wanted: dict) -> tuple[DataFrame, DataFrame]:
     return df.where(~hit), df.where(hit)
 
 
+def delete_in_spaces(spaces: dict[str, DataFrame], wanted: dict) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(what stays of each space, one row with the number that goes from all of them)."""
+    parts = {name: delete(df, wanted) for name, df in spaces.items()}
+    gone = reduce(DataFrame.unionByName, [go.select(F.lit(1).alias("one")) for _, go in parts.values()])
+    return {name: stay for name, (stay, _) in parts.items()}, gone.agg(F.count(F.lit(1)).alias("deleted"))
+
+
 class Store:
     """Tables under one folder of any file system that Spark writes to."""
 

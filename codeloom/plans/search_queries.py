@@ -1,9 +1,14 @@
 """Search queries on the test tables, with the SQL that gives the same rows."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from codeloom.functions.embedding import register_model
+from codeloom.operators import code_search
 from codeloom.operators import search as s
 from codeloom.operators import vectors as v
+from codeloom.operators.meta import list_repositories
+from codeloom.schema import AnalysisType
 from codeloom.sources.tables import read_table
 
 TEXT_QUERY = "the and ention nicht"
@@ -114,7 +119,7 @@ def terms_agg(spark, sf_dir):
 
 def terms_agg_array(spark, sf_dir):
     words = _docs(spark, sf_dir).select(s.tokens(F.col("text")).alias("words"))
-    return s.terms_agg(words, "words").where("key <> ''").limit(100)
+    return s.terms_agg(words, "words").where("key <> ''")
 
 
 def status_summary(spark, sf_dir):
@@ -150,10 +155,49 @@ def highlight_sentences(spark, sf_dir):
 
 
 def keyword_or_contains(spark, sf_dir):
-    part = read_table(spark, sf_dir, "part")
-    k = "an"
-    hit = F.col("p_name").contains(k) | F.col("p_brand").contains(k) | F.col("p_type").contains(k)
-    return part.where(hit).select("p_partkey", "p_name", "p_brand", "p_type")
+    part = read_table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("repository_name"), F.col("p_brand").alias("description"), F.col("p_type").alias("organization"), F.lit(None).cast("timestamp").alias("created_at")
+    )
+    return list_repositories(part, "An", 1, 10)[0].select("id", "repository_name", "description", "organization")
+
+
+def result_fields(spark, sf_dir):
+    hits = _labelled(spark, sf_dir)
+    return s.shaped_fields(hits, ["lang", "n_chars", "toxic", "available_int", "absent"], "doc_id")
+
+
+def _code_space(spark, sf_dir, kind, other=0):
+    """Vectors as a code space; ``other`` shifts the lines, so that two spaces share some places."""
+    n = F.col("vec_id")
+    return _emb(spark, sf_dir).select(
+        F.concat(F.lit("c"), F.lpad(n.cast("string"), 6, "0")).alias("id"), F.concat(F.lit("r"), F.col("label") % 2).alias("repo_id"), F.lit(kind.value).alias("analysis_type"),
+        F.concat(F.lit("f"), (n % 90).cast("string")).alias("file_path"), (n + F.when(n % 3 == 0, other).otherwise(0)).alias("start_line"), (n + 4).alias("end_line"), F.col("embedding").alias("vec"),
+    )
+
+
+def _row_model(spark, sf_dir):
+    """A model for which a text is the number of a vector of the table."""
+    rows = {r.vec_id: r.embedding for r in _emb(spark, sf_dir).where("vec_id in (3, 5, 8)").select("vec_id", "embedding").collect()}
+    register_model("table_rows", lambda texts, dim: np.array([rows[int(x)] for x in texts]))
+
+
+def similar_code(spark, sf_dir):
+    _row_model(spark, sf_dir)
+    out = code_search.similar_code(_code_space(spark, sf_dir, AnalysisType.LINE_CHUNK), "r1", " 3 ", 15, 64, "table_rows")
+    return out.select("id", "file_path", "start_line", "end_line", F.round("score", 6).alias("score"))
+
+
+def related_files(spark, sf_dir):
+    _row_model(spark, sf_dir)
+    spaces = _code_space(spark, sf_dir, AnalysisType.SYMBOL_SUMMARY), _code_space(spark, sf_dir, AnalysisType.LINE_CHUNK, 7)
+    out = code_search.related_files(*spaces, "r0", ["3", " ", "5", "8"], 20, 64, "table_rows")
+    return out.select("file_path", "start_line", "end_line", F.round("score", 6).alias("score"), "src")
+
+
+def sql_match_tokenized(spark, sf_dir):
+    _docs(spark, sf_dir).withColumn("content_tks", F.col("text")).createOrReplaceTempView("codeloom_docs")
+    parts = lambda value: value.replace("+", " ")
+    return s.run_sql(spark, "select doc_id, lang from codeloom_docs where content_tks = 'THE+and+ention+NICHT'", parts, str.lower)
 
 
 def sql_match_rewrite(spark, sf_dir):
@@ -172,7 +216,7 @@ def sparse_and_tensor(spark, sf_dir):
 NAMES = [
     knn_cosine_topk, knn_centroid_topk, knn_filtered, knn_multi_query, related_union_dedupe, text_idf_score, text_min_should_match, hybrid_weighted_fusion,
     rank_feature_boost, filter_condition_map, filter_available_int, filter_exists, terms_agg, terms_agg_array, status_summary, total_hits,
-    page_offset_limit, sort_multi_mode, highlight_sentences, keyword_or_contains, sql_match_rewrite, sparse_and_tensor,
+    page_offset_limit, sort_multi_mode, highlight_sentences, keyword_or_contains, sql_match_rewrite, sql_match_tokenized, result_fields, similar_code, related_files, sparse_and_tensor,
 ]
 QUERIES = {f.__name__: f for f in NAMES}
 
@@ -228,7 +272,7 @@ ORACLES = {
         from documents d left join labels l on l.doc_id = d.doc_id group by lang, kind""",
     "terms_agg": "select source as key, count(*) as doc_count from documents group by source",
     "terms_agg_array": """select key, count(*) as doc_count from (select doc_id, unnest(list_distinct(string_split_regex(lower(text), '\\s+'))) as key from documents)
-        where key <> '' group by key order by doc_count desc, key limit 100""",
+        where key <> '' group by key""",
     "status_summary": """select count(*) filter (where event_type = 'view') as pending, count(*) filter (where event_type = 'click') as running,
         count(*) filter (where event_type = 'purchase') as completed, count(*) filter (where event_type = 'search') as failed,
         count(*) filter (where event_type not in ('view', 'click', 'purchase', 'search')) as skipped, count(*) as total from events""",
@@ -237,7 +281,18 @@ ORACLES = {
     "sort_multi_mode": """select vec_id, round(list_min(v), 6) as by_min, round(list_max(v), 6) as by_max, round(list_avg(v), 6) as by_avg, round(list_sum(v), 6) as by_sum,
         round(list_median(v), 6) as by_median from (select vec_id, embedding::double[] as v from embeddings) order by by_median desc, vec_id limit 25""",
     "highlight_sentences": f"""select doc_id, md5(h) as highlight_md5 from (select doc_id, array_to_string(list_filter({_MARK}, lambda s: contains(s, '<em>')), '...') as h from documents) where h <> ''""",
-    "keyword_or_contains": "select p_partkey, p_name, p_brand, p_type from part where contains(p_name, 'an') or contains(p_brand, 'an') or contains(p_type, 'an')",
+    "keyword_or_contains": """select p_partkey as id, p_name as repository_name, p_brand as description, p_type as organization from part
+        where contains(lower(p_name), 'an') or contains(lower(p_brand), 'an') or contains(lower(p_type), 'an')""",
+    "result_fields": """select d.doc_id as id, '{"lang":"' || lang || '","n_chars":"' || n_chars || '"' || coalesce(',"toxic":"' || toxic || '"', '') || coalesce(',"available_int":' || quality, '') || '}' as fields
+        from documents d left join labels l on l.doc_id = d.doc_id""",
+    "similar_code": f"""select 'c' || lpad(vec_id::varchar, 6, '0') as id, 'f' || vec_id % 90 as file_path, vec_id as start_line, vec_id + 4 as end_line, round(score, 6) as score from (
+        select e.vec_id, {COS.format(q=VEC.format(n=3))} as score from embeddings e where label % 2 = 1 order by score desc, vec_id limit 15)""",
+    "related_files": f"""with c as (select list(v order by pos) as q from (select pos, avg(v) as v from (select unnest(embedding::double[]) as v, generate_subscripts(embedding, 1) as pos from embeddings where vec_id in (3, 5, 8)) group by pos)),
+        near as (select e.vec_id, {COS.format(q='(select q from c)')} as score from embeddings e where label % 2 = 0 order by score desc, vec_id limit 20),
+        both_ as (select 'f' || vec_id % 90 as file_path, vec_id as start_line, vec_id + 4 as end_line, score, 0 as src from near union all
+          select 'f' || vec_id % 90, vec_id + case when vec_id % 3 = 0 then 7 else 0 end, vec_id + 4, score, 1 from near)
+        select file_path, start_line, end_line, round(score, 6) as score, src from (select *, row_number() over (partition by file_path, start_line, end_line order by src, score desc) as n from both_) where n = 1""",
+    "sql_match_tokenized": "select doc_id, lang from documents where len(list_intersect(string_split_regex(lower(text), '\\s+'), ['the', 'and', 'ention', 'nicht'])) >= 1",
     "sql_match_rewrite": "select doc_id, lang from documents where len(list_intersect(string_split_regex(lower(text), '\\s+'), ['the', 'and', 'ention', 'nicht'])) >= 1",
     "sparse_and_tensor": """select vec_id, round(v[1] - 2 * v[6] + 0.5 * v[64], 6) as sparse,
         round(greatest(list_sum(v[1:32]), list_sum(v[33:64])) + greatest(

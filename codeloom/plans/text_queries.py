@@ -23,26 +23,31 @@ def stable_id_sha1(spark, sf_dir):
 
 
 def text_dedupe(spark, sf_dir):
-    copies = _docs(spark, sf_dir).groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    return copies.select("first_id", "n")
+    return t.copies(_docs(spark, sf_dir), "text", "doc_id")
+
+
+def _without_brackets(spark, sf_dir):
+    """Texts in which nothing makes a window grow: what SQL can window."""
+    return _docs(spark, sf_dir).withColumn("text", F.translate("text", "()[]{}\\\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029", ""))
 
 
 def line_window_chunks(spark, sf_dir):
-    lines = F.split("text", "\n")
-    starts = F.sequence(F.lit(0), F.greatest(F.floor((F.size(lines) - 2) / 4), F.lit(0)).cast("int"))
-    rows = _docs(spark, sf_dir).select("doc_id", F.explode(F.transform(starts, lambda k: F.struct((k * 4 + 1).alias("start_line"), F.array_join(F.slice(lines, k * 4 + 1, F.lit(5)), "\n").alias("content")))).alias("c"))
-    return rows.select("doc_id", F.col("c.start_line").cast("long").alias("start_line"), F.md5("c.content").alias("content_md5"))
+    rows = chunks.chunked(_without_brackets(spark, sf_dir).select(F.concat("doc_id", F.lit(".txt")).alias("path"), F.col("text").alias("content")))
+    return rows.select(F.split_part("path", F.lit("."), F.lit(1)).cast("long").alias("doc_id"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.md5("content").alias("content_md5"))
 
 
 def lowvalue_chunk_filter(spark, sf_dir):
-    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    few = (F.size(lines) <= 5) & F.col("text").rlike(r"(?m)^\s*(import|package|using namespace)[ ;]")
-    returns = (F.size(lines) <= 3) & F.col("text").rlike(r"(^|[^a-z])on([^a-z]|$)")
-    return _docs(spark, sf_dir).where(~(few | returns | (F.size(lines) == 0))).select("doc_id")
+    marked = F.regexp_replace("text", "^[A-Z]", "return x")
+    return _without_brackets(spark, sf_dir).where(~chunks.of_low_value(marked, ".java")).select("doc_id")
 
 
 def path_normalize(spark, sf_dir):
-    return read_table(spark, sf_dir, "pages").select("page_id", t.normalize_path(F.replace("url", F.lit("/"), F.lit("\\"))).alias("path"))
+    return read_table(spark, sf_dir, "pages").select("page_id", t.normalize_path(F.concat(F.lit("C:\\work\\"), F.replace("url", F.lit("//"), F.lit("/\\")))).alias("path"))
+
+
+def uri_paths(spark, sf_dir):
+    uri = F.concat(F.lit("file:///a%20b/./c/../"), F.regexp_replace("url", r"^[a-z]+://", ""))
+    return read_table(spark, sf_dir, "pages").select("page_id", t.uri_path(uri).alias("path"), t.editor_language(F.concat("url", F.lit(".TSX"))).alias("language"))
 
 
 def url_parts(spark, sf_dir):
@@ -62,9 +67,14 @@ def token_estimate(spark, sf_dir):
 
 
 def history_roles(spark, sf_dir):
-    before = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))
-    turns = read_table(spark, sf_dir, "conversations").withColumn("before", before)
-    return turns.where("role in ('system', 'user', 'assistant', 'tool')").select("conv_id", "turn", "role", F.coalesce(F.col("before") == F.col("role"), F.lit(False)).alias("repeats"))
+    """Every third user turn stands for a tool's result, which the assistant's turn before asked for if that has an even number."""
+    conv = read_table(spark, sf_dir, "conversations")
+    tool = (F.col("role") == "user") & (F.col("turn") % 3 == 2)
+    turns = conv.select(
+        "conv_id", "turn", F.when(tool, "tool").when(F.col("turn") % 11 == 10, "narrator").otherwise(F.col("role")).alias("role"), "text",
+        F.when((F.col("role") == "assistant") & (F.col("turn") % 2 == 0), F.array((F.col("turn") + 1).cast("string"), F.lit("never"))).alias("call_ids"), F.when(tool, F.col("turn").cast("string")).alias("call_id"),
+    )
+    return t.sanitized(turns).select("conv_id", "turn", "role", F.array_join("call_ids", ",").alias("calls"), "call_id")
 
 
 def catalogue_tree(spark, sf_dir):
@@ -92,8 +102,11 @@ def fallback_summary(spark, sf_dir):
 
 
 def token_usage_sum(spark, sf_dir):
-    usage = read_table(spark, sf_dir, "conversations").groupBy("role").agg(F.sum(F.length("text")).alias("total"), F.sum(F.when(F.col("role") == "user", F.length("text")).otherwise(0)).alias("input"))
-    return usage.select("role", "total", F.when(F.col("input") > 0, F.col("input")).otherwise(F.col("total")).alias("basis"))
+    n = F.length("text")
+    usage = read_table(spark, sf_dir, "conversations").select(
+        "role", n.alias("total_tokens"), F.when(F.col("role") == "user", n).alias("input_tokens"), F.when(F.col("turn") % 2 == 1, n % 7).otherwise(0).alias("cache_read_tokens")
+    )
+    return t.usage_total(usage, ["role"])
 
 
 def _own_files(spark):
@@ -113,27 +126,37 @@ def python_deps(spark, sf_dir):
 
 
 NAMES = [
-    stable_id_sha1, text_dedupe, line_window_chunks, lowvalue_chunk_filter, path_normalize, url_parts, lang_detect, token_estimate, history_roles, catalogue_tree,
+    stable_id_sha1, text_dedupe, line_window_chunks, lowvalue_chunk_filter, path_normalize, uri_paths, url_parts, lang_detect, token_estimate, history_roles, catalogue_tree,
     english_ratio, is_chinese, markdown_shift, fallback_summary, token_usage_sum, chunk_source, python_symbols, python_deps,
 ]
 QUERIES = {f.__name__: f for f in NAMES}
 
+_CLEAN = r"translate(text, '()[]{}\\' || chr(13) || chr(11) || chr(12) || chr(28) || chr(29) || chr(30) || chr(133) || chr(8232) || chr(8233), '')"
+_HEADER = r"""(?ms)^\s*((package\s+[\w\.]+;|import\s+[\w\.\*]+;|using\s+namespace\s+\w+\s*;|#include\s+[<"].+[>"]|module\s+\w+).*)$"""
+
 ORACLES = {
     "stable_id_sha1": "select doc_id, sha1(concat_ws('|', source, doc_id::varchar, 'line_chunk_vector', n_chars::varchar)) as id from documents",
     "text_dedupe": "select min(doc_id) as first_id, count(*) as n from documents group by text",
-    "line_window_chunks": """with d as (select doc_id, string_split(text, chr(10)) as l from documents),
-        k as (select doc_id, l, unnest(generate_series(0, greatest((len(l) - 2) // 4, 0))) as k from d)
-        select doc_id, k * 4 + 1 as start_line, md5(array_to_string(l[k*4+1 : k*4+5], chr(10))) as content_md5 from k""",
-    "lowvalue_chunk_filter": r"""select doc_id from (select doc_id, text, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) as n from documents)
-        where not ((n <= 5 and regexp_matches(text, '(?m)^\s*(import|package|using namespace)[ ;]')) or (n <= 3 and regexp_matches(text, '(^|[^a-z])on([^a-z]|$)')) or n = 0)""",
-    "path_normalize": "select page_id, url as path from pages",
+    "line_window_chunks": rf"""with d as (select doc_id, string_split(regexp_replace({_CLEAN}, '\n$', ''), chr(10)) as l from documents where {_CLEAN} <> ''),
+        k as (select doc_id, l, unnest(generate_series(0, greatest((len(l) - 2) // 4, 0))) as k from d),
+        c as (select doc_id, k * 4 + 1 as start_line, least(k * 4 + 5, len(l)) as end_line, regexp_replace(array_to_string(l[k*4+1 : k*4+5], chr(10)), '^\s+|\s+$', '', 'g') as content from k)
+        select doc_id, start_line, end_line, md5(content) as content_md5 from c where content <> '' and not regexp_matches(content, '{_HEADER}')""",
+    "lowvalue_chunk_filter": rf"""select doc_id from (select doc_id, x, len(list_filter(string_split(x, chr(10)), lambda y: trim(y) <> '')) as n from (select doc_id, regexp_replace({_CLEAN}, '^[A-Z]', 'return x') as x from documents))
+        where not (n = 0 or n <= 5 and regexp_matches(x, '{_HEADER}') or n <= 3 and regexp_matches(x, '(?ms)^\s*(return\s+[^;]+;|return\s+.+)$'))""",
+    "path_normalize": "select page_id, 'C:/work/' || url as path from pages",
+    "uri_paths": r"""select page_id, '/a b/' || regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/+$', '') as path,
+        'typescriptreact' as language from pages""",
     "url_parts": r"""select page_id, nullif(p[1], '') as organization, nullif(p[2], '') as name from (
         select page_id, list_filter(string_split(replace(regexp_extract(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://[^/]*(.*)$', 1), '.git', ''), '/'), lambda x: x <> '') as p from pages)""",
     "lang_detect": "select case page_id % 8 when 0 then 'python' when 1 then 'java' when 2 then 'go' when 3 then 'cpp' when 4 then 'c' when 5 then 'javascript' else 'unknown' end as language, count(*) as n from pages group by language",
     "token_estimate": r"""select conv_id, tokens, (ceil(tokens * 12 / 10.0 / 8192) * 8192)::bigint as context from (
         select conv_id, sum(2 * length(text) - length(regexp_replace(text, '[^\x00-\x7F]', '', 'g')) + 4)::bigint as tokens from conversations group by conv_id)""",
-    "history_roles": """select conv_id, turn, role, coalesce(before = role, false) as repeats from (select *, lag(role) over (partition by conv_id order by turn) as before from conversations)
-        where role in ('system', 'user', 'assistant', 'tool')""",
+    "history_roles": """with k as (select conv_id, turn, case when role = 'user' and turn % 3 = 2 then 'tool' when turn % 11 = 10 then 'narrator' else role end as role, role as was from conversations),
+        calls as (select conv_id, turn, turn + 1 as call from k where role = 'assistant' and turn % 2 = 0),
+        tools as (select k.conv_id, k.turn from k where role = 'tool' and exists (select 1 from calls c where c.conv_id = k.conv_id and c.call = k.turn and c.turn < k.turn))
+        select conv_id, turn, role, case when role = 'assistant' and turn % 2 = 0 and exists (select 1 from tools t where t.conv_id = k.conv_id and t.turn = k.turn + 1) then (turn + 1)::varchar else '' end as calls,
+          null::varchar as call_id from k where role in ('system', 'user', 'assistant') union all
+        select conv_id, turn, 'tool', '', turn::varchar from tools""",
     "catalogue_tree": r"""with p as (select string_split(trim(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/'), '/') as x from pages),
         n as (select distinct array_to_string(x[1:i], '/') as path, array_to_string(x[1:i-1], '/') as parent, i - 1 as depth from (select x, unnest(generate_series(1, len(x))) as i from p))
         select n.path, n.parent, n.depth, coalesce(c.n_children, 0) as n_children from n left join (select parent as path, count(*) as n_children from n group by parent) c on c.path = n.path""",
@@ -143,5 +166,7 @@ ORACLES = {
     "markdown_shift": r"""select doc_id, md5(array_to_string(list_transform(string_split(regexp_replace(text, '(?m)^([A-Z])', '## \1', 'g'), chr(10)),
         lambda x: case when regexp_matches(x, '^#{1,6} ') then '######' || x[length(regexp_extract(x, '^(#+) ', 1)) + 1 :] else x end), chr(10))) as shifted_md5 from documents""",
     "fallback_summary": "select doc_id, 'file: ' || substring(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1:4], ' '), 1, 280) as summary from documents",
-    "token_usage_sum": "select role, sum(length(text))::bigint as total, sum(length(text))::bigint as basis from conversations group by role",
+    "token_usage_sum": """select *, case when input_tokens + cache_read_tokens > 0 then input_tokens + cache_read_tokens else total_tokens end as basis from (
+        select role, sum(length(text))::bigint as total_tokens, coalesce(sum(length(text)) filter (where role = 'user'), 0)::bigint as input_tokens,
+          coalesce(sum(length(text) % 7) filter (where turn % 2 = 1), 0)::bigint as cache_read_tokens from conversations group by role)""",
 }

@@ -10,6 +10,7 @@ import os
 import subprocess
 from collections.abc import Iterator
 from datetime import UTC, datetime
+from typing import BinaryIO
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -84,16 +85,36 @@ class RepoFiles(DataSource):
         return RepoFilesReader(self.options)
 
 
+def fields(stream: BinaryIO, n: int, at_once: int = 1 << 16) -> Iterator[list[str]]:
+    """Rows of ``n`` texts, each of which ends with a zero byte (the last one may not), from a stream that is read as it comes."""
+    row, rest = [], b""
+    while data := stream.read(at_once):
+        *done, rest = (rest + data).split(b"\0")
+        for value in done:
+            row.append(value.decode("utf-8", "replace"))
+            if len(row) == n:
+                yield row
+                row = []
+    if row:
+        yield [*row, rest.decode("utf-8", "replace")]
+
+
 class GitLogReader(DataSourceReader):
     def __init__(self, options):
         self.root, self.since, self.path = options["root"], options.get("since"), options.get("path")
 
     def read(self, partition):
         span = [f"{self.since}..HEAD"] if self.since else ["HEAD"]
-        command = ["git", "-C", self.root, "log", "--format=%H%x1f%an%x1f%ae%x1f%s%x1f%ct", *span, *(["--", self.path] if self.path else [])]
-        for line in subprocess.run(command, capture_output=True, text=True, check=True).stdout.splitlines():
-            sha, author, email, message, when = line.split("\x1f")
-            yield sha, author, email, message, datetime.fromtimestamp(int(when), UTC)
+        command = ["git", "-C", self.root, "log", "-z", "--format=%H%x00%an%x00%ae%x00%s%x00%ct", *span, *(["--", self.path] if self.path else [])]
+        with subprocess.Popen(command, stdout=subprocess.PIPE) as log:
+            yield from map(self._commit, fields(log.stdout, 5))
+        if log.returncode:
+            raise RuntimeError(f"git log failed in {self.root}")
+
+    @staticmethod
+    def _commit(values: list[str]) -> tuple:
+        *texts, when = values
+        return *texts, datetime.fromtimestamp(int(when), UTC)
 
 
 class GitLog(DataSource):

@@ -23,6 +23,19 @@ def test_chunks():
     assert spans("int a;\n#include <x.h>\nint b;\n", ".c") == []
 
 
+def test_chunks_at_open_ends():
+    plain = "".join(f"v{i} = {i}\n" for i in range(400))
+    assert spans("a = 1  # don't stop\n" + plain)[:3] == [(1, 5), (5, 9), (9, 13)]  # an open quote alone leaves nothing open
+    assert spans("a = 1\nb = 2\nc = 3\nd = 4\nx = 1 + \\ \n    2\nz = 6\n")[0] == (1, 5)  # blanks after the backslash
+    assert spans("a = 1\nb = 2\nc = 3\nd = 4\n# note \\\n    2\nz = 6\n")[0] == (1, 5)
+    assert spans("a = 1\nb = 2\nc = 3\nd = 4\nif a:\n    b = f(\n1,\n2)\n    c = 3\nz = 6\n")[0] == (1, 8)  # a bracket that the block leaves open
+    assert spans("a = 1\nb = 2\nc = 3\nd = 4\nif a:\n    if b:\n        c = 4\n\n# note\n    d = 5\nz = 6\n")[0] == (1, 10)
+    assert spans("a = 1\nb = 2\nc = 3\nd = 4\nx = (1\nfor y in z:\n    w)\n    v\nu = 1\n")[0] == (1, 7)
+    assert spans("a = 1\nb = 2\nc = 3\nd = 4 )\nx = (1\n2)\nz = 6\n")[0] == (1, 5)  # after a closer without an opener nothing counts
+    assert spans("x = f(\n" + plain)[0] == (1, chunks.LONGEST)
+    assert not chunks.unbalanced("it's ( here") and chunks.unbalanced("f('(' , (") and not chunks.unbalanced("(]") and not chunks.unbalanced("'\\'(' ")
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ab(){}\"':\\ #", max_size=12), max_size=60))
 def test_chunks_advance(lines):

@@ -1,14 +1,17 @@
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from codeloom import schema
+from codeloom.functions import embedding
+from codeloom.operators import code_search, tree
 from codeloom.operators import graph as g
 from codeloom.operators import meta as m
+from codeloom.operators import repos as r
 from codeloom.operators import search as s
 from codeloom.operators import store as st
-from codeloom.operators import tree
 from codeloom.streaming import incremental
 
 PATHS = ["public/", "public/favicon.ico", "public/images/", "public/images/logo.png", "README.md", "src/", "src/components/", "src/components/Footer.tsx", "src/components/Header.tsx", "src/utils/", "src/utils/helper.js", ".hidden"]
@@ -153,3 +156,76 @@ def test_incremental_replaces_scopes(spark, tmp_path):
         source = incremental.changed_files(spark, f"{tmp_path}/in", kind)
         incremental.keep_current(source, store, "chunks", ["file_path"], analyse, f"{tmp_path}/cp").awaitTermination()
     assert [(r.file_path, r.line) for r in store.read("chunks").collect()] == [("b", "3")]
+
+
+def test_upsert_of_odd_keys(spark):
+    kind = "id string, n int"
+    current = spark.createDataFrame([("a", 0), ("b", 0), (None, 7)], kind)
+    new = spark.createDataFrame([(None, 1), (None, 2), ("a", 1), ("a", 2), ("c", 3)], kind)
+    assert sorted((r.id or "", r.n) for r in st.upsert(current, new, ["id"], "n").collect()) == [("", 7), ("a", 2), ("b", 0), ("c", 3)]
+    assert st.failed(new, ["id"]).count() == 2 and st.upsert(current, new, ["id"]).count() == 4
+
+
+def test_owners_and_cancelled_scans(spark):
+    repos = spark.createDataFrame([("1", "u", "/srv/a/../b"), ("2", "v", None)], "id string, user_id string, local_path string").withColumn("description", F.lit("old")).withColumn("updated_at", F.lit(stamp(1)))
+    assert r.resolve(repos, path="srv/./b").first().id == "1" and r.resolve(repos, "2", "srv/b").first().id == "2" and r.resolve(repos).isEmpty()
+    assert r.exists(repos, "1") and not r.exists(repos, "9")
+    out = {x.id: x for x in r.update_repository(repos, "1", "u", F.lit(stamp(9)), description="new").collect()}
+    assert out["1"].description == "new" and out["1"].updated_at == stamp(9) and out["2"].description == "old"
+    with pytest.raises(PermissionError):
+        r.update_repository(repos, "1", "v", F.lit(stamp(9)))
+    with pytest.raises(LookupError):
+        r.delete_repository(repos, {}, "9", "u")
+    left, tables = r.delete_repository(repos, {"t": spark.createDataFrame([("1",), ("2",), (None,)], "repo_id string")}, "1", "u")
+    assert [x.id for x in left.collect()] == ["2"] and tables["t"].count() == 2
+    auths = spark.createDataFrame([("1", "u", "github", True, stamp(1), stamp(1))], "id string, user_id string, provider string, is_active boolean, created_at timestamp, updated_at timestamp")
+    new = spark.createDataFrame([("2", "u", "github"), ("3", "u", "gitlab")], "id string, user_id string, provider string")
+    saved = r.save_auth(auths, new, F.lit(stamp(9)))
+    assert {x.id: x.updated_at for x in r.auths_of(saved, "u").collect()} == {"1": stamp(9), "3": stamp(9)} and r.auths_of(saved, "u", "gitlab").count() == 1
+    stay, gone = r.delete_auth(saved, "u", "github")
+    assert gone and stay.count() == 1 and not r.delete_auth(stay, "u", "github")[1]
+    tasks = spark.createDataFrame([("1", "running", stamp(1)), ("2", "idle", stamp(1))], "repo_id string, scan_status string, scan_heartbeat_at timestamp")
+    assert {x.repo_id: x.scan_heartbeat_at for x in r.heartbeat(tasks, "1", F.lit(stamp(5))).collect()} == {"1": stamp(5), "2": stamp(1)}
+    r.check_running(tasks, "1")
+    for repo in ("2", "9"):
+        with pytest.raises(r.ScanCancelled):
+            r.check_running(tasks, repo)
+    states = spark.createDataFrame([("s1", "a"), ("s2", "b")], "id string, file_path string")
+    assert r.work_item(states, "s2").first().file_path == "b"
+
+
+def test_search_requests(spark):
+    for bad in (0, 101, True, 2.5):
+        with pytest.raises(ValueError):
+            code_search.checked("x", bad)
+    for blank in ("", " ", None, ["", " "]):
+        with pytest.raises(ValueError):
+            code_search.checked(blank)
+    assert code_search.checked([" a ", "", "b"], 100) == ["a", "b"]
+    texts = ["def read the file", "open a socket", "close the file"]
+    rows = spark.createDataFrame([(f"c{i}", "r", "line_chunk_vector", f"f{i}", 1, 5, t) for i, t in enumerate(texts)], "id string, repo_id string, analysis_type string, file_path string, start_line int, end_line int, content string")
+    space = embedding.embed(rows, "content")
+    assert [x.file_path for x in code_search.similar_code(space, "r", "open a socket", 1).collect()] == ["f1"]
+    symbols = space.withColumn("analysis_type", F.lit("symbol_summary_vector"))
+    got = code_search.related_files(symbols, space, "r", ["close the file", "def read the file"], 2).collect()
+    assert {x.file_path for x in got} == {"f0", "f2"} and {x.src for x in got} == {0}
+    hits = s.search([space.withColumn("available_int", F.lit(1)).withColumn("none", F.lit(None).cast("string"))], s.SearchRequest(limit=1)).hits
+    assert {"id", "_score"} <= set(s.sources(hits).columns)
+    assert s.shaped_fields(hits, ["file_path", "start_line", "available_int", "none", "absent"]).first().fields == '{"file_path":"f0","start_line":"1","available_int":1}'
+    assert s.shaped_fields(hits, ["none"]).isEmpty() and s.shaped_fields(hits, []).isEmpty()
+    assert s.rewrite_sql("where x_tks = 'Big-Cat'", lambda v: v.replace("-", " "), str.lower) == "where match_tks(x_tks, 'big cat', 0.3)"
+
+
+def test_scratch_folder_is_shared(spark, tmp_path):
+    from types import SimpleNamespace as Fake
+
+    from codeloom.sources import scratch
+
+    conf = lambda folder: Fake(get=lambda key, default: folder)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.scratch_root(Fake(conf=conf(None), sparkContext=Fake(master="spark://host:7077", applicationId="x")))
+    assert scratch.scratch_root(Fake(conf=conf("/shared/"), sparkContext=Fake(master="spark://host:7077", applicationId="x"))) == "/shared"
+    table = scratch.materialize(spark.range(3), "t")
+    assert table.count() == 3
+    scratch.discard(table, None, spark.range(1))
+    assert not os.path.exists(table.scratch_path.removeprefix("file://"))

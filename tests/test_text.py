@@ -62,13 +62,38 @@ def test_arguments():
     assert t.parse_arguments('{"a": {"b": 1')["error"] == "truncated"
 
 
-def test_history():
-    turns = pd.DataFrame(
-        {"role": ["user", "assistant", "tool", "tool", "robot"], "text": list("abcde"), "call_ids": [None, ["1", "2"], None, None, None], "call_id": [None, None, "1", "9", None]}
-    )
-    out = t.sanitize_history(turns)
-    assert out.text.tolist() == ["a", "b", "c"]
-    assert out.call_ids.tolist()[1] == ["1"]
+def test_history(spark):
+    rows = [
+        (1, 0, "system", "s", None, None), (1, 1, "assistant", "a", ["x", "y", "z"], None), (1, 2, "tool", "r", None, "y"), (1, 3, "narrator", "n", None, None), (1, 4, "tool", "r", None, "never"),
+        (1, 5, "assistant", "b", None, None), (2, 0, "tool", "early", None, "q"), (2, 1, "assistant", "c", ["q", "w", "v"], None), (2, 2, "tool", "late", None, "v"), (2, 3, "tool", "late", None, "q"),
+    ]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, call_ids array<string>, call_id string")
+    got = {(r.conv_id, r.turn): (r.role, r.call_ids, r.call_id) for r in t.sanitized(turns).collect()}
+    assert set(got) == {(1, 0), (1, 1), (1, 2), (1, 5), (2, 1), (2, 2), (2, 3)}
+    assert got[1, 1][1] == ["y"] and got[2, 1][1] == ["q", "v"] and got[1, 5][1] == [] and got[2, 2][2] == "v"
+
+
+def test_calls_and_addresses(spark):
+    calls = spark.createDataFrame([([("1", "f", '{"a": "é"}'), ("2", "g", "not json"), ("3", "h", None)],), ([],), (None,)], "calls array<struct<id:string,name:string,arguments:string>>")
+    text = [r.x for r in calls.select(t.tool_calls(F.col("calls")).alias("x")).collect()]
+    assert text[0].startswith('<tool_calls>\n<tool>\n{\n  "id": "1",\n  "name": "f",\n  "args": {\n    "a": "é"\n  }\n}\n</tool>\n') and text[0].endswith('"args": {}\n}\n</tool>\n</tool_calls>')
+    assert '"args": "not json"' in text[0] and text[1:] == ["", ""]
+    c = F.col("v")
+    for value, want in (("file:///a%20b/../c+d.py?x=1", "/c+d.py"), ("file://host/x%2By", "/x+y"), ("rel/./z", "/base/rel/z"), ("\\a\\b", "/a/b")):
+        assert one(spark, t.uri_path(c, "/base"), v=value) == want
+    for value, want in (("Content-Length: 12\r\nX: 1", 12), ("X: 1\r\ncontent-length:7", 7), ("content-length: x", 0), ("", 0)):
+        assert one(spark, t.content_length(c), v=value) == want
+    assert one(spark, t.editor_language(c), v="a.TSX") == "typescriptreact" and one(spark, t.editor_language(c), v="a") == "plaintext"
+
+
+def test_vocabulary(spark):
+    from codeloom.functions import vocabulary
+
+    own = vocabulary.encoding()
+    for text in ("hello tokens of a text", "é中😀" * 5, "", None):
+        ids = own.encode_ordinary(text or "")
+        assert one(spark, vocabulary.n_tokens(F.col("v")), v=text) == len(ids)
+        assert one(spark, vocabulary.cut(F.col("v"), 3), v=text) == (text if len(ids) <= 3 else own.decode_bytes(ids[:3]).decode("utf-8", "ignore"))
 
 
 def test_typed(spark):
