@@ -106,7 +106,7 @@ class Items:
         return out, np.array(of)
 
     def in_order(self, item: np.ndarray, terms: np.ndarray, low: np.ndarray, high: np.ndarray, at_once: int = 20_000) -> np.ndarray:
-        """For every pair of an item of up to 64 words and a region of ``terms`` (a number for each word, below 0 for others): how many words they have in common in order.
+        """For every pair of an item of up to 64 words and a region of ``terms``, of a text's words those that are any: how many words they have in common in order.
 
         The table of each pair is kept in the bits of one number, and all pairs go on by one word at a time.
         """
@@ -118,9 +118,7 @@ class Items:
             row = full.copy()
             for step in range(int((end - place).max(initial=0))):
                 here = np.flatnonzero(place + step < end)
-                term = terms[place[here] + step]
-                here, term = here[term >= 0], term[term >= 0]
-                want = key[here] + term
+                want = key[here] + terms[place[here] + step]
                 found = np.minimum(np.searchsorted(self.in_item, want), len(self.in_item) - 1)
                 same = self.in_item[found] == want
                 here, mask = here[same], self.at[found[same]]
@@ -328,6 +326,12 @@ def common_run(a: np.ndarray, b: np.ndarray) -> int:
     Runs of 1, 2, 4 and more words are numbered, each from pairs of those before, as long as both
     have some in common; from the longest such power down, what is left of the length is found by halves.
     """
+    if len(a) * len(b) <= 1 << 16:  # as small as most are, the table is quickest row by row
+        longest, row = 0, np.zeros(len(b) + 1, np.int64)
+        for x in a:
+            row[1:] = np.where(b == x, row[:-1] + 1, 0)
+            longest = max(longest, int(row.max()))
+        return longest
     both = np.concatenate([a, b])
     inside = np.concatenate([np.arange(len(a), 0, -1), np.arange(len(b), 0, -1)])  # words from a place to its text's end
 
@@ -369,8 +373,8 @@ class Queries:
     """What passages are compared with: items and their pieces as unit vectors, whose they are, the cosine from which each is near, and the runs of all items."""
 
     own: np.ndarray
+    by_gate: np.ndarray  # each divided by the cosine from which it is near
     item: np.ndarray
-    gate: np.ndarray
     whole: np.ndarray  # the places of whole items
     runs: tuple[np.ndarray, np.ndarray]
 
@@ -382,7 +386,7 @@ class Queries:
         own /= np.maximum(np.sqrt((own**2).sum(1, keepdims=True)), 1e-12)
         gate = limits.cosine * np.sqrt(np.minimum(1, np.array(list(map(len, pieces))) / HALF))
         whole = np.flatnonzero(np.diff(item, prepend=-1))
-        return cls(own, item, gate.astype(np.float32), whole, items.runs(limits.run))
+        return cls(own, (own / gate[:, None]).astype(np.float32), item, whole, items.runs(limits.run))
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
@@ -399,12 +403,15 @@ def near_items(sums: np.ndarray, at: np.ndarray, queries: Queries, at_once: int
         part = at[first : first + step]
         used, place = np.unique(np.concatenate([part, part + 1]), return_inverse=True)
         halves = sums[used]
-        products = halves @ queries.own.T
+        products = halves @ queries.by_gate.T
         here, there = place[: len(part)], place[len(part) :]
-        own = products[here]
-        for dot, vectors in ((own + products[there], halves[here] + halves[there]), (own, halves[here])):
-            length = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
-            hit, query = np.nonzero(dot >= np.maximum(length, 1e-12)[:, None] * queries.gate)
+        for second in (False, True):  # the first half alone, then the whole passage
+            dot, vectors = products[here], halves[here]
+            if second:
+                dot += products[there]
+                vectors += halves[there]
+            length = np.maximum(np.sqrt(np.einsum("ij,ij->i", vectors, vectors)), 1e-12)
+            hit, query = np.divmod(np.flatnonzero(dot >= length[:, None]), len(queries.item))
             yield np.column_stack([part[hit], queries.item[query]])
 
 
@@ -416,8 +423,8 @@ def matches_in(texts: list[bytes], items: Items, weight: np.ndarray, weighted: n
     sums = found.sums(weighted)
     at = np.union1d(found.passages(), found.half)
     in_runs = found.in_runs(queries.runs, limits.run)
-    pairs = np.unique(np.concatenate([in_runs, *near_items(sums, at, queries)]), axis=0)
-    pairs = pairs[np.lexsort((pairs[:, 0], pairs[:, 1]))]
+    pairs = np.concatenate([in_runs, *near_items(sums, at, queries)])
+    pairs = np.column_stack(np.divmod(np.unique(pairs[:, 1] * found.n_slots + pairs[:, 0]), found.n_slots)[::-1])  # by item, then half
     with_run = set(map(tuple, in_runs.tolist()))
     half, item = pairs[:, 0], pairs[:, 1]
     text, size = np.searchsorted(found.slot, half, side="right") - 1, items.sizes[item]
@@ -431,11 +438,9 @@ def matches_in(texts: list[bytes], items: Items, weight: np.ndarray, weighted: n
     reach = np.maximum(HALF, size) + close  # the longer an item, the further it may go beyond the passage
     first = found.first[text]
     low, high = first + np.maximum(0, begin - reach), first + np.minimum(found.n_words[text], begin + 2 * HALF + reach)
-    terms = np.full(len(found.words), -1)
-    terms[found.place] = found.all_terms
     shared = np.zeros(len(pairs), np.int64)
     short = np.flatnonzero(size <= 64)
-    shared[short] = items.in_order(item[short], terms, low[short], high[short])
+    shared[short] = items.in_order(item[short], found.all_terms, *(np.searchsorted(found.place, x[short]) for x in (low, high)))
     for i in np.flatnonzero(own & (size > 64)).tolist():
         words = items.words[item[i]]
         region = found.words[low[i] : high[i]]
