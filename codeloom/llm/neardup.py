@@ -154,7 +154,7 @@ def _reached(rest: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]
     return out
 
 
-def links(fps: DataFrame, bits: int = 4, keys_in_task: int = 3_000_000) -> DataFrame:
+def links(fps: DataFrame, bits: int = 4, keys_in_task: int = 1_000_000) -> DataFrame:
     """Links (a, b) between distinct fingerprints in column fp, enough to connect every component.
 
     Batches send their keys to tasks as arrays, one for each task that a key can go to; the number
@@ -195,7 +195,8 @@ def links(fps: DataFrame, bits: int = 4, keys_in_task: int = 3_000_000) -> DataF
         return pa.table({"a": pairs[0].view(np.int64), "b": pairs[1].view(np.int64)})
 
     sent = fps.select("fp").mapInArrow(send, "task int, keys binary, fps binary")
-    partitions = min(tasks, partitions_for(16 * keys))
+    # Twice as many partitions as tasks, as some partitions get several.
+    partitions = min(2 * tasks, 2 * partitions_for(16 * keys))
     return sent.repartition(max(partitions, fps.sparkSession.sparkContext.defaultParallelism), "task").groupBy("task").applyInArrow(meet, "a long, b long")
 
 
