@@ -27,6 +27,11 @@ def partitions_for(size: int, least: int = 1, fine: int = 16 << 20, coarse: int
     return max(least, min(4096, ceil(size / fine)), ceil(size / coarse))
 
 
+def deal(df: DataFrame, number: str, parts: int) -> DataFrame:
+    """Exchange rows so that the groups numbered 0, 1, 2 ... take turns over the partitions: each gets as many as any other, which hashing the numbers would not give it. The column is an int."""
+    return df.repartitionById(parts, F.col(number))
+
+
 def smallest_hashes(df: DataFrame, key: str, n: int) -> DataFrame:
     """Rows whose keys' hashes lie so low that about four times ``n`` do: a sample of ``n`` can be taken from these.
 

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import partitions_for, text_bytes
+from codeloom.llm.common import deal, partitions_for, text_bytes
 from codeloom.llm.fm_index import FMIndex
 from codeloom.llm.ngrams import mix
 from codeloom.sources.tables import read_table
@@ -271,12 +271,12 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", bu
     total = source.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     buckets, shards = max(1, ceil(total / bucket_bytes)), max(1, ceil(total / shard_bytes))
     tasks = partitions_for(total, df.sparkSession.sparkContext.defaultParallelism)
-    docs = source.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int")).repartition(tasks, "bucket")
+    docs = deal(source.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int")), "bucket", tasks)
     ddl = _ddl(CELL)
-    asked = docs.groupBy("bucket").applyInArrow(lambda t: ask(t, shards), ddl).repartition(tasks, "shard")
-    live = asked.groupBy("shard").applyInArrow(lambda t: answer(t, hot), ddl).repartition(tasks, "bucket")
-    sent = docs.groupBy("bucket").cogroup(live.groupBy("bucket")).applyInArrow(lambda a, b: send(a, b, shards), ddl).repartition(tasks, "shard")
-    back = sent.groupBy("shard").applyInArrow(index, ddl).repartition(tasks, "bucket")
+    asked = deal(docs.groupBy("bucket").applyInArrow(lambda t: ask(t, shards), ddl), "shard", tasks)
+    live = deal(asked.groupBy("shard").applyInArrow(lambda t: answer(t, hot), ddl), "bucket", tasks)
+    sent = deal(docs.groupBy("bucket").cogroup(live.groupBy("bucket")).applyInArrow(lambda a, b: send(a, b, shards), ddl), "shard", tasks)
+    back = deal(sent.groupBy("shard").applyInArrow(index, ddl), "bucket", tasks)
     return docs.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(apply, _ddl(RESULT))
 
 
