@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import components, partitions_for, spread_join, text_bytes
+from codeloom.llm.common import components, deal, partitions_for, spread_join, text_bytes
 from codeloom.sources.scratch import materialize
 from codeloom.sources.tables import read_table
 
@@ -195,9 +195,8 @@ def links(fps: DataFrame, bits: int = 4, keys_in_task: int = 1_000_000) -> DataF
         return pa.table({"a": pairs[0].view(np.int64), "b": pairs[1].view(np.int64)})
 
     sent = fps.select("fp").mapInArrow(send, "task int, keys binary, fps binary")
-    # Twice as many partitions as tasks, as some partitions get several.
-    partitions = min(2 * tasks, 2 * partitions_for(16 * keys))
-    return sent.repartition(max(partitions, fps.sparkSession.sparkContext.defaultParallelism), "task").groupBy("task").applyInArrow(meet, "a long, b long")
+    partitions = partitions_for(16 * keys, fps.sparkSession.sparkContext.defaultParallelism)
+    return deal(sent, "task", partitions).groupBy("task").applyInArrow(meet, "a long, b long")
 
 
 def _labelled(by_fp: DataFrame, bits: int) -> DataFrame:
