@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import in_slices, partitions_for
+from codeloom.llm.common import deal, in_slices, partitions_for
 from codeloom.llm.secrets import VOCABULARY, encoder
 from codeloom.sources.tables import read_table
 
@@ -178,12 +178,13 @@ def pack_documents(
         table = table.sort_by([(c, "ascending") for c in ("doc_id", "piece", "end", "text")])
         sizes = table["end"].to_numpy() - table["start"].to_numpy()
         bins, final, offsets = pack(sizes, lengths)
-        added = {"bin_id": table["grp"].to_numpy() * (1 << 32) + bins, "bin_length": final, "bin_offset": offsets}
+        added = {"bin_id": table["grp"].to_numpy().astype(np.int64) * (1 << 32) + bins, "bin_length": final, "bin_offset": offsets}
         return pa.table({c: table[c] for c in PIECE.names[:-1]} | {c: pa.array(x, pa.int64()) for c, x in added.items()})
 
     # A hot text, or id, is spread by the number of its row; which group a row is in does not matter otherwise.
     pieces = own.withColumn("grp", F.xxhash64("doc_id", F.monotonically_increasing_id())).mapInArrow(cut, "doc_id long, piece long, start long, end long, text string, grp long")
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("grp", "piece"), F.lit(groups))).repartition(partitions_for(total, min(groups, df.sparkSession.sparkContext.defaultParallelism)), "grp")
+    tasks = partitions_for(total, min(groups, df.sparkSession.sparkContext.defaultParallelism))
+    dealt = deal(pieces.withColumn("grp", F.pmod(F.xxhash64("grp", "piece"), F.lit(groups)).cast("int")), "grp", tasks)
     return dealt.groupBy("grp").applyInArrow(place, "doc_id long, piece long, start long, end long, text string, bin_id long, bin_length long, bin_offset long")
 
 
