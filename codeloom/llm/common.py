@@ -68,13 +68,14 @@ def components(edges: DataFrame) -> DataFrame:
     salted hash is the least (or stays), edges are relabelled and deduplicated, and the graph
     shrinks by a constant factor on average, whatever the order of the ids. Only neighbours'
     minima are aggregated, so that a node with very many edges is combined before the shuffle, and
-    nodes with very many edges are relabelled by a broadcast of bounded size. Isolated nodes do not
-    appear. The label is a node of the component.
+    nodes with very many edges are relabelled by a broadcast of bounded size. Each round's moves stay
+    as a table; labels come from the last round back to the first, so that no table of all nodes is
+    written again in every round. Isolated nodes do not appear. The label is a node of the component.
     """
     edges = materialize(
         edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"
     )
-    labels = None
+    moves = []
     turn = 0
     while n_edges := edges.count():
         rank = lambda c: F.xxhash64(F.lit(turn), F.col(c))  # noqa: B023, E731
@@ -96,16 +97,16 @@ def components(edges: DataFrame) -> DataFrame:
             f"edges{turn}",
         )
         discard(old)
-        if labels is None:
-            labels = materialize(moved.select(F.col("a").alias("node"), F.col("p").alias("label")), f"labels{turn}")
-        else:
-            old = labels
-            counts = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-            to = counts.join(moved.select(F.col("a").alias("label"), "p"), "label", "left").select("label", "n", F.coalesce("p", "label").alias("p"))
-            labels = materialize(spread_join(labels, to, "label", labels.count()).select("node", F.col("p").alias("label")), f"labels{turn}")
-            discard(old)
-        discard(moved)
+        moves.append(moved)
         turn += 1
-    if labels is None:
+    if not moves:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    labels, read = moves[-1].select(F.col("a").alias("node"), F.col("p").alias("label")), moves[-1]
+    for k in range(len(moves) - 2, -1, -1):
+        own = moves[k].select(F.col("a").alias("node"), "p")
+        ends = own.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+        to = ends.join(labels.select(F.col("node").alias("p"), "label"), "p", "left").select("p", "n", F.coalesce("label", "p").alias("label"))
+        labels = materialize(spread_join(own, to, "p", own.count()).select("node", "label"), f"labels{k}")
+        discard(moves[k], read)
+        read = labels
     return labels
