@@ -165,7 +165,8 @@ def links(fps: DataFrame, bits: int = 4, keys_in_task: int = 1_000_000) -> DataF
     if bits > 4:
         raise ValueError("the keys cover up to 4 differing bits")
     keys = fps.count() * 70
-    tasks = max(1, ceil(keys / keys_in_task))
+    partitions = partitions_for(16 * keys, fps.sparkSession.sparkContext.defaultParallelism)
+    tasks = partitions * max(1, ceil(keys / keys_in_task / partitions))  # as many for each partition
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,7 +196,6 @@ def links(fps: DataFrame, bits: int = 4, keys_in_task: int = 1_000_000) -> DataF
         return pa.table({"a": pairs[0].view(np.int64), "b": pairs[1].view(np.int64)})
 
     sent = fps.select("fp").mapInArrow(send, "task int, keys binary, fps binary")
-    partitions = partitions_for(16 * keys, fps.sparkSession.sparkContext.defaultParallelism)
     return deal(sent, "task", partitions).groupBy("task").applyInArrow(meet, "a long, b long")
 
 
