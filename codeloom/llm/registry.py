@@ -1,6 +1,6 @@
 """The queries of these operators, and their SQL where SQL can express them."""
 
-from codeloom.llm import chat, decontamination, html_main, neardup, packing, quality, rules, secrets, sharding, substrings
+from codeloom.llm import chat, clustering, decontamination, divergence, html_main, neardup, packing, quality, rules, secrets, sharding, substrings
 
 QUERIES = {
     "op1_nb_svm": quality.op1_nb_svm,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_fm_index": substrings.op8_fm_index,
     "op9_block_lstm": html_main.op9_block_lstm,
     "op10_snapshot_collapse": chat.op10_snapshot_collapse,
+    "op11_count_columns": divergence.op11_count_columns,
+    "op12_hamerly": clustering.op12_hamerly,
 }
 
 ORACLE_OP8 = r"""
@@ -34,4 +36,9 @@ select d.doc_id, len(d.w)::bigint as n_words, coalesce(c.n, 0)::bigint as n_remo
 from d left join kept k on k.doc_id = d.doc_id left join counts c on c.doc_id = d.doc_id
 """
 
-ORACLES = {"op8_fm_index": ORACLE_OP8, "op10_snapshot_collapse": chat.ORACLE_OP10}
+ORACLES = {
+    "op8_fm_index": ORACLE_OP8,
+    "op10_snapshot_collapse": chat.ORACLE_OP10,
+    "op11_count_columns": divergence.ORACLE_OP11,
+    "op12_hamerly": clustering.ORACLE_OP12,
+}
