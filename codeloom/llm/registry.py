@@ -1,6 +1,6 @@
 """The queries of these operators, and their SQL where SQL can express them."""
 
-from codeloom.llm import chat, clustering, decontamination, divergence, html_main, neardup, packing, quality, rules, secrets, sharding, substrings
+from codeloom.llm import chat, clustering, decontamination, divergence, html_main, language, neardup, packing, quality, rules, secrets, sharding, substrings
 
 QUERIES = {
     "op1_nb_svm": quality.op1_nb_svm,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_snapshot_collapse": chat.op10_snapshot_collapse,
     "op11_count_columns": divergence.op11_count_columns,
     "op12_hamerly": clustering.op12_hamerly,
+    "op13_viterbi_spans": language.op13_viterbi_spans,
 }
 
 ORACLE_OP8 = r"""
