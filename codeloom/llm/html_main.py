@@ -40,14 +40,16 @@ INLINE = frozenset(
     math menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics""".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("script style noscript template svg annotation annotation-xml iframe object head title textarea select option datalist canvas audio video".split())
+DROPPED = frozenset("script style noscript template svg annotation annotation-xml iframe object title textarea select option datalist canvas audio video".split())
+#: Elements that every page has, whether their tags are there or not: these start no block and close nothing.
+IMPLIED = frozenset("html head body".split())
 #: An open element that one of these start tags closes.
 CLOSED_BY = {"p": frozenset("p h1 h2 h3 h4 h5 h6 ul ol table div section article aside nav footer header form blockquote pre hr main".split()), "li": frozenset(["li"]), "dt": frozenset("dt dd".split()), "dd": frozenset("dt dd".split()), "tr": frozenset(["tr"]), "td": frozenset("td th tr".split()), "th": frozenset("td th tr".split()), "option": frozenset(["option"])}
 
 RAW = frozenset("script style textarea title noscript iframe".split())
 
 #: A comment, a tag with its attributes, or another declaration.
-MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">]+)*+|[^>]*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
+MARKUP = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">]+)*+|[^>]*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 NAME = re.compile(r"[a-z]+")
 PATH_BITS, WORD_BITS, NUMBERS = 9, 5, 8
@@ -98,21 +100,24 @@ def blocks(html: str | None) -> list[Block]:
     """(node, text, characters in links) for every block of a page in order.
 
     A null or empty page has no blocks; broken markup is read as far as it goes: end tags without a
-    start are ignored, and open elements end with the one around them.
+    start are ignored, and open elements end with the one around them, those without text too. All
+    content is in the body, as the tags of html, head and body may be left out. A CDATA section is a
+    comment up to the first ``>``, as in HTML.
     """
     html = html or ""
     found: list[Block] = []
-    open_: list[tuple[str, Node]] = []
+    open_: list[tuple[str, Node]] = [("body", Node(None, ("body",)))]
     n_open: Counter[str] = Counter()
+    inner: Counter[str] = Counter()  # what is open from the dropped element on
     parts: list[str] = []
-    linked, in_link, dropped, deep = 0, False, "", 0
+    linked, in_link, dropped, in_body = 0, False, "", False
 
     def end_block() -> None:
         nonlocal linked, in_link
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                found.append((open_[-1][1] if open_ else None, text, linked))
+                found.append((open_[-1][1], text, linked))
             parts.clear()
         linked, in_link = 0, False
 
@@ -136,39 +141,43 @@ def blocks(html: str | None) -> list[Block]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if dropped:
-                deep -= tag == dropped
-                dropped = dropped if deep else ""
-            elif tag == "a":
+            if dropped and inner[tag]:
+                inner[tag] -= 1
+                dropped = dropped if inner[dropped] else ""
+                continue
+            if dropped and not n_open[tag]:
+                continue
+            dropped = ""
+            if tag == "a":
                 in_link = False
             elif tag not in INLINE:
                 end_block()
                 while n_open[tag] and close_last() != tag:
                     pass
-        elif tag == "body":
-            end_block()
-            dropped, deep, open_ = "", 0, [("body", Node(None, ("body",)))]
-            n_open = Counter(["body"])
+        elif tag in IMPLIED:
+            if tag == "body" and not in_body:
+                in_body, dropped = True, ""
         elif dropped:
-            deep += tag == dropped
+            if tag not in VOID and not m[3].endswith("/"):
+                inner[tag] += 1
         elif tag in DROPPED:
             parts.append(" ")
             if tag in RAW:
                 end = _raw_end(tag).search(html, at)
                 at = end.start() if end else len(html)
             if not m[3].endswith("/"):
-                dropped, deep = tag, 1
+                dropped, inner = tag, Counter([tag])
         elif tag == "br":
             parts.append(" ")
         elif tag == "a":
             in_link = True
         elif tag not in INLINE:
             end_block()
-            while open_ and tag in CLOSED_BY.get(open_[-1][0], ()):
+            while tag in CLOSED_BY.get(open_[-1][0], ()):
                 close_last()
             if tag not in VOID:
                 words = tuple("." + x for v in ATTRIBUTE.findall(m[3]) for x in NAME.findall(v.lower())) if m[3] else ()
-                open_.append((tag, Node(open_[-1][1] if open_ else None, (tag, *words))))
+                open_.append((tag, Node(open_[-1][1], (tag, *words))))
                 n_open[tag] += 1
     add(html[at:])
     end_block()
