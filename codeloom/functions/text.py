@@ -222,8 +222,9 @@ def absolute_path(path: Column, base: str = "/") -> Column:
 
 
 def uri_path(uri: Column, base: str = "/") -> Column:
-    """The path of a ``file:`` address with its escapes read; anything else is taken as a path."""
+    """The path of a ``file:`` address with its escapes read, those that are none left as they are; anything else is taken as a path."""
     address = F.regexp_replace(F.regexp_replace(uri, r"^file:(//[^/?#]*)?", ""), r"[?#].*$", "")
+    address = F.regexp_replace(address, "%(?![0-9A-Fa-f]{2})", "%25")
     return absolute_path(F.when(uri.startswith("file:"), F.url_decode(F.replace(address, F.lit("+"), F.lit("%2B")))).otherwise(uri), base)
 
 

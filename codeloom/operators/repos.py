@@ -80,8 +80,13 @@ def delete_repository(repos: DataFrame, belonging: dict[str, DataFrame], repo_id
 
 
 def save_auth(current: DataFrame, new: DataFrame, now: Column) -> DataFrame:
-    """Accounts after those of ``new`` (id, user_id, provider), at most one for each user and provider, are saved: an active one keeps its id and is touched, others come in. Tokens are not stored."""
+    """Accounts after those of ``new`` (id, user_id, provider) are saved: an active one keeps its id and is touched, others come in. Tokens are not stored.
+
+    Of several new ones of a user and provider that with the least id comes in; without a user or a
+    provider none does.
+    """
     key = ["user_id", "provider"]
+    new = new.dropna(subset=key).groupBy(*key).agg(F.min("id").alias("id"))
     touched = current.join(new.select(*key, F.lit(True).alias("__new")), key, "left").withColumn("updated_at", F.when(F.col("is_active") & F.col("__new"), now).otherwise(F.col("updated_at")))
     fresh = new.join(current.where("is_active").select(*key), key, "left_anti").select("id", *key, F.lit(True).alias("is_active"), now.alias("created_at"), now.alias("updated_at"))
     return touched.select(*current.columns).unionByName(fresh.select(*current.columns))

@@ -171,16 +171,18 @@ def text_score(df: DataFrame, match: MatchText) -> DataFrame:
 
 
 def reduced(c: Column, mode: str) -> Column:
-    """A multi-valued field as one number for sorting: min, max, avg, sum or median."""
+    """A multi-valued field as one number for sorting: min, max, avg, sum or median of what is not null; null where there is nothing."""
+    c = F.filter(c, lambda x: x.isNotNull())
+    c = F.when(F.size(c) > 0, c)
     if mode in ("min", "max"):
         return (F.array_min if mode == "min" else F.array_max)(c)
     total = F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double"))
     if mode == "sum":
         return total
     if mode == "avg":
-        return total / F.size(c)
+        return F.try_divide(total, F.size(c))
     s, n = F.sort_array(c), F.size(c)
-    return (F.element_at(s, F.floor((n + 1) / 2).cast("int")).cast("double") + F.element_at(s, F.floor(n / 2).cast("int") + 1).cast("double")) / 2
+    return (F.get(s, F.floor((n - 1) / 2).cast("int")).cast("double") + F.get(s, F.floor(n / 2).cast("int")).cast("double")) / 2
 
 
 def terms_agg(df: DataFrame, name: str) -> DataFrame:

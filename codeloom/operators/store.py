@@ -1,17 +1,26 @@
 """Tables with upsert, update and delete on plain parquet.
 
-A table is a folder of versions and, beside them, pointer files that name the current one. A change
-writes a new version from the current rows and then adds the pointer, so readers never see a
-half-written table, and a change that is repeated gives the same table.
+A table's rows lie in parts, one for each value of its scope column (such as a repository). A version
+is a small file that names the folder of every part. A change writes new folders for the parts that
+it touches, and then a version that names these and all other parts as they were. The next version
+number can be taken only once; whoever comes second looks at what came first, and either adds its
+parts to it or, where that touched the same ones, starts again. Readers never see half a change.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+import os
 import uuid
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 from functools import reduce
+from time import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from codeloom.operators.search import condition
 
@@ -91,8 +100,50 @@ def delete_in_spaces(spaces: dict[str, DataFrame], wanted: dict) -> tuple[dict[s
     return {name: stay for name, (stay, _) in parts.items()}, gone.agg(F.count(F.lit(1)).alias("deleted"))
 
 
+#: The column that tells parts apart, as folder names do.
+PART = "__part"
+
+
+def part_of(value) -> str:
+    """The part that holds a value of the scope column."""
+    return "none" if value is None else hashlib.sha1(str(value).encode()).hexdigest()
+
+
+@dataclass(frozen=True)
+class Version:
+    """A table as one version has it: the folders by part, under one schema."""
+
+    spark: SparkSession
+    number: int
+    scope: str | None
+    schema: StructType
+    parts: dict[str, str]
+
+    def rows(self, parts: Iterable[str] | None = None) -> DataFrame:
+        """All rows, or those of some parts; no other folder is read."""
+        own = [self.parts[p] for p in (self.parts if parts is None else dict.fromkeys(parts)) if p in self.parts]
+        return self.spark.read.schema(self.schema).parquet(*own) if own else self.spark.createDataFrame([], self.schema)
+
+    def touched(self, rows: DataFrame) -> set[str]:
+        """The parts of rows: as many values as a change has scopes reach the driver."""
+        return {part_of(r[0]) for r in rows.select(F.col(self.scope).cast("string")).distinct().collect()} if self.scope else {"none"}
+
+
+@dataclass
+class Change:
+    """New rows for the parts that a change touches. ``reads`` are the parts that it depends on, None if on all."""
+
+    touches: set[str]
+    rows: DataFrame
+    reads: set[str] | None
+
+
 class Store:
-    """Tables under one folder of any file system that Spark writes to."""
+    """Tables under one folder of a file system that Spark writes to and whose rename does not replace files.
+
+    ``scope`` is the column whose values get a part each, ``repo_id`` where there is one. Old versions
+    stay readable until ``clean`` removes them.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -101,44 +152,169 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _versions(self, name: str) -> list[str]:
-        fs, p = self._files(f"{self.root}/{name}.current")
-        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+    def _numbers(self, name: str) -> list[int]:
+        fs, p = self._files(f"{self.root}/{name}.versions")
+        return sorted(int(s.getPath().getName()) for s in fs.listStatus(p) if s.getPath().getName().isdigit()) if fs.exists(p) else []
 
     def exists(self, name: str) -> bool:
-        return bool(self._versions(name))
+        return bool(self._numbers(name))
+
+    def version(self, name: str, number: int | None = None) -> Version:
+        """The current version, or an earlier one."""
+        numbers = self._numbers(name)
+        if not numbers or number not in (None, *numbers):
+            raise LookupError(f"no table {name}" if not numbers else f"no version {number} of {name}")
+        number = numbers[-1] if number is None else number
+        fs, p = self._files(f"{self.root}/{name}.versions/{number:012d}")
+        stream = fs.open(p)
+        try:
+            about = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+        return Version(self.spark, number, about["scope"], StructType.fromJson(about["schema"]), about["parts"])
+
+    def _publish(self, name: str, version: Version) -> bool:
+        """Take a version number; False if it is taken. The file is complete before it gets its name."""
+        fs, own = self._files(f"{self.root}/{name}.versions/new-{uuid.uuid4().hex}")
+        out = fs.create(own, False)
+        out.writeBytes(json.dumps({"scope": version.scope, "schema": version.schema.jsonValue(), "parts": version.parts}))
+        out.close()
+        _, to = self._files(f"{self.root}/{name}.versions/{version.number:012d}")
+        if fs.getScheme() != "file":
+            done = not fs.exists(to) and fs.rename(own, to)
+        else:  # on a local disk a rename would replace the file, but a link does not
+            try:
+                os.link(own.toUri().getPath(), to.toUri().getPath())
+                done = True
+            except FileExistsError:
+                done = False
+        fs.delete(own, False)
+        return done
+
+    def _write_parts(self, name: str, rows: DataFrame, scope: str | None) -> tuple[str, dict[str, str]]:
+        """Large parts are written by several tasks, small ones share one."""
+        folder = f"{self.root}/{name}.data/{uuid.uuid4().hex}"
+        part = F.coalesce(F.sha1(F.col(scope).cast("string")), F.lit("none")) if scope else F.lit("none")
+        rows.withColumn(PART, part).hint("rebalance", PART).write.partitionBy(PART).parquet(folder)
+        fs, p = self._files(folder)
+        names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
+        return folder, {n.partition("=")[2]: f"{folder}/{n}" for n in names}
+
+    def change(self, name: str, plan: Callable[[Version], Change | None]) -> None:
+        """Carry out what ``plan`` makes of the current version; it is asked again where another change came between that it depends on."""
+        while True:
+            base = self.version(name)
+            step = plan(base)
+            if step is None:
+                return
+            folder, new = self._write_parts(name, step.rows, base.scope)
+            latest = base
+            while latest.number == base.number or (step.reads is not None and all(latest.parts.get(p) == base.parts.get(p) for p in step.reads | step.touches)):
+                parts = {p: f for p, f in latest.parts.items() if p not in step.touches} | new
+                known = set(latest.schema.names)
+                schema = StructType([*latest.schema.fields, *[f for f in step.rows.schema.fields if f.name not in known]])
+                if self._publish(name, Version(self.spark, latest.number + 1, base.scope, schema, parts)):
+                    return
+                latest = self.version(name)
+            fs, p = self._files(folder)
+            fs.delete(p, True)
 
-    def create(self, name: str, schema: str) -> bool:
+    def create(self, name: str, schema: str | StructType, scope: str | None = None) -> bool:
         """Does nothing where the table exists."""
-        return self.exists(name) or self.write(name, self.spark.createDataFrame([], schema)) is None
+        if not self.exists(name):
+            kind = self.spark.createDataFrame([], schema).schema
+            scope = scope or ("repo_id" if "repo_id" in kind.names else None)
+            self._publish(name, Version(self.spark, 0, scope, kind, {}))
+        return True
 
     def drop(self, name: str) -> bool:
         """A missing table is dropped already."""
-        for end in ("current", "data"):
+        for end in ("versions", "data"):
             fs, p = self._files(f"{self.root}/{name}.{end}")
             fs.delete(p, True)
         return True
 
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.data/{self._versions(name)[-1].partition('-')[2]}")
-
-    def write(self, name: str, df: DataFrame) -> None:
-        number, version = len(self._versions(name)), uuid.uuid4().hex
-        df.write.parquet(f"{self.root}/{name}.data/{version}")
-        fs, p = self._files(f"{self.root}/{name}.current/{number:012d}-{version}")
-        fs.create(p, False).close()
+    def clean(self, name: str, keep: int = 2, age: float = 3600) -> int:
+        """Remove all but the last ``keep`` versions and the folders that only these used; how many folders went.
+
+        Folders written in the last ``age`` seconds stay, as a change under way may be about to name them.
+        """
+        numbers = self._numbers(name)
+        used = {f.rpartition("/")[0].rpartition("/")[2] for n in numbers[-keep:] for f in self.version(name, n).parts.values()}
+        for n in numbers[:-keep]:
+            fs, p = self._files(f"{self.root}/{name}.versions/{n:012d}")
+            fs.delete(p, False)
+        fs, p = self._files(f"{self.root}/{name}.data")
+        gone = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName() not in used and s.getModificationTime() < (time() - age) * 1000] if fs.exists(p) else []
+        for path in gone:
+            fs.delete(path, True)
+        return len(gone)
+
+    def read(self, name: str, scopes: Iterable | None = None) -> DataFrame:
+        """All rows, or those with some values of the scope column."""
+        version = self.version(name)
+        return version.rows(None if scopes is None else map(part_of, scopes))
+
+    def write(self, name: str, df: DataFrame, scope: str | None = None) -> None:
+        """Replace the whole table; a missing one is created."""
+        if not self.exists(name):
+            self.create(name, df.schema, scope)
+        self.change(name, lambda base: Change({*base.parts}, df, None))
+
+    def replace(self, name: str, new: DataFrame, scope: list[str], done: DataFrame | None = None) -> None:
+        """``replace_scope`` on a table: only parts that the scopes lie in are read and written."""
+        scopes = new.select(*scope) if done is None else new.select(*scope).union(done.select(*scope))
+
+        def plan(base: Version) -> Change | None:
+            own = base.touched(scopes) if base.scope in (None, *scope) else base.touched(base.rows().join(scopes.distinct(), scope, "left_semi")) | base.touched(new)
+            rows = replace_scope(base.rows(own), new, scope, done)
+            return Change(own, rows, own if base.scope in (None, *scope) else None)
+
+        self.change(name, plan)
 
     def upsert(self, name: str, new: DataFrame, keys: list[str]) -> None:
-        self.write(name, upsert(self.read(name), new, keys))
+        """Keys that hold the scope column need no look at other parts."""
+
+        def plan(base: Version) -> Change:
+            own = base.touched(new.dropna(subset=keys))
+            within = base.scope in (None, *keys)
+            if not within:
+                own |= base.touched(base.rows().join(new.select(*keys).distinct(), keys, "left_semi"))
+            return Change(own, upsert(base.rows(own), new, keys), own if within else None)
+
+        self.change(name, plan)
+
+    def _hit(self, base: Version, wanted: dict) -> tuple[set[str], set[str] | None]:
+        """(parts with rows that meet a condition, parts that this depends on)."""
+        value = wanted.get(base.scope) if base.scope else None
+        own = {part_of(v) for v in (value if isinstance(value, list | tuple) else [value])} if value else None
+        rows = base.rows(own)
+        return base.touched(rows.where(F.coalesce(condition(rows, wanted), F.lit(False)))) if base.scope else {"none"}, own
 
     def update(self, name: str, wanted: dict, new: dict) -> None:
-        self.write(name, update(self.read(name), wanted, new))
+        def plan(base: Version) -> Change | None:
+            own, reads = self._hit(base, wanted)
+            return Change(own, update(base.rows(own), wanted, new), reads) if own else None
+
+        if self.version(name).scope in new:
+            raise ValueError("the scope column tells where rows lie and cannot be set")
+        self.change(name, plan)
+
+    def update_by_id(self, name: str, id_: str, new: dict, id_field: str = "id") -> None:
+        self.update(name, {id_field: id_}, new)
 
     def delete(self, name: str, wanted: dict) -> int:
-        stay, go = delete(self.read(name), wanted)
-        n = go.count()
-        if n:
-            self.write(name, stay)
+        n = 0
+
+        def plan(base: Version) -> Change | None:
+            nonlocal n
+            delete(base.rows(()), wanted)  # an error before anything is read, if all rows would go
+            own, reads = self._hit(base, wanted)
+            stay, go = delete(base.rows(own), wanted)
+            n = go.count() if own else 0
+            return Change(own, stay, reads) if n else None
+
+        self.change(name, plan)
         return n
 
     def get(self, names: list[str], id_: str, id_field: str = "id") -> dict | None:

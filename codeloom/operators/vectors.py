@@ -17,7 +17,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    """Null where a vector is zero or null, or the lengths differ."""
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -35,8 +36,13 @@ def centroid(df: DataFrame, vec: str) -> DataFrame:
     return places.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("centroid"))
 
 
+def has_direction(vec: str) -> Column:
+    """Whether a vector has no null and is not zero."""
+    return F.coalesce(F.forall(vec, lambda x: x.isNotNull()) & F.exists(vec, lambda x: x != 0), F.lit(False))
+
+
 def knn(df: DataFrame, vec: str, query: Column, k: int, id_col: str, least: float = 0.0, condition: Column | None = None) -> DataFrame:
-    """The k rows most similar to the query, with their score; rows are filtered before they are ranked."""
+    """The k rows most similar to the query, with their score; rows are filtered before they are ranked. Vectors that have no direction, or another length, are not ranked."""
     rows = df if condition is None else df.where(condition)
     scored = rows.withColumn("score", similarity(F.col(vec), query)).drop(vec)
     return scored.where(F.col("score") >= least).orderBy(F.desc("score"), id_col).limit(k)
@@ -46,8 +52,13 @@ def knn_blocks(df: DataFrame, vec: str, id_col: str, queries: DataFrame, query_v
     """The k nearest rows of every query: (query_id, id, score, rank).
 
     Queries are taken in blocks of a bounded size. Each task multiplies its rows with a block and
-    keeps its own k best for each query, so k rows a query and task move.
+    keeps its own k best for each query, so k rows a query and task move. Rows and queries that have
+    no direction, or another length than the first query, are not ranked.
     """
+    queries = queries.where(has_direction(query_vec))
+    first = queries.select(F.size(query_vec)).first()
+    if first:
+        queries, df = (t.where((F.size(c) == first[0]) & has_direction(c)) for t, c in ((queries, query_vec), (df, vec)))
     n = -(-queries.count() // block)
     schema = f"{query_id} long, {id_col} long, score double"
     rows = df.select(F.col(id_col).cast("long").alias(id_col), F.col(vec).alias("__vec"))

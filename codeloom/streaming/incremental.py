@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from codeloom.operators.store import Store, replace_scope
+from codeloom.operators.store import Store
 
 
 def counts_by_day(events: DataFrame, watermark: str = "1 day") -> DataFrame:
@@ -23,15 +23,15 @@ def keep_current(
 ) -> StreamingQuery:
     """Analyse every batch of changed files and replace the rows of their scopes in a table.
 
-    A batch that runs again after a failure gives the same table. ``once`` takes what is there and
+    A batch that runs again after a failure gives the same table, and reads and writes only the parts
+    of the table that its scopes lie in. ``once`` takes what is there and
     ends; otherwise the source is polled every two seconds.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        new = analyse(batch)
-        store.write(table, replace_scope(store.read(table), new, scope, batch.select(*scope).distinct()))
+        store.replace(table, analyse(batch), scope, batch)
 
     writer = source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="2 seconds")).start()
