@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.operators import vectors
+from codeloom.operators.vector_index import VectorIndex, nearest
 
 
 @dataclass(frozen=True)
@@ -30,10 +31,15 @@ class MatchText:
 
 @dataclass(frozen=True)
 class MatchDense:
+    """The ``topn`` nearest rows. With an index, of the field and by the request's id, only ``num_candidates`` (twice topn, if not given) of ``probes`` cells get exact scores."""
+
     field: str
     vector: tuple[float, ...]
     topn: int = 10
     similarity: float = 0.0
+    index: VectorIndex | None = None
+    num_candidates: int | None = None
+    probes: int | None = None
 
 
 @dataclass(frozen=True)
@@ -222,7 +228,11 @@ def search(spaces: list[DataFrame], request: SearchRequest) -> SearchResult:
         elif isinstance(m, MatchTensor):
             score = score + vectors.max_sim(F.col(m.field), [list(q) for q in m.queries])
     if dense:
-        near = vectors.knn(rows.select(key, dense.field), dense.field, vectors.vector_literal(dense.vector), dense.topn, key, dense.similarity)
+        if dense.index:
+            among = rows.select(key) if text or request.condition else None
+            near = nearest(dense.index, list(dense.vector), dense.topn, key, dense.similarity, dense.num_candidates, dense.probes, among)
+        else:
+            near = vectors.knn(rows.select(key, dense.field), dense.field, vectors.vector_literal(dense.vector), dense.topn, key, dense.similarity)
         near = near.select(key, F.col("score").alias("knn_score"))
         rows = rows.join(near, key, "left" if text or request.fill else "inner")
         score = score + F.coalesce("knn_score", F.lit(0.0)) * (1.0 if fusion.compat else fusion.vector_weight)

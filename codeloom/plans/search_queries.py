@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 from codeloom.functions.embedding import register_model
 from codeloom.operators import code_search
 from codeloom.operators import search as s
+from codeloom.operators import vector_index
 from codeloom.operators import vectors as v
 from codeloom.operators.meta import list_repositories
 from codeloom.schema import AnalysisType
+from codeloom.sources.scratch import scratch_folder
 from codeloom.sources.tables import read_table
 
 TEXT_QUERY = "the and ention nicht"
@@ -54,6 +56,26 @@ def knn_multi_query(spark, sf_dir):
     return out.select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def knn_index_exact(spark, sf_dir):
+    """All cells of an inverted file, candidates by the bounds of their codes, exact scores."""
+    emb = _emb(spark, sf_dir).select("vec_id", "embedding")
+    index = vector_index.build(emb, "embedding", "vec_id", scratch_folder(spark))
+    queries = emb.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    out = vector_index.search(index, queries, "embedding", "query_id", 10, "vec_id", exact=True)
+    return out.select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def knn_index_recall(spark, sf_dir):
+    """Whether the search through some cells finds nine of ten of the true nearest rows, over all queries, by the exact search."""
+    emb = _emb(spark, sf_dir).select("vec_id", "embedding")
+    index = vector_index.build(emb, "embedding", "vec_id", scratch_folder(spark))
+    queries = emb.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    true = v.knn_blocks(emb, "embedding", "vec_id", queries, "embedding", "query_id", 10)
+    found = vector_index.search(index, queries, "embedding", "query_id", 10, "vec_id").select("query_id", "vec_id", F.lit(1).alias("hit"))
+    pairs = true.select("query_id", "vec_id").join(found, ["query_id", "vec_id"], "left")
+    return pairs.agg(F.count(F.lit(1)).alias("true_pairs"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recall_reached"))
+
+
 def related_union_dedupe(spark, sf_dir):
     emb = _emb(spark, sf_dir)
     lists = []
@@ -214,7 +236,7 @@ def sparse_and_tensor(spark, sf_dir):
 
 
 NAMES = [
-    knn_cosine_topk, knn_centroid_topk, knn_filtered, knn_multi_query, related_union_dedupe, text_idf_score, text_min_should_match, hybrid_weighted_fusion,
+    knn_cosine_topk, knn_centroid_topk, knn_filtered, knn_multi_query, knn_index_exact, knn_index_recall, related_union_dedupe, text_idf_score, text_min_should_match, hybrid_weighted_fusion,
     rank_feature_boost, filter_condition_map, filter_available_int, filter_exists, terms_agg, terms_agg_array, status_summary, total_hits,
     page_offset_limit, sort_multi_mode, highlight_sentences, keyword_or_contains, sql_match_rewrite, sql_match_tokenized, result_fields, similar_code, related_files, sparse_and_tensor,
 ]
@@ -254,6 +276,11 @@ ORACLES = {
         select q.vec_id as query_id, e.vec_id, {COS.format(q='q.embedding::double[]')} as score,
           row_number() over (partition by q.vec_id order by round({COS.format(q='q.embedding::double[]')}, 12) desc, e.vec_id) as rank
         from embeddings q, embeddings e where q.vec_id % 20 = 0) where rank <= 5""",
+    "knn_index_exact": f"""select query_id, vec_id, round(score, 6) as score, rank from (
+        select q.vec_id as query_id, e.vec_id, {COS.format(q='q.embedding::double[]')} as score,
+          row_number() over (partition by q.vec_id order by round({COS.format(q='q.embedding::double[]')}, 12) desc, e.vec_id) as rank
+        from embeddings q, embeddings e where q.vec_id % 20 = 0) where rank <= 10""",
+    "knn_index_recall": "select sum(least(10, n))::bigint as true_pairs, true as recall_reached from (select count(*) as n from embeddings) a, embeddings q where q.vec_id % 20 = 0",
     "related_union_dedupe": f"""with u as (
         select *, 0 as src from ({_knn_sql(VEC.format(n=0), 'e.label in (0,1,2,3,4)')}) union all
         select *, 1 as src from ({_knn_sql(VEC.format(n=1), 'e.label in (3,4,5,6,7)')}))

@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Folders of scratch tables that nothing has deleted yet, with the session that wrote them.
+_left: dict[str, SparkSession] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -28,6 +30,29 @@ def scratch_root(spark: SparkSession) -> str:
     return _own[app]
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new name under the shared scratch folder; what is there goes with ``discard``, or when the driver's program ends."""
+    folder = f"{scratch_root(spark)}/codeloom-{uuid.uuid4().hex}"
+    _left[folder] = spark
+    return folder
+
+
+def _delete(folder: str, spark: SparkSession) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _left.pop(folder, None)
+
+
+@atexit.register
+def _delete_left() -> None:
+    """Results that were read from these tables have been taken by then; of a session that was stopped only local folders can be deleted."""
+    for folder, spark in list(_left.items()):
+        if folder.startswith("file:"):
+            shutil.rmtree("/" + folder.removeprefix("file:").lstrip("/"), ignore_errors=True)
+        elif spark.sparkContext._jsc:
+            _delete(folder, spark)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared scratch folder and read it back.
 
@@ -35,7 +60,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     when the results that were made from them have been written: see ``discard``.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/codeloom-{uuid.uuid4().hex}/{label}"
+    path = f"{scratch_folder(spark)}/{label}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
@@ -47,6 +72,4 @@ def discard(*tables: DataFrame | None) -> None:
     for df in tables:
         path = getattr(df, "scratch_path", None)
         if path:
-            spark = df.sparkSession
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            _delete(path.rsplit("/", 1)[0], df.sparkSession)
