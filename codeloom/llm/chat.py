@@ -46,13 +46,11 @@ def collapse(conversations: DataFrame) -> DataFrame:
     Other columns do not matter.
     """
     order = Window.partitionBy("conv_id", "own").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    before = F.lag(F.struct("turn", "role", "text")).over(order)
+    # Rows that repeat become one where they are read, so that many of them are no single task's work.
     turns = (
         conversations.select("conv_id", "turn", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
+        .distinct()
         .withColumn("own", F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text")))
-        .withColumn("__again", before.eqNullSafe(F.struct("turn", "role", "text")) & (F.row_number().over(order) > 1))
-        .where("not __again")
-        .drop("__again")
         .withColumn("n", F.row_number().over(order))
     )
     # Each turn's hash includes its place, so that their exclusive or stands for the sequence; two of 64 bits make one of 128.

@@ -529,7 +529,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", doc_id:
                 columns = list(zip(*rows, strict=True)) or [[]] * len(FOUND)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FOUND, strict=True)], schema=FOUND)
 
-        found = df.select(F.col(f"`{doc_id}`").cast("long"), text_bytes(F.col(f"`{text}`"))).mapInArrow(run, schema)
+        found = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_bytes(F.col(f"`{text}`"))).mapInArrow(run, schema)
         out = found if out is None else out.union(found)
     return df.sparkSession.createDataFrame([], schema) if out is None else out
 

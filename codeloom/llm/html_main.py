@@ -478,7 +478,7 @@ def extract(pages: DataFrame, net: Labeller | None, html: str = "html", page_id:
             sizes = pa.array([len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes], names=["page_id", "url", "text", "n_chars"])
 
-    own = pages.select(F.col(f"`{page_id}`").cast("long"), F.col(f"`{url}`").cast("string"), F.col(f"`{html}`").cast("string"))
+    own = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), F.col(f"`{html}`").cast("string").alias("html"))
     return own.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 

@@ -124,20 +124,23 @@ def spanning_links(fps: np.ndarray, bits: int, direct: int = 2000) -> list[tuple
     The search goes on from one fingerprint to those not yet reached, so a tight group takes one
     comparison a member and not one a pair. A bucket of over ``direct`` is split before: the bits in
     which its members differ are cut into one part more than there may be errors, so fingerprints
-    that link agree in a part and meet among those that share it.
+    that link agree in a part and meet among those that share it. What shares a part is split again
+    in the bits that are left, for as long as it is large.
     """
     out, rest = [], np.unique(fps)
-    if len(rest) > direct:
-        differ = int(np.bitwise_or.reduce(rest ^ rest[0]))
-        places = [i for i in range(64) if differ >> i & 1]
-        parts = [np.uint64(sum(1 << i for i in places[k :: bits + 1])) for k in range(bits + 1)]
-        for part in parts if len(places) > bits else []:
-            shared = rest & part
-            order = np.argsort(shared, kind="stable")
-            for group in np.split(rest[order], np.flatnonzero(np.diff(shared[order])) + 1):
-                out += _reached(group, bits)
-        return out if len(places) > bits else _reached(rest, bits)
-    return _reached(rest, bits)
+    if len(rest) <= direct:
+        return _reached(rest, bits)
+    differ = int(np.bitwise_or.reduce(rest ^ rest[0]))
+    places = [i for i in range(64) if differ >> i & 1]
+    if len(places) <= bits:
+        return _reached(rest, bits)
+    for k in range(bits + 1):
+        shared = rest & np.uint64(sum(1 << i for i in places[k :: bits + 1]))
+        order = np.argsort(shared, kind="stable")
+        for group in np.split(rest[order], np.flatnonzero(np.diff(shared[order])) + 1):
+            if len(group) > 1:
+                out += spanning_links(group, bits, direct)
+    return out
 
 
 def _reached(rest: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -175,8 +178,9 @@ def links(fps: DataFrame, bits: int = 4, keys_in_task: int = 1_000_000) -> DataF
                 keys, owner = bucket_keys(own[i : i + 20_000])
                 to = (keys * -7046029254386353131 >> 33) % tasks
                 order = np.argsort(to, kind="stable")
-                keys, at, cut = keys[order], own[i : i + 20_000][owner[order]], np.searchsorted(to[order], np.arange(tasks + 1))
-                rows = [(t, keys[cut[t] : cut[t + 1]].tobytes(), at[cut[t] : cut[t + 1]].tobytes()) for t in range(tasks) if cut[t] < cut[t + 1]]
+                keys, at = keys[order], own[i : i + 20_000][owner[order]]
+                used, start = np.unique(to[order], return_index=True)
+                rows = [(t, keys[a:b].tobytes(), at[a:b].tobytes()) for t, a, b in zip(used.tolist(), start.tolist(), [*start[1:].tolist(), len(keys)], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["task", "keys", "fps"])
 
     def meet(table: pa.Table) -> pa.Table:
@@ -215,7 +219,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", b
     table gives no rows. Fingerprints of very many rows and components of very many fingerprints
     are joined by a broadcast of bounded size.
     """
-    docs = materialize(df.select(F.col(doc_id).cast("long").alias("doc_id"), fingerprint(F.col(text)).alias("fp")), "fingerprints")
+    docs = materialize(df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), fingerprint(F.col(f"`{text}`")).alias("fp")), "fingerprints")
     by_fp = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows")), "distinct")
     labelled = _labelled(by_fp, bits)
     firsts = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
@@ -233,6 +237,7 @@ def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", bits: in
     are near-duplicates of each other. An empty table gives no rows. Columns may have any names.
     """
     plain = [c for c, kind in df.dtypes if "map<" not in kind and kind != "variant"]
+    others = [c for c in df.columns if c not in plain]  # these have no hash, so their JSON is hashed
     key = F.col(f"`{doc_id}`").cast("long")
     rows = df.select(
         F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), key.isNull().alias("no_id"), F.coalesce(key, F.lit(0)).alias("id"), text_bytes(F.col(f"`{text}`")).alias("text")
@@ -241,7 +246,7 @@ def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", bits: in
     docs = rows.select(fingerprint(F.col("text")).alias("fp"), F.struct(*name).alias("name")).groupBy("fp").agg(F.min("name").alias("first"))
     winners = _labelled(materialize(docs, "distinct"), bits).groupBy("label").agg(F.min("first").alias("first")).select("first.*")
     # Rows that agree in id and text are one before anything moves, however many they are; texts move once, as the join has the same keys.
-    single = rows.groupBy(*name).agg(F.min_by("row", F.xxhash64(*[F.col("row")[c] for c in plain])).alias("row"))
+    single = rows.groupBy(*name).agg(F.min_by("row", F.xxhash64(*[F.col("row")[c] for c in plain], F.to_json(F.struct(*[F.col("row")[c].alias(c) for c in others])) if others else F.lit(0))).alias("row"))
     return single.join(winners, name, "left_semi").select("row.*")
 
 

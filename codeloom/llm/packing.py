@@ -125,22 +125,41 @@ def tokens_of(text: str, vocabulary: str = VOCABULARY) -> list[int]:
 
 
 def pieces_of(text: str | None, longest: int, vocabulary: str = VOCABULARY) -> Iterator[tuple[int, int, str | None]]:
-    """(first token, end, text) of a text's pieces of at most ``longest`` tokens; a cut is between two tokens that are no parts of one character."""
+    """(first token, end, text) of a text's pieces of at most ``longest`` tokens; a cut is between two tokens that are no parts of one character.
+
+    Where so many tokens in a row straddle characters, their characters are encoded by themselves;
+    the tokens are then those of the pieces, one after another. A character may take 4 tokens, so
+    ``longest`` is at least 4.
+    """
     tokens = tokens_of(text, vocabulary) if text else []
     if len(tokens) <= longest:
         yield 0, len(tokens), text
         return
     raw = encoder(vocabulary).decode_tokens_bytes(tokens)
-    first = 0
+    inside = [t[0] & 0xC0 == 0x80 for t in raw] + [False]  # a character goes on here
+    first = at = 0
     while first < len(tokens):
         end = min(first + longest, len(tokens))
-        while end < len(tokens) and raw[end][0] & 0xC0 == 0x80 and end > first + 1:
+        while inside[end] and end > first:
             end -= 1
-        yield first, end, b"".join(raw[first:end]).decode("utf-8", "surrogatepass")
+        if end > first:
+            yield at, at + end - first, b"".join(raw[first:end]).decode("utf-8", "surrogatepass")
+            at += end - first
+        else:
+            end = inside.index(False, first + 1)
+            part, n = "", 0
+            for c in b"".join(raw[first:end]).decode("utf-8", "surrogatepass"):
+                size = len(tokens_of(c, vocabulary))
+                if n + size > longest:
+                    yield at, at + n, part
+                    at, part, n = at + n, "", 0
+                part, n = part + c, n + size
+            yield at, at + n, part
+            at += n
         first = end
 
 
-PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("text", pa.string()), ("grp", pa.int64())])
+PIECE = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("text", pa.string()), ("grp", pa.int64())])
 
 
 def pack_documents(
@@ -151,15 +170,18 @@ def pack_documents(
     vocabulary: str = VOCABULARY,
     group_bytes: int = 32 << 20,
 ) -> DataFrame:
-    """One row for each piece of a text: doc_id, piece, start and end (its tokens in the text), text, bin_id, bin_length, bin_offset.
+    """One row for each piece of a text: row_id, doc_id, piece, start and end (its tokens in the text), text, bin_id, bin_length, bin_offset.
 
-    The pieces of a row, put together, are its text. Null and empty texts take no room but have a
+    The pieces of a row, put together, are its text; ``row_id`` tells rows apart, also where their ids
+    are null or the same. The longest length is at least 4, what a character may take. Null and empty texts take no room but have a
     row. Repeated rows are packed each for itself. Groups hold about ``group_bytes`` of text: their
     number grows with the input, and no bin spans two. Copies of a row and pieces of one text are
     dealt to different groups, so none grows with them. Other columns do not matter; an empty table
     gives no rows. Every executor must be able to read the vocabulary file.
     """
     longest = max(lengths)
+    if longest < 4:
+        raise ValueError("the longest length must hold any character, which may take 4 tokens")
     own = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     total = own.agg(F.coalesce(F.sum(F.octet_length("text").cast("long") + 8), F.lit(0))).first()[0]
     groups = max(1, ceil(total / group_bytes))
@@ -167,25 +189,25 @@ def pack_documents(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
             rows = [
-                (d, k, *piece, salt)
-                for d, t, salt in zip(*(c.to_pylist() for c in batch.columns), strict=True)
+                (r, d, k, *piece, salt)
+                for r, d, t, salt in zip(*(c.to_pylist() for c in batch.columns), strict=True)
                 for k, piece in enumerate(pieces_of(t, longest, vocabulary))
             ]
             columns = list(zip(*rows, strict=True)) or [[]] * len(PIECE)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PIECE, strict=True)], schema=PIECE)
 
     def place(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in ("doc_id", "piece", "end", "text")])
+        table = table.sort_by([(c, "ascending") for c in ("doc_id", "piece", "end", "text", "row_id")])
         sizes = table["end"].to_numpy() - table["start"].to_numpy()
         bins, final, offsets = pack(sizes, lengths)
         added = {"bin_id": table["grp"].to_numpy().astype(np.int64) * (1 << 32) + bins, "bin_length": final, "bin_offset": offsets}
         return pa.table({c: table[c] for c in PIECE.names[:-1]} | {c: pa.array(x, pa.int64()) for c, x in added.items()})
 
     # A hot text, or id, is spread by the number of its row; which group a row is in does not matter otherwise.
-    pieces = own.withColumn("grp", F.xxhash64("doc_id", F.monotonically_increasing_id())).mapInArrow(cut, "doc_id long, piece long, start long, end long, text string, grp long")
+    pieces = own.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text").withColumn("grp", F.xxhash64("doc_id", "row_id")).mapInArrow(cut, "row_id long, doc_id long, piece long, start long, end long, text string, grp long")
     tasks = partitions_for(total, min(groups, df.sparkSession.sparkContext.defaultParallelism))
     dealt = deal(pieces.withColumn("grp", F.pmod(F.xxhash64("grp", "piece"), F.lit(groups)).cast("int")), "grp", tasks)
-    return dealt.groupBy("grp").applyInArrow(place, "doc_id long, piece long, start long, end long, text string, bin_id long, bin_length long, bin_offset long")
+    return dealt.groupBy("grp").applyInArrow(place, "row_id long, doc_id long, piece long, start long, end long, text string, bin_id long, bin_length long, bin_offset long")
 
 
 def op6_variable_best_fit(spark, sf_dir: str) -> DataFrame:

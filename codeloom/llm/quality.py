@@ -187,7 +187,7 @@ def score(docs: DataFrame, model: Model | None, share: float = 0.5, text: str =
             out = [model.score(features(t)) if model else share for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col(f"`{doc_id}`").cast("long"), text_bytes(F.col(f"`{text}`"))).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_bytes(F.col(f"`{text}`"))).mapInArrow(run, "doc_id long, score double")
 
 
 def op1_nb_svm(spark, sf_dir: str) -> DataFrame:

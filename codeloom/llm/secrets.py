@@ -153,9 +153,11 @@ def scan(df: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: f
     """One row for each row of ``df``: its id, counts of spans by kind, and the spans as text.
 
     Null texts count as empty. Repeated rows give repeated results; a null id stays null; an empty
-    table gives no rows. Every executor must be able to read the vocabulary file.
+    table gives no rows. The id keeps its column's name, or is called doc_id where that is a name of
+    the results. Every executor must be able to read the vocabulary file.
     """
-    fields = pa.schema([(doc_id, pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("spans", pa.string())])
+    name = "doc_id" if doc_id in {*[f"n_{k}" for k in KINDS], "base_sha256", "spans"} else doc_id
+    fields = pa.schema([(name, pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base_sha256", pa.string()), ("spans", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
@@ -167,8 +169,8 @@ def scan(df: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: f
             )
 
     kinds = ", ".join(f"n_{k} long" for k in KINDS)
-    source = df.select(F.col(doc_id).cast("long"), F.col(text).cast("string"))
-    return source.mapInArrow(run, f"`{doc_id}` long, {kinds}, base_sha256 string, spans string")
+    source = df.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    return source.mapInArrow(run, f"`{name}` long, {kinds}, base_sha256 string, spans string")
 
 
 def redacted(text: str | None, threshold: float = 1.95, vocabulary: str = VOCABULARY, mark: str = "[SECRET]") -> str | None:
@@ -188,7 +190,7 @@ def redact(df: DataFrame, text: str = "text", threshold: float = 1.95, vocabular
     alike; an empty table gives no rows. Every executor must be able to read the vocabulary file.
     """
     clean = F.pandas_udf(lambda s: s.map(lambda t: redacted(t, threshold, vocabulary)), "string")
-    return df.withColumn(text, clean(F.col(text).cast("string")))
+    return df.withColumn(text, clean(F.col(f"`{text}`").cast("string")))
 
 
 def op2_token_efficiency(spark, sf_dir: str) -> DataFrame:
