@@ -28,6 +28,12 @@ class MatchText:
     text: str
     min_should_match: float = 0.0
 
+    def words(self) -> list[str]:
+        return list(dict.fromkeys(self.text.lower().split()))
+
+    def needed(self) -> int:
+        return max(1, floor(self.min_should_match * len(self.words())))
+
 
 @dataclass(frozen=True)
 class MatchDense:
@@ -145,15 +151,26 @@ def tokens(text: Column) -> Column:
     return F.split(F.lower(text), r"\s+")
 
 
+def boosts(match: MatchText) -> list[tuple[str, float]]:
+    """(field, boost) of every field."""
+    return [(f.partition("^")[0], float(f.partition("^")[2] or 1)) for f in match.fields]
+
+
+def idf(n: int, docs: int) -> float:
+    """A word's weight, 0 to 1, where ``docs`` of n documents have it."""
+    n = max(n, 1)
+    return log(1 + (n - docs + 0.5) / (docs + 0.5)) / log(1 + (n - 0.5) / 1.5)
+
+
 def text_score(df: DataFrame, match: MatchText) -> DataFrame:
     """Rows that hold enough of the words, with column text_score.
 
     A word counts once in a field, by its inverse document frequency brought to 0 to 1 over the
     rows of ``df``; the best field counts. The frequencies of the few words asked for come from one
-    aggregate, one row, and are constants of the plan: nothing else moves.
+    aggregate, one row, and are constants of the plan: nothing else moves. That aggregate is run when
+    this is called, and reads the texts once more; ``text_index`` has the same scores without them.
     """
-    words = list(dict.fromkeys(match.text.lower().split()))
-    fields = [(f.partition("^")[0], float(f.partition("^")[2] or 1)) for f in match.fields]
+    words, fields = match.words(), boosts(match)
     wanted = F.array(*map(F.lit, words)).cast("array<string>")
     rows = df
     for i, (f, _) in enumerate(fields):
@@ -162,17 +179,12 @@ def text_score(df: DataFrame, match: MatchText) -> DataFrame:
     has = lambda i, j: F.array_contains(f"__hits_{i}", words[j])
     names = [(i, j) for i in range(len(fields)) for j in range(len(words))]
     counts = rows.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(has(i, j)).alias(f"df_{i}_{j}") for i, j in names]).first()
-
-    def idf(i: int, j: int) -> float:
-        n, d = max(counts["n"], 1), counts[f"df_{i}_{j}"]
-        return log(1 + (n - d + 0.5) / (d + 0.5)) / log(1 + (n - 0.5) / 1.5)
-
+    weight = lambda i, j: idf(counts["n"], counts[f"df_{i}_{j}"])
     score = F.greatest(F.lit(float("-inf")), *[
-        sum((F.when(has(i, j), idf(i, j)).otherwise(0.0) for j in range(len(words))), F.lit(0.0)) * boost for i, (_, boost) in enumerate(fields)
+        sum((F.when(has(i, j), weight(i, j)).otherwise(0.0) for j in range(len(words))), F.lit(0.0)) * boost for i, (_, boost) in enumerate(fields)
     ])
     found = F.size(reduce(F.array_union, [F.col(f"__hits_{i}") for i in range(len(fields))]))
-    need = max(1, floor(match.min_should_match * len(words)))
-    out = rows.withColumns({"matched_terms": found, "text_score": score}).where(F.col("matched_terms") >= need)
+    out = rows.withColumns({"matched_terms": found, "text_score": score}).where(F.col("matched_terms") >= match.needed())
     return out.drop(*[f"__hits_{i}" for i in range(len(fields))])
 
 

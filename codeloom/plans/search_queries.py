@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.embedding import register_model
 from codeloom.operators import code_search
 from codeloom.operators import search as s
-from codeloom.operators import vector_index
+from codeloom.operators import text_index, vector_index
 from codeloom.operators import vectors as v
 from codeloom.operators.meta import list_repositories
 from codeloom.schema import AnalysisType
@@ -97,6 +97,22 @@ def text_min_should_match(spark, sf_dir):
     return _text_scores(spark, sf_dir, 0.75).select("doc_id", "matched_terms")
 
 
+def _text_index(spark, sf_dir):
+    return text_index.build(_docs(spark, sf_dir).select("doc_id", "text"), ["text"], "doc_id", scratch_folder(spark))
+
+
+def text_index_score(spark, sf_dir):
+    """The scores of text_idf_score from postings of the words asked for."""
+    found = text_index.scores(_text_index(spark, sf_dir), s.MatchText(("text",), TEXT_QUERY))
+    return found.select(F.col("id").alias("doc_id"), "matched_terms", F.round("text_score", 6).alias("score"))
+
+
+def text_index_top(spark, sf_dir):
+    """The best fifty of text_min_should_match, from the blocks whose bounds reach them."""
+    found = text_index.scores(_text_index(spark, sf_dir), s.MatchText(("text",), TEXT_QUERY, 0.5), top=50)
+    return found.select(F.col("id").alias("doc_id"), "matched_terms", F.round("text_score", 6).alias("score"))
+
+
 def hybrid_weighted_fusion(spark, sf_dir):
     docs = _docs(spark, sf_dir).join(_emb(spark, sf_dir), F.col("doc_id") == F.col("vec_id")).select("doc_id", "text", "lang", "embedding")
     vector = _emb(spark, sf_dir).where("vec_id = 0").select("embedding").first()[0]
@@ -236,7 +252,7 @@ def sparse_and_tensor(spark, sf_dir):
 
 
 NAMES = [
-    knn_cosine_topk, knn_centroid_topk, knn_filtered, knn_multi_query, knn_index_exact, knn_index_recall, related_union_dedupe, text_idf_score, text_min_should_match, hybrid_weighted_fusion,
+    knn_cosine_topk, knn_centroid_topk, knn_filtered, knn_multi_query, knn_index_exact, knn_index_recall, related_union_dedupe, text_idf_score, text_min_should_match, text_index_score, text_index_top, hybrid_weighted_fusion,
     rank_feature_boost, filter_condition_map, filter_available_int, filter_exists, terms_agg, terms_agg_array, status_summary, total_hits,
     page_offset_limit, sort_multi_mode, highlight_sentences, keyword_or_contains, sql_match_rewrite, sql_match_tokenized, result_fields, similar_code, related_files, sparse_and_tensor,
 ]
@@ -287,6 +303,8 @@ ORACLES = {
         select vec_id, label, score, src from (select *, row_number() over (partition by vec_id order by src) as n from u) where n = 1""",
     "text_idf_score": f"with {_text_sql(TEXT_QUERY)} select doc_id, matched_terms, round(score, 6) as score from scored",
     "text_min_should_match": f"with {_text_sql(TEXT_QUERY)} select doc_id, matched_terms from scored where matched_terms >= 3",
+    "text_index_score": f"with {_text_sql(TEXT_QUERY)} select doc_id, matched_terms, round(score, 6) as score from scored",
+    "text_index_top": f"with {_text_sql(TEXT_QUERY)} select doc_id, matched_terms, round(score, 6) as score from scored where matched_terms >= 2 order by round(scored.score, 12) desc, doc_id limit 50",
     "hybrid_weighted_fusion": f"""with {_text_sql(HYBRID_QUERY, 'documents d join embeddings x on x.vec_id = d.doc_id')},
         near as (select e.vec_id as doc_id, {COS.format(q=VEC.format(n=0))} as knn from embeddings e join scored s on s.doc_id = e.vec_id order by knn desc, doc_id limit 20)
         select s.doc_id, d.lang, round(0.3 * s.score + 0.7 * coalesce(n.knn, 0), 6) as score
