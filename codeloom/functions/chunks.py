@@ -1,4 +1,4 @@
-"""Line chunks of source files, as a table function.
+"""Line chunks of source files, over Arrow batches and as a table function of SQL.
 
 Windows of a few lines with an overlap. A window grows while its last line continues, a bracket
 stays open, or, in Python, a block follows a colon. Chunks of little value are dropped.
@@ -10,6 +10,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,9 +147,15 @@ def register(spark: SparkSession) -> None:
 
 
 def chunked(files: DataFrame) -> DataFrame:
-    """(path, start_line, end_line, content) of files with columns path and content."""
-    spark = files.sparkSession
-    register(spark)
-    return spark.sql(
-        r"select f.path, c.* from {files} f, lateral chunk_lines(f.content, lower(regexp_extract(f.path, '(\\.[^./]+)$', 1))) c", files=files
-    )
+    """(path, start_line, end_line, content) of files with columns path and content; null and blank contents have no chunks."""
+    kind = pa.schema([("path", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("content", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, len(batch), 500):
+                part = batch.slice(first, 500)
+                rows = [(path, *c) for path, ext, text in zip(*(x.to_pylist() for x in part.columns), strict=True) for c in chunk(text, ext)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(list(zip(*rows, strict=True)) or [[]] * 4, kind, strict=True)], schema=kind)
+
+    ext = F.coalesce(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)), F.lit(""))
+    return files.select(F.col("path").cast("string"), ext.alias("ext"), F.col("content").cast("string")).mapInArrow(run, "path string, start_line int, end_line int, content string")

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +15,8 @@ SYMBOL = (
     "returns array<string>, bases array<string>, attributes array<string>, docstring string, source string, start_line int, end_line int, "
     "calls array<struct<full_name:string,signature:string>>"
 )
+_STRINGS, _CALLS = pa.list_(pa.string()), pa.list_(pa.struct([("full_name", pa.string()), ("signature", pa.string())]))
+_ARROW = {"array<string>": _STRINGS, "array<struct<full_name:string,signature:string>>": _CALLS, "string": pa.string(), "int": pa.int32()}
 # Functions that are no calls of interest.
 BUILTINS = frozenset(
     """len str int float bool list dict set tuple print range enumerate zip map filter sorted min max sum any all abs round pow divmod
@@ -147,35 +149,41 @@ def read(text: str | None, path: str) -> Reader | None:
         return None
 
 
+def _of_python(files: DataFrame, rows: Callable[[str, str | None], Iterator[tuple]], schema: str) -> DataFrame:
+    """The rows that a function makes of each Python file, by Arrow batches of a hundred files."""
+    fields = pa.schema([(name, _ARROW[kind]) for name, kind in (c.split(" ", 1) for c in schema.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, len(batch), 100):
+                found = [r for path, text in zip(*(c.to_pylist() for c in batch.slice(first, 100).columns), strict=True) for r in rows(path, text)]
+                columns = list(zip(*found, strict=True)) or [[]] * len(fields)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
+
+    return files.where(F.lower("path").endswith(".py")).select(F.col("path").cast("string"), F.col("content").cast("string")).mapInArrow(run, schema)
+
+
 def symbols(files: DataFrame) -> DataFrame:
     """(path, symbol columns) of the Python files among (path, content)."""
 
-    names = [c.split()[0] for c in SYMBOL.replace("array<struct<full_name:string,signature:string>>", "a").split(", ")]
-
-    def run(batches):
-        for pdf in batches:
-            rows = [(p, *s) for p, t in zip(pdf["path"], pdf["content"], strict=True) if (r := read(t, p)) for s in r.symbols()]
-            out = pd.DataFrame(rows, columns=["path", *names])
-            out["calls"] = [[{"full_name": f, "signature": s} for f, s in c] for c in out["calls"]]
-            yield out
+    def rows(path: str, text: str | None) -> Iterator[tuple]:
+        if r := read(text, path):
+            for *rest, calls in r.symbols():
+                yield (path, *rest, [{"full_name": f, "signature": s} for f, s in calls])
 
-    python = files.where(F.lower("path").endswith(".py")).select("path", "content")
-    return python.mapInPandas(run, f"path string, {SYMBOL}")
+    return _of_python(files, rows, f"path string, {SYMBOL}")
 
 
 def import_rows(files: DataFrame) -> DataFrame:
     """(path, pos, target, name): dotted paths that Python files import; ``name`` is what the file calls it, where it gives it a name."""
 
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for p, t in zip(pdf["path"], pdf["content"], strict=True):
-                if r := read(t, p):
-                    called = {v: k for k, v in r.names.items()}
-                    rows += [(p, i, x, called.get(x)) for i, x in enumerate(r.imported)]
-            yield pd.DataFrame(rows, columns=["path", "pos", "target", "name"])
+    def rows(path: str, text: str | None) -> Iterator[tuple]:
+        if r := read(text, path):
+            called = {v: k for k, v in r.names.items()}
+            for i, x in enumerate(r.imported):
+                yield path, i, x, called.get(x)
 
-    return files.where(F.lower("path").endswith(".py")).select("path", "content").mapInPandas(run, "path string, pos int, target string, name string")
+    return _of_python(files, rows, "path string, pos int, target string, name string")
 
 
 def file_dependencies(files: DataFrame) -> DataFrame:

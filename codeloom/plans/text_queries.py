@@ -1,19 +1,12 @@
 """Queries with text, path and code functions."""
 
-import os
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from codeloom.functions import chunks, python_code
 from codeloom.functions import text as t
 from codeloom.operators import tree
-from codeloom.sources.repo_files import repo_files
 from codeloom.sources.tables import read_table
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-
 def _docs(spark, sf_dir):
     return read_table(spark, sf_dir, "documents")
 
@@ -26,21 +19,6 @@ def text_dedupe(spark, sf_dir):
     return t.copies(_docs(spark, sf_dir), "text", "doc_id")
 
 
-def _without_brackets(spark, sf_dir):
-    """Texts in which nothing makes a window grow: what SQL can window."""
-    return _docs(spark, sf_dir).withColumn("text", F.translate("text", "()[]{}\\\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029", ""))
-
-
-def line_window_chunks(spark, sf_dir):
-    rows = chunks.chunked(_without_brackets(spark, sf_dir).select(F.concat("doc_id", F.lit(".txt")).alias("path"), F.col("text").alias("content")))
-    return rows.select(F.split_part("path", F.lit("."), F.lit(1)).cast("long").alias("doc_id"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.md5("content").alias("content_md5"))
-
-
-def lowvalue_chunk_filter(spark, sf_dir):
-    marked = F.regexp_replace("text", "^[A-Z]", "return x")
-    return _without_brackets(spark, sf_dir).where(~chunks.of_low_value(marked, ".java")).select("doc_id")
-
-
 def path_normalize(spark, sf_dir):
     return read_table(spark, sf_dir, "pages").select("page_id", t.normalize_path(F.concat(F.lit("C:\\work\\"), F.replace("url", F.lit("//"), F.lit("/\\")))).alias("path"))
 
@@ -109,40 +87,15 @@ def token_usage_sum(spark, sf_dir):
     return t.usage_total(usage, ["role"])
 
 
-def _own_files(spark):
-    return repo_files(spark, ROOT, target="codeloom", extensions=".py")
-
-
-def chunk_source(spark, sf_dir):
-    return chunks.chunked(_own_files(spark))
-
-
-def python_symbols(spark, sf_dir):
-    return python_code.symbols(_own_files(spark)).select("path", "kind", "full_name", "signature", "start_line", "end_line")
-
-
-def python_deps(spark, sf_dir):
-    return python_code.file_dependencies(_own_files(spark))
-
-
 NAMES = [
-    stable_id_sha1, text_dedupe, line_window_chunks, lowvalue_chunk_filter, path_normalize, uri_paths, url_parts, lang_detect, token_estimate, history_roles, catalogue_tree,
-    english_ratio, is_chinese, markdown_shift, fallback_summary, token_usage_sum, chunk_source, python_symbols, python_deps,
+    stable_id_sha1, text_dedupe, path_normalize, uri_paths, url_parts, lang_detect, token_estimate, history_roles, catalogue_tree,
+    english_ratio, is_chinese, markdown_shift, fallback_summary, token_usage_sum,
 ]
 QUERIES = {f.__name__: f for f in NAMES}
 
-_CLEAN = r"translate(text, '()[]{}\\' || chr(13) || chr(11) || chr(12) || chr(28) || chr(29) || chr(30) || chr(133) || chr(8232) || chr(8233), '')"
-_HEADER = r"""(?ms)^\s*((package\s+[\w\.]+;|import\s+[\w\.\*]+;|using\s+namespace\s+\w+\s*;|#include\s+[<"].+[>"]|module\s+\w+).*)$"""
-
 ORACLES = {
     "stable_id_sha1": "select doc_id, sha1(concat_ws('|', source, doc_id::varchar, 'line_chunk_vector', n_chars::varchar)) as id from documents",
     "text_dedupe": "select min(doc_id) as first_id, count(*) as n from documents group by text",
-    "line_window_chunks": rf"""with d as (select doc_id, string_split(regexp_replace({_CLEAN}, '\n$', ''), chr(10)) as l from documents where {_CLEAN} <> ''),
-        k as (select doc_id, l, unnest(generate_series(0, greatest((len(l) - 2) // 4, 0))) as k from d),
-        c as (select doc_id, k * 4 + 1 as start_line, least(k * 4 + 5, len(l)) as end_line, regexp_replace(array_to_string(l[k*4+1 : k*4+5], chr(10)), '^\s+|\s+$', '', 'g') as content from k)
-        select doc_id, start_line, end_line, md5(content) as content_md5 from c where content <> '' and not regexp_matches(content, '{_HEADER}')""",
-    "lowvalue_chunk_filter": rf"""select doc_id from (select doc_id, x, len(list_filter(string_split(x, chr(10)), lambda y: trim(y) <> '')) as n from (select doc_id, regexp_replace({_CLEAN}, '^[A-Z]', 'return x') as x from documents))
-        where not (n = 0 or n <= 5 and regexp_matches(x, '{_HEADER}') or n <= 3 and regexp_matches(x, '(?ms)^\s*(return\s+[^;]+;|return\s+.+)$'))""",
     "path_normalize": "select page_id, 'C:/work/' || url as path from pages",
     "uri_paths": r"""select page_id, '/a b/' || regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/+$', '') as path,
         'typescriptreact' as language from pages""",

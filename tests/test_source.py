@@ -131,3 +131,15 @@ def test_records(spark):
     assert records and all(len(r.vec) == 16 and r.file_path == "a.py" for r in records) and len({r.id for r in records}) == len(records)
     symbols = python_code.symbols(files.where("path = 'a.py'"))
     assert embedding.symbol_summaries(symbols, "r").count() == 4
+
+
+def test_batches_without_symbols_and_null_files(spark):
+    files = spark.createDataFrame([("a.py", "x = 1\n"), ("b.py", None), ("c.txt", "def f(): pass"), ("d.py", "def broken(")], "path string, content string")
+    assert python_code.symbols(files.coalesce(1)).count() == 0 and python_code.import_rows(files).count() == 0
+    assert [(r.path, r.start_line) for r in chunks.chunked(files.union(spark.createDataFrame([("noext", " \n"), (None, "text")], files.schema))).collect()] == [("a.py", 1), ("c.txt", 1), ("d.py", 1), (None, 1)]
+
+
+def test_chunks_in_sql(spark):
+    chunks.register(spark)
+    got = spark.sql("select c.* from values ('a = (1,\n2)\nb') t(x), lateral chunk_lines(x, '.py') c").collect()
+    assert [tuple(r) for r in got] == [(1, 3, "a = (1,\n2)\nb")]
