@@ -1,8 +1,4 @@
-"""Imports and declarations of Java, Go, JavaScript, C and C++ files.
-
-Imports, and the files that they stand for, are exact. Declarations are found by patterns, as no
-parser for these languages is at hand, so they are approximate.
-"""
+"""Imports of Java, Go, JavaScript, C and C++ files, and the files that they stand for."""
 
 from __future__ import annotations
 
@@ -11,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.functions import braces
+
 # How imports are written.
 IMPORTS = {
     "java": [r"(?m)^\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;"],
@@ -19,12 +17,10 @@ IMPORTS = {
     "c": [r"(?m)^\s*#\s*include\s*\"([^\"]+)\""],
 }
 IMPORTS["cpp"] = IMPORTS["c"]
-# How declarations are written.
-DECLARATIONS = {
-    "java": {"class": r"(?m)^\s*(?:(?:public|protected|private|abstract|final|static)\s+)*class\s+(\w+)", "interface": r"(?m)^\s*(?:(?:public|protected|private|abstract|static)\s+)*interface\s+(\w+)", "method": r"(?m)^\s+(?:(?:public|protected|private|static|final|abstract|synchronized)\s+)+[\w<>\[\], ?.]+\s+(\w+)\s*\([^)]*\)\s*(?:throws [\w., ]+)?\s*\{"},
-    "go": {"struct": r"(?m)^type\s+(\w+)\s+struct\b", "interface": r"(?m)^type\s+(\w+)\s+interface\b", "function": r"(?m)^func\s+(\w+)\s*[\[(]", "method": r"(?m)^func\s+\([^)]*\)\s*(\w+)\s*\("},
-    "javascript": {"class": r"(?m)^\s*(?:export\s+)?(?:default\s+)?class\s+([A-Za-z]\w*)", "function": r"(?m)^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s+([A-Za-z]\w*)"},
-}
+
+
+#: The module of a Java file: what comes before its source folder.
+ROOT = r"^(?:.*?(?=src/))?"
 
 
 def imported(text: Column, language: str) -> Column:
@@ -34,9 +30,8 @@ def imported(text: Column, language: str) -> Column:
 
 
 def declarations(files: DataFrame, language: str) -> DataFrame:
-    """(path, kind, name) of files in one language."""
-    parts = [files.select("path", F.lit(kind).alias("kind"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(p), F.lit(1)))).alias("name")) for kind, p in DECLARATIONS[language].items()]
-    return reduce(DataFrame.unionByName, parts)
+    """(path, kind, name) of files in one language: their classes, methods and functions."""
+    return braces.arrow_rows(files, lambda path, text: ((path, s.kind, s.name) for s in braces.read(text, language)), "path string, kind string, name string")
 
 
 def go_fields(body: Column) -> Column:
@@ -70,22 +65,29 @@ def file_dependencies(files: DataFrame, language: str, module: str | None = None
     """Distinct (src, dst): the first candidate of each import that exists.
 
     A Go package and a Java wildcard stand for all files right in their folder. ``module`` is the
-    module path of go.mod. Java sources may lie under any root, so its paths are matched at their ends.
+    module path of go.mod. Java sources may lie under any root: of files with the same path under
+    theirs those under the importing file's own root count, or, where it has none, the first by path
+    (of a wildcard, all).
     """
     from codeloom.functions.text import directory, fold_path
 
     wanted = _candidates(files, language, module).withColumn("candidate", fold_path(F.col("candidate")))
     paths = files.select(F.col("path").alias("dst"), directory(F.col("path")).alias("folder"))
     if language == "java":
-        root = F.regexp_extract("path", r"^(.*?)(?:src/main/java/|src/test/java/|src/|)", 0)
+        root = F.regexp_extract("path", ROOT, 0)
         bare = F.regexp_replace("path", r"^.*?src/(?:main/|test/)?(?:java/)?", "")
         paths = files.select(F.col("path").alias("dst"), bare.alias("bare"), directory(bare).alias("folder"), root.alias("root"))
     exact = paths.withColumn("candidate", F.col("bare" if language == "java" else "dst"))
     if language == "go":
         hits = wanted.join(paths, wanted.candidate == paths.folder).where(~F.col("dst").endswith("_test.go"))
         return hits.where("src <> dst").select("src", "dst").distinct()
-    first = wanted.join(exact, "candidate").groupBy("src", "target").agg(F.min_by("dst", "priority").alias("dst")).select("src", "dst")
-    if language == "java":
-        star = wanted.where("target like '%.*'").join(paths, wanted.candidate == paths.folder).select("src", "dst")
-        first = first.unionByName(star)
-    return first.where("src <> dst").distinct()
+    if language != "java":
+        first = wanted.join(exact, "candidate").groupBy("src", "target").agg(F.min_by("dst", "priority").alias("dst"))
+        return first.where("src <> dst").select("src", "dst").distinct()
+    elsewhere = (F.col("root") != F.regexp_extract("src", ROOT, 0)).cast("int").alias("elsewhere")
+    hits = wanted.join(exact, "candidate").select("src", "target", "dst", "priority", elsewhere)
+    first = hits.groupBy("src", "target").agg(F.min_by("dst", F.struct("priority", "elsewhere", "dst")).alias("dst")).select("src", "dst")
+    star = wanted.where("target like '%.*'").join(paths, wanted.candidate == paths.folder).select("src", "target", "dst", elsewhere)
+    nearest = star.groupBy("src", "target").agg(F.min("elsewhere").alias("elsewhere"))
+    star = star.join(nearest, ["src", "target", "elsewhere"]).select("src", "dst")
+    return first.unionByName(star).where("src <> dst").distinct()

@@ -149,8 +149,8 @@ def read(text: str | None, path: str) -> Reader | None:
         return None
 
 
-def _of_python(files: DataFrame, rows: Callable[[str, str | None], Iterator[tuple]], schema: str) -> DataFrame:
-    """The rows that a function makes of each Python file, by Arrow batches of a hundred files."""
+def arrow_rows(files: DataFrame, rows: Callable[[str, str | None], Iterator[tuple]], schema: str) -> DataFrame:
+    """The rows that a function makes of each file (path, content), by Arrow batches of a hundred files."""
     fields = pa.schema([(name, _ARROW[kind]) for name, kind in (c.split(" ", 1) for c in schema.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +160,11 @@ def _of_python(files: DataFrame, rows: Callable[[str, str | None], Iterator[tupl
                 columns = list(zip(*found, strict=True)) or [[]] * len(fields)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
 
-    return files.where(F.lower("path").endswith(".py")).select(F.col("path").cast("string"), F.col("content").cast("string")).mapInArrow(run, schema)
+    return files.select(F.col("path").cast("string"), F.col("content").cast("string")).mapInArrow(run, schema)
+
+
+def _of_python(files: DataFrame) -> DataFrame:
+    return files.where(F.lower("path").endswith(".py"))
 
 
 def symbols(files: DataFrame) -> DataFrame:
@@ -171,7 +175,7 @@ def symbols(files: DataFrame) -> DataFrame:
             for *rest, calls in r.symbols():
                 yield (path, *rest, [{"full_name": f, "signature": s} for f, s in calls])
 
-    return _of_python(files, rows, f"path string, {SYMBOL}")
+    return arrow_rows(_of_python(files), rows, f"path string, {SYMBOL}")
 
 
 def import_rows(files: DataFrame) -> DataFrame:
@@ -183,7 +187,7 @@ def import_rows(files: DataFrame) -> DataFrame:
             for i, x in enumerate(r.imported):
                 yield path, i, x, called.get(x)
 
-    return _of_python(files, rows, "path string, pos int, target string, name string")
+    return arrow_rows(_of_python(files), rows, "path string, pos int, target string, name string")
 
 
 def file_dependencies(files: DataFrame) -> DataFrame:
