@@ -490,11 +490,17 @@ class Search:
         return matches_in(texts, self.items, self.weight, self.weighted, self.queries, self.limits)
 
 
-def searches(df: DataFrame, benchmark: DataFrame, text: str = "text", block: int = 5000, block_bytes: int = 8 << 20, limits: Limits = Limits()) -> Iterator[Search]:
-    """The benchmark is the stated query set: its items go to all documents in blocks of about ``block`` items and ``block_bytes`` of text, each with terms, weights and a space of its own."""
+def searches(df: DataFrame, benchmark: DataFrame, text: str = "text", block: int = 5000, block_bytes: int = 8 << 20, block_terms: int = 200_000, limits: Limits = Limits()) -> Iterator[Search]:
+    """The benchmark is the stated query set: its items go to all documents in blocks of about ``block`` items and ``block_bytes`` of text, each with terms, weights and a space of its own.
+
+    A task holds some 1 KB for each term of a block, so that there are as many blocks as share the
+    benchmark's distinct words out by ``block_terms``.
+    """
     texts = df.select(text_bytes(F.col(f"`{text}`")).alias("text"))
     size = benchmark.where("item_id is not null").agg(F.countDistinct("item_id").alias("n"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("bytes")).first()
-    blocks = max(-(-size["n"] // block), -(-size["bytes"] // block_bytes)) if size["n"] else 0
+    words = benchmark.where("item_id is not null").select(F.explode(F.split(F.lower(F.col("text").cast("string")), r"[ \t\n\x0b\x0c\r]+")).alias("word"))
+    terms = words.agg(F.approx_count_distinct("word").alias("n")).first()["n"]
+    blocks = max(-(-size["n"] // block), -(-size["bytes"] // block_bytes), -(-terms // block_terms)) if size["n"] else 0
     for b in range(blocks):
         own_rows = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).select("item_id", F.col("text").cast("string"))
         items = Items.of(sorted({(r[0], r[1] or "") for r in own_rows.distinct().collect() if r[0] is not None}))

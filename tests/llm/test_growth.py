@@ -80,3 +80,15 @@ def test_scores_at_the_edge(spark, docs_of):
     assert [r.score for r in quality.score(docs, None, 0.7).collect()] == [0.7, 0.7]
     judged = rules.judge(docs_of([(k, "the same few words again and again " * 20) for k in range(4)])).collect()
     assert len({(r.kept, r.base_failed) for r in judged}) == 1
+
+
+def test_blocks_of_the_benchmark_are_bounded_by_terms(spark, docs_of):
+    from codeloom.llm import decontamination
+
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(30)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = docs_of([(i, "before it " + t + " and after it") for i, t in items[::3]] + [(100, "nothing of these " * 20)])
+    for terms in (200_000, 300):
+        sizes = [len(s.items.ids) for s in decontamination.searches(docs, bench, block_terms=terms)]
+        assert sum(sizes) == 30 and (len(sizes) >= 4 if terms == 300 else len(sizes) == 1)
+        assert {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, bench, block_terms=terms).collect()} == {(i, i) for i, _ in items[::3]}
