@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.functions.json_repair import repair
 from codeloom.schema import LANGUAGES
 
 #: Parts of messages of errors that may pass when tried again, and of those for texts that are too long.
@@ -140,24 +141,25 @@ def backoff(attempt: int, rng: random.Random | None = None) -> float:
 
 
 def parse_arguments(text: str | None) -> dict:
-    """Tool arguments from a model's text: fences and outer quotes go, JSON in JSON is read, an open end is told apart from other errors."""
+    """Tool arguments from a model's text: fences and outer quotes go, JSON in JSON is read, small faults are mended.
+
+    An end that is open is an error of its own, told apart from text that holds no object; it comes
+    with where the text ended and the object so far, closed.
+    """
     s = re.sub(r"^```\w*\n?|```$", "", (text or "").strip()).strip()
     if not s:
         return {}
-    for t in (s, s.strip("'\"")):
-        try:
-            value = json.loads(t)
-            value = json.loads(value) if isinstance(value, str) else value
-            if isinstance(value, dict):
-                return value
-        except ValueError:
-            pass
-    plain = re.sub(r'"(?:[^"\\]|\\.)*"', "", s)
-    open_ = plain.count("{") > plain.count("}") or plain.count('"') % 2 == 1
-    try:
-        return json.loads(re.sub(r",\s*([}\]])", r"\1", s))
-    except ValueError:
-        return {"error": "truncated" if open_ else "failed", "raw": s}
+    inner = s[1:-1].strip() if len(s) > 1 and s[0] == s[-1] and s[0] in "'\"" else s
+    found = [repair(t) for t in dict.fromkeys((s, inner))]
+    found += [repair(r.value) for r in found if isinstance(r.value, str) and r.status != "truncated" and "{" in r.value]
+    for status in ("valid", "repaired"):
+        for r in found:
+            if r.status == status and isinstance(r.value, dict):
+                return r.value
+    open_ = next((r for r in found if r.status == "truncated" and isinstance(r.value, dict)), None)
+    if open_:
+        return {"error": "truncated", "raw": s, "at": open_.at, "partial": open_.value}
+    return {"error": "truncated" if any(r.status == "truncated" for r in found) else "failed", "raw": s}
 
 
 def arguments(text: Column) -> Column:
