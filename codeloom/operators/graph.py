@@ -32,6 +32,20 @@ def stub_endpoints(nodes: DataFrame, edges: DataFrame, label: str, node_type: st
     return ends.join(nodes, NODE, "left_anti").withColumns({"name": F.element_at(F.split("key", r"\."), -1), "full_name": F.col("key"), "node_type": F.lit(node_type)})
 
 
+def called(nodes: DataFrame, calls: DataFrame, now: Column) -> DataFrame:
+    """Nodes after calls (repo_id, dst_key, name, signature) are saved: a function that is called has the name and signature that the call has, and one that is not there comes in as of type ``api``.
+
+    Of several calls of a function that with the greatest signature counts.
+    """
+    last = calls.groupBy("repo_id", F.col("dst_key").alias("key")).agg(F.max(F.struct("signature", "name")).alias("c")).where("key is not null").withColumn("label", F.lit("Function"))
+    both = nodes.join(last, NODE, "left")
+    hit = F.col("c").isNotNull()
+    old = both.withColumns({"name": F.when(hit, F.col("c.name")).otherwise(F.col("name")), "signature": F.when(hit, F.col("c.signature")).otherwise(F.col("signature")), "updated_at": F.when(hit, now).otherwise(F.col("updated_at"))})
+    own = {"name": F.col("c.name"), "signature": F.col("c.signature"), "node_type": F.lit("api"), "full_name": F.col("key"), "created_at": now, "updated_at": now}
+    new = last.join(nodes, NODE, "left_anti").select(*[(F.col(c) if c in NODE else own.get(c, F.lit(None))).cast(kind).alias(c) for c, kind in nodes.dtypes])
+    return old.select(*nodes.columns).unionByName(new)
+
+
 def inheritance_edges(bases: DataFrame, nodes: DataFrame) -> DataFrame:
     """(repo_id, src_key, dst_key) of classes and bases with a type: IMPLEMENTS where the base is an interface, else INHERITS."""
     kinds = nodes.where("label = 'Class'").select("repo_id", F.col("key").alias("dst_key"), "node_type")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,37 @@ def resolve(repos: DataFrame, repo_id: str | None = None, path: str | None = Non
     return repos.where("local_path is not null and local_path <> ''").where(absolute_path(F.col("local_path"), base) == absolute_path(F.lit(path), base))
 
 
+def register(
+    repos: DataFrame, repo_id: str, user_id: str, now: Column, name: str | None = None, url: str | None = None, package: str | None = None, path: str | None = None,
+    description: str | None = None, branch: str | None = None, storage: str = "/data/repos",
+) -> DataFrame:
+    """Repositories with a new one: from a remote URL, from an uploaded package, or from a path on the server, which may have a URL too.
+
+    Exactly one of them says where it comes from. A repository that its user has already is an error:
+    of a URL with the same provider, organization and name, else with the same name.
+    """
+    if sum(bool(x) for x in (package, path, url and not path)) != 1:
+        raise ValueError("a repository comes from a URL, a package or a path")
+    parts = git_parts(F.lit(url.strip() if url else ""))
+    if package or path:
+        if not name:
+            raise ValueError("a repository that is no URL's needs a name")
+        provider = F.lit("uploaded") if package else F.coalesce(parts["provider"], F.lit("local"))
+        organization = F.lit("uploaded") if package else F.when(F.lit(bool(url)), parts["organization"]).otherwise("local")
+        own = {"git_provider": provider, "organization": organization, "repository_name": F.lit(name), "branch": F.lit("main"), "local_path": F.lit(path or f"{storage}/uploads/{user_id}/{name}")}
+    else:
+        if not re.match(r"https?://|git@", url.strip()):
+            raise ValueError("no URL of a repository")
+        own = {"git_provider": parts["provider"], "organization": parts["organization"], "repository_name": parts["name"], "branch": F.lit(branch or "main")}
+        own["local_path"] = F.concat_ws("/", F.lit(storage), parts["organization"], parts["name"])
+    own |= {"id": F.lit(repo_id), "user_id": F.lit(user_id), "repository_url": F.lit((url or "").strip()), "description": F.lit(description), "is_cloned": F.lit(False), "created_at": now, "updated_at": now}
+    new = repos.sparkSession.range(1).select(*[own.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in repos.dtypes])
+    keys = ["repository_name", "user_id", *([] if package or path else ["git_provider", "organization"])]
+    if not new.join(repos.select(*keys), keys, "left_semi").limit(1).count() == 0:
+        raise ValueError("the user has this repository already")
+    return repos.unionByName(new)
+
+
 def exists(repos: DataFrame, repo_id: str) -> bool:
     return not resolve(repos, repo_id).isEmpty()
 

@@ -13,6 +13,7 @@ from datetime import UTC, datetime
 from typing import BinaryIO
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from codeloom.schema import EXCLUDED_DIRS, LANGUAGES
@@ -141,6 +142,27 @@ def repo_files(spark: SparkSession, root: str, **options: str):
     return spark.read.format("repo_files").options(root=root, **options).load()
 
 
+def ignore_patterns(root: str) -> list[str]:
+    """The lines of the root's ignore file that are no comments; none where there is no such file."""
+    path = os.path.join(root, ".gitignore")
+    if not os.path.isfile(path):
+        return []
+    with open(path, encoding="utf-8", errors="ignore") as f:
+        return [x.strip() for x in f if x.strip() and not x.startswith("#")]
+
+
+def catalogue(spark: SparkSession, root: str, **options: str):
+    """(path, is_dir) of the files of a repository and the folders above them, without what its ignore file names: by base names, and with a folder goes all in it."""
+    from codeloom.functions.text import ignored
+
+    files = repo_files(spark, root, **options).select("path")
+    parts = F.split("path", "/")
+    each = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, F.lit(1), i), "/").alias("path"), (i < F.size(parts)).alias("is_dir"), F.element_at(parts, i).alias("name")))
+    patterns = ignore_patterns(root)
+    kept = files.withColumn("each", each).where(~F.exists("each", lambda e: ignored(e["name"], e["is_dir"], patterns)))
+    return kept.select(F.explode("each").alias("e")).select("e.path", "e.is_dir").distinct()
+
+
 def readme(root: str) -> str | None:
     """The text of the first README that there is."""
     path = next((p for n in READMES if os.path.isfile(p := os.path.join(root, n))), None)

@@ -229,3 +229,42 @@ def test_scratch_folder_is_shared(spark, tmp_path):
     assert table.count() == 3
     scratch.discard(table, None, spark.range(1))
     assert not os.path.exists(table.scratch_path.removeprefix("file://"))
+
+
+REPO = "id string, user_id string, git_provider string, repository_url string, organization string, repository_name string, description string, branch string, local_path string, is_cloned boolean, created_at timestamp, updated_at timestamp"
+
+
+def test_registration(spark):
+    repos, now = spark.createDataFrame([], REPO), F.lit(stamp(3))
+    repos = r.register(repos, "1", "u", now, url=" https://github.com/org/name.git ", description="d", branch="dev")
+    repos = r.register(repos, "2", "u", now, name="pack", package="pack.zip")
+    repos = r.register(repos, "3", "u", now, name="local", path="/srv/local")
+    repos = r.register(repos, "4", "v", now, name="local", path="/srv/local", url="git@gitlab.com:g/p.git")
+    got = {x.id: (x.git_provider, x.organization, x.repository_name, x.branch, x.local_path, x.repository_url) for x in repos.collect()}
+    assert got == {
+        "1": ("github", "org", "name", "dev", "/data/repos/org/name", "https://github.com/org/name.git"), "2": ("uploaded", "uploaded", "pack", "main", "/data/repos/uploads/u/pack", ""),
+        "3": ("local", "local", "local", "main", "/srv/local", ""), "4": ("gitlab", "g", "local", "main", "/srv/local", "git@gitlab.com:g/p.git"),
+    }
+    for bad in ({"url": "https://github.com/org/name"}, {"name": "pack", "package": "p.tar"}, {"name": "local", "path": "/x"}, {"url": "ftp://x"}, {"package": "p.zip"}, {}, {"name": "n", "package": "p", "path": "/x"}):
+        with pytest.raises(ValueError):
+            r.register(repos, "9", "u", now, **bad)
+
+
+def test_calls_name_what_they_call(spark):
+    nodes = spark.createDataFrame([("r", "Function", "m.f", "f", "f(int) -> int", "function", "m.f", stamp(1), stamp(1)), ("r", "Class", "m.C", "C", None, "class", "m.C", stamp(1), stamp(1))], "repo_id string, label string, key string, name string, signature string, node_type string, full_name string, created_at timestamp, updated_at timestamp")
+    calls = spark.createDataFrame([("r", "m.f", "f", "f(Any)"), ("r", "m.f", "f", "f(int)"), ("r", "os.path.join", "join", "join(str, str)"), ("r", None, "x", "x()")], "repo_id string, dst_key string, name string, signature string")
+    got = {x.key: x for x in g.called(nodes, calls, F.lit(stamp(5))).collect()}
+    assert got["m.f"].signature == "f(int)" and got["m.f"].node_type == "function" and got["m.f"].created_at == stamp(1) and got["m.f"].updated_at == stamp(5)
+    assert got["os.path.join"].node_type == "api" and got["os.path.join"].name == "join" and got["m.C"].updated_at == stamp(1) and len(got) == 3
+
+
+def test_catalogue_without_ignored_names(spark, tmp_path):
+    from codeloom.sources import repo_files as rf
+
+    for path in ("src/a.py", "src/gen/b.py", "Build/c.py", "d_test.py", "e.py"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("x")
+    listed = lambda: {(x.path, x.is_dir) for x in rf.catalogue(spark, str(tmp_path)).collect()}
+    assert len(listed()) == 5 + 3
+    (tmp_path / ".gitignore").write_text("# c\n\nbuild/\n*_test.py\ngen\ne.py/\n")
+    assert listed() == {("src", True), ("src/a.py", False), ("e.py", False)}
