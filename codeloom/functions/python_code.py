@@ -191,7 +191,15 @@ def import_rows(files: DataFrame) -> DataFrame:
 
 
 def file_dependencies(files: DataFrame) -> DataFrame:
-    """Distinct (src, dst) between Python files.
+    """Distinct (src, dst) between Python files: see ``resolved``."""
+    from codeloom.sources.scratch import materialize
+
+    imports_ = materialize(import_rows(files), "imports")
+    return resolved(imports_, imports_, files)
+
+
+def resolved(wanted: DataFrame, imports_: DataFrame, files: DataFrame) -> DataFrame:
+    """Distinct (src, dst) for the import rows ``wanted``, among the Python files (path) with all their ``imports_``.
 
     A dotted path stands for ``a/b.py`` or else ``a/b/__init__.py``. What a package re-exports is
     followed to the file that defines it: only the name that was asked for, or, where the package
@@ -200,7 +208,6 @@ def file_dependencies(files: DataFrame) -> DataFrame:
     """
     from codeloom.sources.scratch import materialize
 
-    wanted = materialize(import_rows(files), "imports")
     path = F.col("path")
     targets = files.select("path").where(F.lower("path").endswith(".py")).select(
         path.alias("dst"),
@@ -214,7 +221,7 @@ def file_dependencies(files: DataFrame) -> DataFrame:
     named = asked.join(targets, asked.package == targets.dotted).select("src", "dst", "symbol")
     frontier = materialize(whole.unionByName(named).where("src <> dst").distinct(), "direct")
     found = frontier.select("src", "dst")
-    exports = wanted.where(path.endswith("__init__.py")).select(path.alias("via"), "target", F.col("name").alias("exported"), package.alias("package"))
+    exports = imports_.where(path.endswith("__init__.py")).select(path.alias("via"), "target", F.col("name").alias("exported"), package.alias("package"))
     steps = exports.join(targets, exports.target == targets.dotted).select("via", F.col("dst").alias("next"), "exported").unionByName(
         exports.join(targets, exports.package == targets.dotted).select("via", F.col("dst").alias("next"), "exported")
     )
