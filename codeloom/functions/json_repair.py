@@ -12,7 +12,8 @@ QUOTES = {'"': '"', "'": "'", "“": "”", "‘": "’"}
 NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?\Z")
 LOOSE_NUMBER = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\Z")
 BLANK = re.compile(r"(?:[\s\ufeff]+|//[^\n]*|/\*.*?(?:\*/|\Z)|#[^\n]*)+", re.S)
-AFTER_STRING = re.compile(r"\s*(?:[,:}\]]|\Z)")
+#: What may follow a string: a mark, the end, or, where a comma is missing, another key.
+AFTER_STRING = re.compile(r"""\s*(?:[,:}\]]|\Z|"[^"\n]*"\s*:|'[^'\n]*'\s*:)""")
 WORD = re.compile(r"[^\s,:{}\[\]\"']+(?:[ \t]+[^\s,:{}\[\]\"']+)*")
 NOTHING = object()
 

@@ -130,7 +130,7 @@ def closure(victims: DataFrame, contains: DataFrame) -> DataFrame:
 
 def under_folder(path: Column, folder: str) -> Column:
     """The folder itself or a path below it; siblings that start alike are not."""
-    return (path == folder) | path.startswith(folder.rstrip("/") + "/")
+    return (path == folder.rstrip("/")) | path.startswith(folder.rstrip("/") + "/")
 
 
 def without(nodes: DataFrame, edges: DataFrame, victims: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -19,6 +19,7 @@ GOLDENS = [
     ('{"a": True, "b": None, "c": .5, "d": plain words}', {"a": True, "b": None, "c": 0.5, "d": "plain words"}, "repaired"),
     ('{"a": "line\nnext", // why\n "b": /* x */ 2}', {"a": "line\nnext", "b": 2}, "repaired"),
     ('{"a": [1, 2}', {"a": [1, 2]}, "repaired"),
+    ('{"a": "x" "b": 2}', {"a": "x", "b": 2}, "repaired"),
     ('{"a": , "b": 2}', {"a": None, "b": 2}, "repaired"),
     ('{"a": 1} and so on', {"a": 1}, "repaired"),
     ('{"path": "C:\\\\x", "u": "\\u00e9\\ud83d\\ude00"}', {"path": "C:\\x", "u": "é😀"}, "valid"),
