@@ -34,7 +34,9 @@ LANGUAGES = {".py": "python", ".java": "java", ".go": "go", ".cpp": "cpp", ".c":
 #: Directories that a scan does not enter, beside those that start with a dot.
 EXCLUDED_DIRS = ("__pycache__", ".git", ".idea", ".vscode", "venv", "node_modules", "dist", "build", "target", ".pytest_cache", ".mypy_cache", ".coverage", "__tests__", "tests")
 
+#: The columns of each table. Tokens of accounts are not stored.
 TABLES = {
+    "git_auth": "id STRING, user_id STRING, provider STRING, is_active BOOLEAN, created_at TIMESTAMP, updated_at TIMESTAMP",
     "repositories": "id STRING, user_id STRING, git_provider STRING, repository_url STRING, organization STRING, repository_name STRING, branch STRING, description STRING, local_path STRING, is_cloned BOOLEAN, last_sync_time TIMESTAMP, created_at TIMESTAMP, updated_at TIMESTAMP",
     "analysis_tasks": "repo_id STRING, scan_status STRING, last_error STRING, last_scan_started_at TIMESTAMP, last_scan_finished_at TIMESTAMP, scan_heartbeat_at TIMESTAMP, created_at TIMESTAMP, updated_at TIMESTAMP",
     "file_state": "repo_id STRING, file_path STRING, status STRING, attempts INT, last_error STRING, last_started_at TIMESTAMP, last_finished_at TIMESTAMP, created_at TIMESTAMP, updated_at TIMESTAMP",

@@ -32,7 +32,7 @@ def state(graph):
     )
 
 
-@pytest.mark.parametrize("seed", [0, 1, 2])
+@pytest.mark.parametrize("seed", [0, 1])
 def test_random_edits(spark, seed):
     rng = random.Random(seed)
     files = {p: module(rng, NAMES) for p in rng.sample(paths(), 9)}
