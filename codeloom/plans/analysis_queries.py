@@ -116,7 +116,7 @@ def other_symbols(spark, sf_dir):
     files = read_table(spark, sf_dir, "part").select("*", pair)
     for mark, value in values.items():
         files = files.withColumn("f", F.struct(*[F.replace(F.col("f")[c], F.lit(mark), value.cast("string")).alias(c) for c in ("path", "content")]))
-    out = braces.symbols(files.select("f.path", "f.content"))
+    out = braces.symbols(files.select("f.path", "f.content").repartition(2 * spark.sparkContext.defaultParallelism, "path"))
     joined = [F.array_join(c, ",").alias(c) for c in ("params", "returns", "bases", "attributes")]
     return out.select("path", "kind", "full_name", "signature", *joined, "start_line", "end_line")
 

@@ -52,7 +52,8 @@ def _code(spark, sf_dir):
 
     part = read_table(spark, sf_dir, "part")
     packages = part.where("p_partkey < 7").select(F.concat(F.lit("pkg"), k, F.lit("/__init__.py")).alias("path"), filled(PACKAGE).alias("content"))
-    return part.select(F.concat(F.lit("pkg"), k % 7, F.lit("/m"), k, F.lit(".py")).alias("path"), filled(MODULE).alias("content")).union(packages)
+    files = part.select(F.concat(F.lit("pkg"), k % 7, F.lit("/m"), k, F.lit(".py")).alias("path"), filled(MODULE).alias("content")).union(packages)
+    return files.repartition(2 * spark.sparkContext.defaultParallelism, "path")  # the table is one small file, but reading its modules is work for all cores
 
 
 def _chunk_rows(rows):
