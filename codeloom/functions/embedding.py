@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import fallback_summary, stable_id
+from codeloom.sources.scratch import materialize
 
 _models: dict[str, Callable[[list[str], int], np.ndarray]] = {}
 
@@ -43,7 +44,7 @@ def model_of(name: str) -> Callable[[list[str], int], np.ndarray]:
 
 
 def embed(df: DataFrame, text: str, dim: int = 64, model: str = "hashed_words", to: str = "vec", batch: int = 96) -> DataFrame:
-    """Add the vector of each text. Texts are deduplicated first and joined back; unknown models fall back to the built-in one."""
+    """Add the vector of each text. Texts are deduplicated first and joined back, so ``df`` is read twice; unknown models fall back to the built-in one."""
     encode = model_of(model)
 
     def run(texts: pd.Series) -> pd.Series:
@@ -69,7 +70,7 @@ def low_information(source: Column, language: Column, name: Column) -> Column:
 
 
 def symbol_summaries(symbols: DataFrame, repo_id: str, dim: int = 64) -> DataFrame:
-    """Records for the symbol space, from symbols with path, kind, name, class_name, source, start_line, end_line."""
+    """Records for the symbol space, from symbols with path, kind, name, class_name, source, start_line, end_line. They are written to a scratch table, so that the files are parsed once."""
     name = F.concat_ws(".", "class_name", "name")
     kept = symbols.where((F.trim("source") != "") & ~low_information(F.col("source"), F.lit("python"), F.col("name")))
     rows = kept.select(
@@ -78,11 +79,11 @@ def symbol_summaries(symbols: DataFrame, repo_id: str, dim: int = 64) -> DataFra
         F.col("kind").alias("symbol_kind"), name.alias("symbol_name"), "start_line", "end_line",
         fallback_summary(F.concat("kind", F.lit(" "), name, F.lit(": ")), F.col("source")).alias("summary"),
     )
-    return embed(rows, "summary", dim)
+    return embed(materialize(rows, "summaries"), "summary", dim)
 
 
 def chunk_records(chunks: DataFrame, repo_id: str, dim: int = 64) -> DataFrame:
-    """Records for the chunk space, from (path, start_line, end_line, content)."""
+    """Records for the chunk space, from (path, start_line, end_line, content), by way of a scratch table."""
     from pyspark.sql import Window
 
     index = F.row_number().over(Window.partitionBy("path").orderBy("start_line")) - 1
@@ -91,4 +92,4 @@ def chunk_records(chunks: DataFrame, repo_id: str, dim: int = 64) -> DataFrame:
         F.lit(repo_id).alias("repo_id"), F.col("path").alias("file_path"), F.lit("line_chunk_vector").alias("analysis_type"),
         "start_line", "end_line", "chunk_index", "content",
     )
-    return embed(rows, "content", dim)
+    return embed(materialize(rows, "chunks"), "content", dim)

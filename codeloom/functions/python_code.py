@@ -30,14 +30,27 @@ def module_of(path: str) -> str:
     return ".".join(parts[:-1] if parts[-1] == "__init__" and len(parts) > 1 else parts)
 
 
-def imports(tree: ast.AST, path: str) -> tuple[dict[str, str], list[str]]:
+def walked(node: ast.AST) -> list[ast.AST]:
+    """The nodes of ``ast.walk``, in its order, without the contexts of names."""
+    found = [node]
+    for n in found:
+        for name in n._fields:
+            x = getattr(n, name, None)
+            if x.__class__ is list:
+                found += [y for y in x if isinstance(y, ast.AST)]
+            elif isinstance(x, ast.AST) and not isinstance(x, ast.expr_context):
+                found.append(x)
+    return found
+
+
+def imports(nodes: list[ast.AST], path: str) -> tuple[dict[str, str], list[str]]:
     """(name in the file -> dotted path, dotted paths that it imports, in order). Relative imports that lead out of the tree are left out."""
     package = module_of(path).split(".")
     if not path.endswith("__init__.py"):
         package = package[:-1]
     names: dict[str, str] = {}
     found: dict[str, None] = {}
-    for node in ast.walk(tree):
+    for node in nodes:
         if isinstance(node, ast.Import):
             for a in node.names:
                 names[a.asname or a.name.partition(".")[0]] = a.name if a.asname else a.name.partition(".")[0]
@@ -71,16 +84,16 @@ def _kind(arg: ast.AST) -> str:
 
 class Reader:
     def __init__(self, tree: ast.Module, path: str):
-        self.tree, self.module = tree, module_of(path)
-        self.names, self.imported = imports(tree, path)
+        self.nodes, self.module = walked(tree), module_of(path)
+        self.names, self.imported = imports(self.nodes, path)
 
     def resolve(self, parts: list[str]) -> str:
         head = self.names.get(parts[0]) or f"{self.module}.{parts[0]}"
         return ".".join([head, *parts[1:]])
 
-    def calls(self, node: ast.AST, owner: str | None) -> list[tuple[str, str]]:
+    def calls(self, nodes: list[ast.AST], owner: str | None) -> list[tuple[str, str]]:
         found: dict[tuple[str, str], None] = {}
-        for call in ast.walk(node):
+        for call in nodes:
             parts = _dotted(call.func) if isinstance(call, ast.Call) else None
             if not parts or len(parts) == 1 and parts[0] in BUILTINS and parts[0] not in self.names:
                 continue
@@ -99,7 +112,8 @@ class Reader:
         marks = {id(a.vararg): "*", id(a.kwarg): "**"}
         types = [ast.unparse(p.annotation) if p.annotation else "Any" for p in params]
         returns = {ast.unparse(node.returns)} if node.returns else set()
-        for x in ast.walk(node):
+        nodes = walked(node)
+        for x in nodes:
             if isinstance(x, ast.Yield | ast.YieldFrom):
                 returns.add("Generator")
             elif isinstance(x, ast.Return) and x.value is not None:
@@ -110,7 +124,7 @@ class Reader:
         return (
             "method" if owner else "function", node.name, full, owner, f"{node.name}({', '.join(types)}) -> {result}",
             [marks.get(id(p), "") + p.arg for p in params], types, sorted(returns), [], [], ast.get_docstring(node), ast.unparse(node),
-            node.lineno, node.end_lineno, self.calls(node, owner),
+            node.lineno, node.end_lineno, self.calls(nodes, owner),
         )
 
     def type_(self, node: ast.ClassDef) -> tuple:
@@ -129,14 +143,14 @@ class Reader:
     def symbols(self) -> Iterator[tuple]:
         """Classes wherever they are, each with its methods, and all functions that are no class's own."""
         own = set()
-        for node in ast.walk(self.tree):
+        for node in self.nodes:
             if isinstance(node, ast.ClassDef):
                 yield self.type_(node)
                 for x in node.body:
                     if isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef):
                         own.add(x)
                         yield self.function(x, node.name)
-        for node in ast.walk(self.tree):
+        for node in self.nodes:
             if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef) and node not in own:
                 yield self.function(node)
 
