@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codeloom.operators.vectors import has_direction, similarity
+from codeloom.operators.vectors import has_direction, in_slices, similarity
 
 #: What single precision may add to a score's error.
 SLACK = 1e-5
@@ -158,7 +158,7 @@ def _candidates(index: VectorIndex, names: list, m: np.ndarray, probed: np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, dict[str, np.ndarray]] = {}
-        for batch in batches:
+        for batch in in_slices(batches, 1024):  # at most as many scores as these rows times the queries
             cell = np.asarray(batch.column(6))
             for c in np.unique(cell).tolist():
                 at = np.flatnonzero(cell == c)

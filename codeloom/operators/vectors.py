@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Stands for a null id, after all others.
+NO_ID = np.iinfo(np.int64).max
+
+
+def in_slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first in range(0, len(batch), rows):
+            yield batch.slice(first, rows)
+
+
 def dot(a: Column, b: Column) -> Column:
     """In double precision; null where the lengths differ."""
     both = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -72,19 +83,18 @@ def knn_blocks(df: DataFrame, vec: str, id_col: str, queries: DataFrame, query_v
         m /= np.linalg.norm(m, axis=1, keepdims=True)
 
         def run(batches, names=names, m=m):
-            best = pd.DataFrame({query_id: [], id_col: [], "score": []})
-            for pdf in batches:
-                x = np.array(pdf["__vec"].tolist(), np.float64)
-                score = ((m @ x.T) / np.linalg.norm(x, axis=1) + 1) / 2
-                ids = pdf[id_col].to_numpy()
-                order = np.lexsort((np.broadcast_to(ids, score.shape), -score.round(12)), axis=1)[:, :k]
-                new = pd.DataFrame({query_id: np.repeat(names, order.shape[1]), id_col: ids[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()})
-                best = pd.concat([best, new]) if len(best) else new
-                best = best.sort_values([query_id, "score", id_col], ascending=[True, False, True]).groupby(query_id).head(k)
-            if len(best):
-                yield best
-
-        parts.append(rows.mapInPandas(run, schema))
+            # Some thousand rows at a time: scores of a whole batch would be as many as its rows times the queries.
+            score, ids = np.empty((len(m), 0)), np.empty((len(m), 0), np.int64)
+            for batch in in_slices(batches, 1024):
+                x = np.asarray(batch.column(1).flatten(), np.float64).reshape(len(batch), -1)
+                score = np.concatenate((score, ((m @ x.T) / np.linalg.norm(x, axis=1) + 1) / 2), 1)
+                ids = np.concatenate((ids, np.broadcast_to(np.asarray(batch.column(0).fill_null(NO_ID)), (len(m), len(batch)))), 1)
+                order = np.lexsort((ids, -score.round(12)), axis=1)[:, :k]
+                score, ids = (np.take_along_axis(c, order, 1) for c in (score, ids))
+            if ids.size:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, ids.shape[1])), pa.array(ids.ravel(), mask=ids.ravel() == NO_ID), pa.array(score.ravel())], names=[query_id, id_col, "score"])
+
+        parts.append(rows.mapInArrow(run, schema))
     if not parts:
         return df.sparkSession.createDataFrame([], schema + ", rank int")
     order = Window.partitionBy(query_id).orderBy(F.desc(F.round("score", 12)), id_col)

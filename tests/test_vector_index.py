@@ -1,5 +1,7 @@
 """Approximate search against the exact one."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -82,3 +84,19 @@ def test_search_requests_with_candidates(spark, tmp_path):
     ids = lambda dense: [(r.id, round(r.score, 6)) for r in s.search([docs], s.SearchRequest(match=(s.MatchText(("text",), "red"), s.Fusion(0.1, 0.9), dense))).hits.collect()]
     assert ids(s.MatchDense("vec", vector, 5)) == ids(s.MatchDense("vec", vector, 5, index=index, num_candidates=100, probes=4))
     assert ids(s.MatchDense("vec", vector, 5, index=index))[0][0] == 5
+
+
+def test_scores_of_rows_by_queries_are_never_all_held(spark, monkeypatch):
+    """A batch of 8,000 rows and a block of 1,000 queries: no more than some thousand rows are multiplied at once."""
+    tasks, kind = [], type(spark.range(1))
+    real = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, run, schema: (tasks.append(run), real(self, run, schema))[1])
+    rows = spark.range(8000, numPartitions=1).select((F.col("id") * 7 % 8000).alias("id"), F.array(F.sin("id").cast("float"), F.cos(F.col("id") * 3).cast("float"), F.lit(1.0).cast("float")).alias("vec"))
+    queries = rows.where("id < 1000").withColumnRenamed("id", "query")
+    found = vectors.knn_blocks(rows, "vec", "id", queries, "vec", "query", 3)
+    assert found.count() == 3000 and found.where("query = id").count() == 1000
+    tracemalloc.start()
+    assert sum(len(b) for b in tasks[0](iter(rows.toArrow().combine_chunks().to_batches()))) == 3000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
