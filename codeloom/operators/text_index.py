@@ -57,13 +57,13 @@ def build(df: DataFrame, fields: list[str], id_col: str, path: str, block: int =
     blocks = max(1, -(-n // block))
     buckets = buckets or min(4096, max(8, n // 20_000))
     spark = df.sparkSession
-    words = reduce(DataFrame.union, [rows.select("id", F.lit(f).alias("field"), F.explode(F.array_distinct(tokens(F.coalesce(F.col(f"f{i}"), F.lit(""))))).alias("term")) for i, f in enumerate(fields)])
-    # A document has a word once, so there is nothing to combine before words are exchanged.
+    # Texts are exchanged by block, so that words are told apart and grouped where they are and do not move.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+    texts = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).repartition(parts, "block")
+    of = lambda i, f: F.transform(F.array_distinct(tokens(F.coalesce(F.col(f"f{i}"), F.lit("")))), lambda t: F.struct(F.lit(f).alias("field"), t.alias("term")))
+    words = texts.select("id", "block", F.explode(F.concat(*[of(i, f) for i, f in enumerate(fields)])).alias("w")).select("id", "block", "w.field", "w.term")
     postings = (
-        words.where("term <> ''").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-        .repartition(parts, "field", "term", "block")
-        .groupBy("field", "term", "block").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+        words.where("term <> ''").groupBy("field", "term", "block").agg(F.array_sort(F.collect_set("id")).alias("ids"))
         .withColumns({"n": F.size("ids"), "bucket": F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int")})
     )
     postings.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import search as s
 from codeloom.operators import text_index as ti
+from test_positions import shuffled_rows
 
 WORDS = "alpha beta gamma delta eps zeta eta theta iota kappa".split()
 
@@ -70,3 +71,11 @@ def test_odd_tables(spark, docs, tmp_path):
     assert ti.scores(index, s.MatchText(("text",), " ")).count() == 0
     empty = ti.build(docs.where("false"), ["title"], "key", f"file://{tmp_path}/e")
     assert ti.scores(empty, s.MatchText(("title",), "alpha"), 3).count() == 0 and empty.n == 0
+
+
+def test_words_do_not_move_before_they_are_grouped(spark, tmp_path):
+    docs = spark.range(200).selectExpr("id as key", "array_join(transform(sequence(1, 100), k -> concat('w', pmod(id * 31 + k, 400))), ' ') as body")
+    index = []
+    moved = shuffled_rows(spark, lambda: index.append(ti.build(docs, ["body"], "key", f"file://{tmp_path}/i", block=100, buckets=2)))
+    postings = index[0].postings()
+    assert postings.agg(F.sum("n")).first()[0] == 200 * 100 and moved <= postings.count() + 3 * 200
