@@ -188,6 +188,12 @@ def text_score(df: DataFrame, match: MatchText) -> DataFrame:
     return out.drop(*[f"__hits_{i}" for i in range(len(fields))])
 
 
+def only_words(df: DataFrame, match: MatchText) -> DataFrame:
+    """The rows with the fields of a match cut to those of its words that they hold: scores stay the same, and a join that comes before them moves no texts."""
+    wanted = F.array(*map(F.lit, match.words())).cast("array<string>")
+    return df.withColumns({f: F.array_join(F.array_intersect(wanted, tokens(F.coalesce(F.col(f), F.lit("")))), " ") for f, _ in boosts(match)})
+
+
 def reduced(c: Column, mode: str) -> Column:
     """A multi-valued field as one number for sorting: min, max, avg, sum or median of what is not null; null where there is nothing."""
     c = F.filter(c, lambda x: x.isNotNull())

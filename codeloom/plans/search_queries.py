@@ -114,10 +114,11 @@ def text_index_top(spark, sf_dir):
 
 
 def hybrid_weighted_fusion(spark, sf_dir):
-    docs = _docs(spark, sf_dir).join(_emb(spark, sf_dir), F.col("doc_id") == F.col("vec_id")).select("doc_id", "text", "lang", "embedding")
+    match = s.MatchText(("text",), HYBRID_QUERY, 0.3)
+    docs = s.only_words(_docs(spark, sf_dir).select("doc_id", "text", "lang"), match).join(_emb(spark, sf_dir), F.col("doc_id") == F.col("vec_id")).select("doc_id", "text", "lang", "embedding")
     vector = _emb(spark, sf_dir).where("vec_id = 0").select("embedding").first()[0]
     request = s.SearchRequest(
-        select=("doc_id", "lang"), match=(s.MatchText(("text",), HYBRID_QUERY, 0.3), s.Fusion(0.3, 0.7), s.MatchDense("embedding", tuple(vector), 20)),
+        select=("doc_id", "lang"), match=(match, s.Fusion(0.3, 0.7), s.MatchDense("embedding", tuple(vector), 20)),
         limit=20, id_field="doc_id",
     )
     return s.search([docs], request).hits.select("doc_id", "lang", F.round("score", 6).alias("score"))

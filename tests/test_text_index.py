@@ -79,3 +79,10 @@ def test_words_do_not_move_before_they_are_grouped(spark, tmp_path):
     moved = shuffled_rows(spark, lambda: index.append(ti.build(docs, ["body"], "key", f"file://{tmp_path}/i", block=100, buckets=2)))
     postings = index[0].postings()
     assert postings.agg(F.sum("n")).first()[0] == 200 * 100 and moved <= postings.count() + 3 * 200
+
+
+def test_cut_texts_score_like_whole_ones(docs):
+    for match in (s.MatchText(("title^2", "body"), "alpha rare KAPPA none ünï", 0.4), s.MatchText(("body",), "eta", 0.0)):
+        score = lambda df: sorted((r.key, r.matched_terms, r.text_score) for r in s.text_score(df, match).collect())  # noqa: E731, B023
+        cut = s.only_words(docs, match)
+        assert score(cut) == score(docs) and cut.agg(F.max(F.length("body"))).first()[0] <= len(match.text)
