@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from itertools import count
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SYMBOL = (
@@ -43,6 +43,17 @@ def walked(node: ast.AST) -> list[ast.AST]:
     return found
 
 
+def statements(tree: ast.Module) -> list[ast.AST]:
+    """Statements alone, in the order of ``walked``: enough for imports, as no expression holds one."""
+    found: list[ast.AST] = [tree]
+    for n in found:
+        for name in ("body", "handlers", "orelse", "finalbody", "cases"):
+            x = getattr(n, name, None)
+            if x.__class__ is list:
+                found += x
+    return found
+
+
 def imports(nodes: list[ast.AST], path: str) -> tuple[dict[str, str], list[str]]:
     """(name in the file -> dotted path, dotted paths that it imports, in order). Relative imports that lead out of the tree are left out."""
     package = module_of(path).split(".")
@@ -155,14 +166,20 @@ class Reader:
                 yield self.function(node)
 
 
-def read(text: str | None, path: str) -> Reader | None:
+def parsed(text: str | None) -> ast.Module | None:
     """None for what does not parse."""
     try:
-        return Reader(ast.parse(text or ""), path)
+        return ast.parse(text or "")
     except (SyntaxError, ValueError, RecursionError):
         return None
 
 
+def read(text: str | None, path: str) -> Reader | None:
+    """None for what does not parse."""
+    tree = parsed(text)
+    return Reader(tree, path) if tree else None
+
+
 def arrow_rows(files: DataFrame, rows: Callable[[str, str | None], Iterator[tuple]], schema: str) -> DataFrame:
     """The rows that a function makes of each file (path, content), by Arrow batches of a hundred files."""
     fields = pa.schema([(name, _ARROW[kind]) for name, kind in (c.split(" ", 1) for c in schema.split(", "))])
@@ -192,24 +209,43 @@ def symbols(files: DataFrame) -> DataFrame:
     return arrow_rows(_of_python(files), rows, f"path string, {SYMBOL}")
 
 
-def import_rows(files: DataFrame) -> DataFrame:
-    """(path, pos, target, name): dotted paths that Python files import; ``name`` is what the file calls it, where it gives it a name."""
+def files_and_imports(files: DataFrame) -> DataFrame:
+    """The rows of ``import_rows`` and, from the same reading, one with nothing but its path for each Python file whose content is not null."""
 
     def rows(path: str, text: str | None) -> Iterator[tuple]:
-        if r := read(text, path):
-            called = {v: k for k, v in r.names.items()}
-            for i, x in enumerate(r.imported):
+        if text is None:
+            return
+        yield path, None, None, None
+        if tree := parsed(text):
+            names, imported = imports(statements(tree), path)
+            called = {v: k for k, v in names.items()}
+            for i, x in enumerate(imported):
                 yield path, i, x, called.get(x)
 
     return arrow_rows(_of_python(files), rows, "path string, pos int, target string, name string")
 
 
+def import_rows(files: DataFrame) -> DataFrame:
+    """(path, pos, target, name): dotted paths that Python files import; ``name`` is what the file calls it, where it gives it a name."""
+    return files_and_imports(files).where("target is not null")
+
+
+def last_name(target: str) -> Column:
+    return F.substring_index(target, ".", -1)
+
+
+def package_of(target: str) -> Column:
+    """The dotted path before the last name; empty where there is none."""
+    return F.left(F.col(target), F.greatest(F.length(target) - F.length(last_name(target)) - 1, F.lit(0)))
+
+
 def file_dependencies(files: DataFrame) -> DataFrame:
     """Distinct (src, dst) between Python files: see ``resolved``."""
     from codeloom.sources.scratch import materialize
 
-    imports_ = materialize(import_rows(files), "imports")
-    return resolved(imports_, imports_, files)
+    both = materialize(files_and_imports(files.select("path", F.coalesce("content", F.lit("")).alias("content"))), "imports")
+    imports_ = both.where("target is not null")
+    return resolved(imports_, imports_, both.where("target is null"))
 
 
 def resolved(wanted: DataFrame, imports_: DataFrame, files: DataFrame) -> DataFrame:
@@ -220,7 +256,7 @@ def resolved(wanted: DataFrame, imports_: DataFrame, files: DataFrame) -> DataFr
     itself was asked for or has no such name, all that it imports. Chains are followed to their end, and
     cycles end by themselves, as files seen before are not followed again.
     """
-    from codeloom.sources.scratch import materialize
+    from codeloom.sources.scratch import discard, materialize
 
     path = F.col("path")
     targets = files.select("path").where(F.lower("path").endswith(".py")).select(
@@ -228,21 +264,21 @@ def resolved(wanted: DataFrame, imports_: DataFrame, files: DataFrame) -> DataFr
         F.replace(F.regexp_replace(path, r"(/__init__)?\.py$", ""), F.lit("/"), F.lit(".")).alias("dotted"),
         path.endswith("__init__.py").cast("int").alias("priority"),
     )
-    targets = targets.groupBy("dotted").agg(F.min_by("dst", "priority").alias("dst"))
-    package = F.regexp_extract("target", r"^(.*)\.[^.]+$", 1)
-    asked = wanted.select(F.col("path").alias("src"), "target", package.alias("package"), F.regexp_extract("target", r"([^.]+)$", 1).alias("symbol"))
-    whole = asked.join(targets, asked.target == targets.dotted).select("src", "dst", F.lit(None).cast("string").alias("symbol"))
-    named = asked.join(targets, asked.package == targets.dotted).select("src", "dst", "symbol")
-    frontier = materialize(whole.unionByName(named).where("src <> dst").distinct(), "direct")
+    targets = materialize(targets.groupBy("dotted").agg(F.min_by("dst", "priority").alias("dst")), "targets")
+    # Each row asks for its dotted path as a whole, and for its last name in the package before.
+    package = package_of("target")
+    whole = F.struct(F.col("target").alias("dotted"), F.lit(None).cast("string").alias("symbol"))
+    asked = wanted.select(path.alias("src"), F.inline(F.array(whole, F.struct(package.alias("dotted"), last_name("target").alias("symbol")))))
+    frontier = materialize(asked.where("dotted <> ''").join(targets, "dotted").select("src", "dst", "symbol").where("src <> dst").distinct(), "direct")
     found = frontier.select("src", "dst")
-    exports = imports_.where(path.endswith("__init__.py")).select(path.alias("via"), "target", F.col("name").alias("exported"), package.alias("package"))
-    steps = exports.join(targets, exports.target == targets.dotted).select("via", F.col("dst").alias("next"), "exported").unionByName(
-        exports.join(targets, exports.package == targets.dotted).select("via", F.col("dst").alias("next"), "exported")
-    )
-    steps = materialize(steps.where("via <> next").distinct(), "exports")
+    exports = imports_.where(path.endswith("__init__.py")).select(path.alias("via"), F.col("name").alias("exported"), F.explode(F.array("target", package)).alias("dotted"))
+    steps = materialize(exports.where("dotted <> ''").join(targets, "dotted").select("via", F.col("dst").alias("next"), "exported").where("via <> next").distinct(), "exports")
     offered = steps.select(F.col("via").alias("dst"), F.col("exported").alias("symbol")).distinct().withColumn("has", F.lit(True))
     for level in count():
-        here = frontier.where(F.col("dst").endswith("__init__.py")).join(offered, ["dst", "symbol"], "left")
+        packages = frontier.where(F.col("dst").endswith("__init__.py"))
+        if packages.isEmpty():
+            break
+        here = packages.join(offered, ["dst", "symbol"], "left")
         more = (
             here.join(steps, here.dst == steps.via)
             .where(F.col("has").isNull() | (F.col("exported") == F.col("symbol")))
@@ -250,9 +286,8 @@ def resolved(wanted: DataFrame, imports_: DataFrame, files: DataFrame) -> DataFr
             .where("src <> dst").distinct().join(found, ["src", "dst"], "left_anti")
         )
         frontier = materialize(more.select("src", "dst", "symbol"), f"follow{level}")
-        if frontier.isEmpty():
-            break
         found = found.unionByName(frontier.select("src", "dst"))
         if level % 16 == 15:  # so that the plan does not grow with the chain
             found = materialize(found, f"found{level}")
+    discard(targets, steps)
     return found.distinct()

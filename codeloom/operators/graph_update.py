@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from codeloom.functions import python_code
 from codeloom.functions.text import directory
 from codeloom.operators.store import Store
-from codeloom.sources.scratch import materialize
+from codeloom.sources.scratch import discard, materialize
 
 TABLES = {"files": "path string", "symbols": f"path string, {python_code.SYMBOL}", "imports": "path string, pos int, target string, name string", "depends": "path string, dst string"}
 
@@ -58,17 +58,17 @@ def _dotted(path: Column) -> Column:
 
 def build(files: DataFrame) -> CodeGraph:
     """From (path, content) of all files."""
-    own = files.where(F.lower("path").endswith(".py") & F.col("content").isNotNull())
-    imports = materialize(python_code.import_rows(own), "imports")
-    paths = own.select("path").distinct()
-    return CodeGraph(paths, python_code.symbols(own), imports, python_code.resolved(imports, imports, paths).withColumnRenamed("src", "path"))
+    both = materialize(python_code.files_and_imports(files), "imports")
+    imports, paths = both.where("target is not null"), materialize(both.where("target is null").select("path").distinct(), "files")
+    depends = materialize(python_code.resolved(imports, imports, paths).withColumnRenamed("src", "path"), "depends")
+    return CodeGraph(paths, python_code.symbols(files), imports, depends)
 
 
 def affected(graph: CodeGraph, changed: DataFrame) -> DataFrame:
     """The files (path) whose dependencies a change of other files, or of themselves, may touch."""
     dotted = changed.select(_dotted(F.col("path")).alias("target")).distinct()
-    package = F.regexp_extract("target", r"^(.*)\.[^.]+$", 1)
-    named = graph.imports.select("path", F.explode(F.array("target", package)).alias("target")).join(dotted, "target", "left_semi").select("path").distinct()
+    asked = graph.imports.select("path", F.explode(F.array("target", python_code.package_of("target"))).alias("target")).where("target <> ''")
+    named = asked.join(dotted, "target", "left_semi").select("path").distinct()
     # What passes a changed name on has changed for those that came through it.
     through = named.where(F.col("path").endswith("__init__.py")).unionByName(changed.select("path")).distinct()
     behind = graph.depends.join(through.withColumnRenamed("path", "dst"), "dst", "left_semi").select("path")
@@ -77,7 +77,9 @@ def affected(graph: CodeGraph, changed: DataFrame) -> DataFrame:
 
 def delta(graph: CodeGraph, changed: DataFrame) -> Delta:
     """``changed`` has (path, content) of new and changed files, and of deleted ones with null content; other files than Python's are left out, and of rows with one path the greatest content counts."""
-    changed = materialize(changed.where(F.lower("path").endswith(".py")).groupBy("path").agg(F.max("content").alias("content")), "changed")
+    # Many short texts weigh little, but parsing them is work for all cores: a set number of partitions is not coalesced.
+    spread = changed.where(F.lower("path").endswith(".py")).repartition(2 * changed.sparkSession.sparkContext.defaultParallelism, "path")
+    changed = materialize(spread.groupBy("path").agg(F.max("content").alias("content")), "changed")
     there = changed.where("content is not null")
     own_imports = materialize(python_code.import_rows(there), "imports")
     # Of the old imports only those that are not replaced count, beside the new ones.
@@ -85,8 +87,9 @@ def delta(graph: CodeGraph, changed: DataFrame) -> Delta:
     files = graph.files.join(changed, "path", "left_anti").unionByName(there.select("path"))
     touched = materialize(affected(CodeGraph(files, graph.symbols, imports, graph.depends), changed), "affected")
     wanted = materialize(imports.join(touched, "path", "left_semi"), "wanted")
-    depends = python_code.resolved(wanted, imports, files).withColumnRenamed("src", "path")
-    return Delta(changed.select("path"), touched, CodeGraph(there.select("path"), python_code.symbols(there), own_imports, materialize(depends, "depends")))
+    depends = materialize(python_code.resolved(wanted, imports, files).withColumnRenamed("src", "path"), "depends")
+    discard(wanted)
+    return Delta(changed.select("path"), touched, CodeGraph(there.select("path"), python_code.symbols(there), own_imports, depends))
 
 
 def update(graph: CodeGraph, changed: DataFrame) -> CodeGraph:

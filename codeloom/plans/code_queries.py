@@ -50,10 +50,11 @@ def _code(spark, sf_dir):
             out = F.replace(out, F.lit(mark), value.cast("string"))
         return out
 
-    part = read_table(spark, sf_dir, "part")
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
     packages = part.where("p_partkey < 7").select(F.concat(F.lit("pkg"), k, F.lit("/__init__.py")).alias("path"), filled(PACKAGE).alias("content"))
-    files = part.select(F.concat(F.lit("pkg"), k % 7, F.lit("/m"), k, F.lit(".py")).alias("path"), filled(MODULE).alias("content")).union(packages)
-    return files.repartition(2 * spark.sparkContext.defaultParallelism, "path")  # the table is one small file, but reading its modules is work for all cores
+    # The table is one small file, but making its modules and reading them is work for all cores.
+    spread = part.repartition(2 * spark.sparkContext.defaultParallelism, "p_partkey")
+    return spread.select(F.concat(F.lit("pkg"), k % 7, F.lit("/m"), k, F.lit(".py")).alias("path"), filled(MODULE).alias("content")).union(packages)
 
 
 def _chunk_rows(rows):

@@ -73,3 +73,28 @@ def test_stored_graph_as_a_stream(spark, tmp_path):
 
     assert all(parts[0][t].get(part_of("c")) == parts[2][t].get(part_of("c")) for t in gu.TABLES)
     assert parts[0]["depends"][part_of("b")] != parts[1]["depends"][part_of("b")] and parts[0]["symbols"].get(part_of("b")) == parts[1]["symbols"].get(part_of("b"))
+
+
+def test_every_text_is_made_once_and_changes_are_spread(spark):
+    """A graph's files are not computed again for their paths, and many short changed texts are not left to one task."""
+    from pyspark.sql import functions as F
+
+    made = spark.sparkContext.accumulator(0)
+
+    def text(k):
+        made.add(1)
+        return f"import a.m{k + 1}"
+
+    numbers = spark.range(200).select(F.concat(F.lit("a/m"), "id", F.lit(".py")).alias("path"), F.udf(text, "string")("id").alias("content"))
+    graph = gu.build(numbers)
+    assert graph.depends.count() == 199 and graph.files.count() == 200 and made.value == 200
+    d = gu.delta(graph, spark.createDataFrame([(f"a/m{k}.py", "import a.m0") for k in range(100)], KIND))
+    assert len(d.changed.inputFiles()) >= spark.sparkContext.defaultParallelism and d.new.depends.count() == 99
+
+
+def test_a_path_without_a_name_is_no_module(spark):
+    files = {".py": "x = 1", "a.py": "import os, b", "b.py": "import a"}
+    graph = gu.build(spark.createDataFrame(list(files.items()), KIND))
+    assert {tuple(r) for r in graph.depends.select("path", "dst").collect()} == {("a.py", "b.py"), ("b.py", "a.py")}
+    d = gu.delta(graph, spark.createDataFrame([(".py", "import a")], KIND))
+    assert {r.path for r in d.affected.collect()} == {".py"}

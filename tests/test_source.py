@@ -56,6 +56,50 @@ def test_python_imports():
     assert read("def broken(") is None
 
 
+def test_imports_of_statements_alone():
+    """The same as of all nodes, in the same order, wherever a statement may stand."""
+    code = """import a
+if f(lambda: x):
+    import b
+    try:
+        from c import d
+    except* E:
+        from .e import f as g
+    else:
+        import h.i
+    finally:
+        import j
+elif y:
+    import k
+else:
+    with w as v:
+        async def f(z=[q for q in p]):
+            match z:
+                case [1, *_] if r:
+                    import l
+                case _:
+                    class M(N):
+                        from . import n
+            for s in t:
+                import o
+            else:
+                import u
+while 1: import v.w
+else: import x
+"""
+    tree = python_code.parsed(code)
+    got = python_code.imports(python_code.statements(tree), "p/m.py")
+    assert got == python_code.imports(python_code.walked(tree), "p/m.py") and len(got[1]) == 16
+
+
+def test_modules_are_made_after_the_exchange(spark, sf):
+    """The rows of the small table are spread, not the modules that one task would have to make of them."""
+    from codeloom.plans.code_queries import _code
+
+    below = _code(spark, sf)._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1].split("\n+- ")[0]
+    assert "p_partkey" in below and "get_kind" not in below
+
+
 def test_python_symbols():
     code = "from abc import ABC\nimport os\nclass A(ABC):\n    x: int = 1\n    def f(self, a: int, *b) -> str:\n        self.g()\n        os.path.join(a)\n        return 'x'\ndef g(n):\n    print(n)\n    yield A()\n"
     by = {s[2]: s for s in python_code.read(code, "p/m.py").symbols()}
